@@ -1,0 +1,5 @@
+"""Deliberately empty: every data set handled here is a batch table.
+
+Publication delays are modelled with availability dates (``operators.asof``)
+instead of watermarks, so there is no streaming operator to offer.
+"""
