@@ -257,7 +257,7 @@ def nest_outlook(long: DataFrame, keys: list[str]) -> DataFrame:
     """
     cell = F.struct("probability", "applicability")
     horizons = long.groupBy(*keys, "horizon").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("event", cell.alias("v"))))).alias("events"),
+        F.map_from_entries(F.collect_list(F.struct("event", cell.alias("v")))).alias("events"),
         F.count_if(
             F.col("applicability").isin("APPLICABLE", "OUT_OF_SEASON", "UNAVAILABLE")
             & F.coalesce(F.col("probability").between(0.0, 1.0), F.lit(True))
@@ -265,7 +265,7 @@ def nest_outlook(long: DataFrame, keys: list[str]) -> DataFrame:
     )
     wanted = len(HORIZONS) * len(HORIZON_MONTHS)
     return horizons.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", "events")))).alias("outlook"),
+        F.map_from_entries(F.collect_list(F.struct("horizon", "events"))).alias("outlook"),
         (F.sum("_ok") == wanted).alias("complete"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("panel_queries", "asof_queries", "area_queries")
+MODULES = ("panel_queries", "asof_queries", "area_queries", "forecast_queries")
 
 
 def all_queries():
