@@ -90,18 +90,30 @@ def positive_weight(positive: str, negative: str) -> Column:
 
 # --- rate baselines ----------------------------------------------------------
 
-def fallback_rates(long: DataFrame, by: list[str], key: str, month: str = "month") -> DataFrame:
+def month_counts(long: DataFrame, by: list[str], key: str, month: str = "month") -> DataFrame:
+    """Known labels and events per group, key and month: all that rate baselines need.
+
+    One pass over the label rows; rates, look-ups and scores then work on this table,
+    which has at most twelve rows per group and key.
+    """
+    return long.groupBy(*by, key, month).agg(
+        F.count("y").alias("n"), F.sum(F.col("y").cast("bigint")).alias("events")
+    )
+
+
+def fallback_rates(counts: DataFrame, by: list[str], key: str, month: str = "month") -> DataFrame:
     """Mean label per (key, month), per month and overall in one grouping-sets pass.
 
-    ``level`` is 0, 1 or 2; finer columns are null at coarser levels.
+    ``counts`` comes from :func:`month_counts`. ``level`` is 0, 1 or 2; finer columns
+    are null at coarser levels.
     """
     sets = [[*by, key, month], [*by, month], [*by]]
-    grouped = long.groupingSets(
+    grouped = counts.groupingSets(
         [[F.col(c) for c in s] for s in sets], *[F.col(c) for c in [*by, key, month]]
     )
     rates = grouped.agg(
-        F.count("y").alias("n"),
-        F.sum("y").alias("events"),
+        F.sum("n").alias("n"),
+        F.sum("events").alias("events"),
         F.grouping(key).alias("_no_key"),
         F.grouping(month).alias("_no_month"),
     )
@@ -115,12 +127,13 @@ def fallback_rates(long: DataFrame, by: list[str], key: str, month: str = "month
 
 def lookup_rates(
     df: DataFrame, rates: DataFrame, by: list[str], key: str, month: str = "month",
-    *, use_key: bool = True,
+    *, month_only: str | None = None,
 ) -> DataFrame:
     """Add ``p``: rate of (key, month), else of the month, else overall, and its level.
 
     The month and overall levels have at most thirteen rows per event and are folded
-    into one map per event; only the (key, month) level is a real join.
+    into one map per event; only the (key, month) level is a real join. ``month_only``
+    names an extra column with the rate that ignores the key.
     """
     coarse = (
         rates.where(F.col("level") > 0)
@@ -134,22 +147,13 @@ def lookup_rates(
             F.max(F.when(F.col("level") == 2, F.col("rate"))).alias("_overall"),
         )
     )
-    out = df.join(coarse, by, "left") if by else df.withColumn("_k", F.lit(1)).join(
-        coarse.withColumn("_k", F.lit(1)), "_k", "left"
-    ).drop("_k")
-    by_month = F.try_element_at("_months", F.col(month))
-    if not use_key:
-        return out.withColumns(
-            {
-                "p": F.coalesce(by_month, "_overall"),
-                "rate_level": F.when(by_month.isNotNull(), 1).otherwise(2),
-            }
-        ).drop("_months", "_overall")
     fine = rates.where(F.col("level") == 0).select(
         *by, key, month, F.col("rate").alias("_fine")
     )
-    return (
-        out.join(fine, [*by, key, month], "left")
+    by_month = F.try_element_at("_months", F.col(month))
+    out = (
+        df.join(fine, [*by, key, month], "left")
+        .join(coarse, by, "left")
         .withColumns(
             {
                 "p": F.coalesce("_fine", by_month, "_overall"),
@@ -158,8 +162,10 @@ def lookup_rates(
                 .otherwise(2),
             }
         )
-        .drop("_fine", "_months", "_overall")
     )
+    if month_only:
+        out = out.withColumn(month_only, F.coalesce(by_month, "_overall"))
+    return out.drop("_fine", "_months", "_overall")
 
 
 def state_rates(train: DataFrame, by: list[str], state: str, shares=(0.33, 0.66)) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from panelwright.functions import scalars as S
 from panelwright.operators.baselines import choose_candidate
 from panelwright.operators.metrics import binary_metrics
+from panelwright.operators.staging import durable
 
 # Settings of the boosted heads (trees, depth, step) and their sampling.
 BOOSTED_V1 = {"maxIter": 120, "maxDepth": 5, "stepSize": 0.08}
@@ -27,20 +27,6 @@ BOOSTED_V2 = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.05, "minInstancesPerN
 SAMPLING = {"subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "seed": 42}
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint a table that many jobs reuse, in the folder the cluster names.
-
-    ``spark.checkpoint.dir`` must point to shared storage on a cluster; only when it is
-    unset (local runs, tests) a folder of our own is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
-
-
 def alphabetical_index(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Ordinal codes in alphabetical order, as in a fitted label encoder."""
     indexer = StringIndexer(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import clip
+from panelwright.operators.staging import durable
 
 ALL = "_all"
 
@@ -46,7 +47,8 @@ def totals_above(counts: DataFrame, *, by: list[str], blocks: int = 64) -> DataF
 
     Scores are split at approximate quantiles of the distinct scores into at most
     ``blocks`` blocks per group; totals of whole higher blocks plus a running sum inside
-    the block give the exact result whatever the quantile error.
+    the block give the exact result whatever the quantile error. The counts are read
+    three times, so callers stage them first (see :func:`metrics_from_counts`).
     """
     shares = [i / blocks for i in range(1, blocks)]
     edges = counts.groupBy(*by).agg(
@@ -87,13 +89,21 @@ def _ratio(a: Column, b: Column) -> Column:
 def binary_metrics(
     scores: DataFrame, *, by: list[str], y: str = "y", p: str = "p", threshold: float = 0.5
 ) -> DataFrame:
-    """Per group: counts, Brier, log loss, ROC-AUC, average precision, P/R/F1.
+    """Per group: counts, Brier, log loss, ROC-AUC, average precision, P/R/F1."""
+    return metrics_from_counts(
+        score_counts(scores, by=by, y=y, p=p), by=by, threshold=threshold
+    )
+
+
+def metrics_from_counts(counts: DataFrame, *, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """:func:`binary_metrics` from one row per group and distinct score.
 
     ``auc_numerator`` / ``auc_denominator`` are the exact integers behind ``roc_auc``
     (twice the favourable pairs, ties counting half); AUC is null with one class only.
+    The counts are staged once: whatever produced the scores is not computed again.
     """
-    scores, keys = _group(scores, by)
-    counts = score_counts(scores, by=keys, y=y, p=p)
+    counts, keys = _group(counts, by)
+    counts = durable(counts)
     s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
     eps = 2.220446049250313e-16
     safe = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), s))

@@ -44,7 +44,11 @@ def densify_daily(
     seeds = seeds.withColumn(ts, F.date_sub(first, 1)).withColumn("_real", F.lit(False))
     series = Window.partitionBy(key).orderBy(ts)
     so_far = series.rowsBetween(Window.unboundedPreceding, 0)
-    stacked = rows.unionByName(seeds, allowMissingColumns=True).withColumns(
+    # A fixed partition number keeps the adaptive planner from merging partitions by
+    # the size of the sparse rows: every row is about to grow into a gap of days.
+    partitions = int(sparse.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = rows.unionByName(seeds, allowMissingColumns=True).repartition(partitions, key)
+    stacked = together.withColumns(
         {
             "_next": F.coalesce(F.date_sub(F.lead(ts).over(series), 1), last),
             **{a: F.first(a, ignorenulls=True).over(so_far) for a in attributes},

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("panel_queries", "asof_queries", "area_queries", "forecast_queries")
+MODULES = (
+    "panel_queries", "asof_queries", "area_queries", "forecast_queries",
+    "score_queries", "replay_queries",
+)
 
 
 def all_queries():
