@@ -191,15 +191,10 @@ def latest_common_date(
         F.max(cols.ts).alias("newest"),
         F.max(F.when(F.col("_both"), F.col(cols.ts))).alias("newest_both"),
     )
-    first_release = releases.agg(F.min("available_date").alias("first_release"))
-    one = F.lit(1)
-    return (
-        newest.withColumn("_k", one)
-        .join(first_release.withColumn("_k", one), "_k")
-        .select(
-            F.when(
-                F.col("first_release") <= F.col("newest"), F.col("newest_both")
-            ).alias("found")
-        )
-        .select(F.coalesce("found", F.to_date(F.lit(fallback))).alias("common_date"))
+    first_release = releases.agg(F.min("available_date")).scalar()
+    return newest.withColumn("_first", first_release).select(
+        F.coalesce(
+            F.when(F.col("_first") <= F.col("newest"), F.col("newest_both")),
+            F.to_date(F.lit(fallback)),
+        ).alias("common_date")
     )

@@ -1,4 +1,7 @@
-"""Rate baselines, temporal splits, class balance and release rules."""
+"""Rate baselines, temporal splits, class balance and release rules.
+
+``by`` always names at least one column, such as the event.
+"""
 
 from __future__ import annotations
 
@@ -177,10 +180,7 @@ def state_rates(train: DataFrame, by: list[str], state: str, shares=(0.33, 0.66)
         F.percentile(state, F.array(*[F.lit(s) for s in shares])).alias("edges"),
         F.avg("y").alias("overall"),
     )
-    joined = train.join(edges, by) if by else train.withColumn("_k", F.lit(1)).join(
-        edges.withColumn("_k", F.lit(1)), "_k"
-    ).drop("_k")
-    per_bucket = joined.groupBy(*by, state_bucket(F.col(state)).alias("bucket")).agg(
+    per_bucket = train.join(edges, by).groupBy(*by, state_bucket(F.col(state)).alias("bucket")).agg(
         F.any_value("edges").alias("edges"),
         F.any_value("overall").alias("overall"),
         F.avg("y").alias("rate"),
@@ -203,11 +203,8 @@ def state_bucket(value: Column, edges: str = "edges") -> Column:
 
 def state_baseline(rows: DataFrame, rates: DataFrame, by: list[str], state: str) -> DataFrame:
     """Add ``p``: the training rate of the row's state bucket, else the overall rate."""
-    joined = rows.join(rates, by) if by else rows.withColumn("_k", F.lit(1)).join(
-        rates.withColumn("_k", F.lit(1)), "_k"
-    ).drop("_k")
     bucket = state_bucket(F.col(state))
-    return joined.withColumn(
+    return rows.join(rates, by).withColumn(
         "p", F.coalesce(F.try_element_at("rates", bucket), "overall")
     ).drop("edges", "rates", "overall")
 
@@ -279,24 +276,27 @@ def improvement_status(d_brier: Column, d_roc: Column, d_pr: Column, d_f1: Colum
 def leave_one_out_fit(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Held-out linear fit per key: sums over all keys minus the key's own row.
 
-    ``df`` has one row per key; only five sums are shared, by a join on a constant.
+    ``df`` has one row per key. The five sums reach the rows as a scalar subquery.
     """
     one = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"),
-        F.lit(1).alias("_k"),
-    )
-    totals = one.groupBy("_k").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"),
-        F.sum(F.col("_x") * F.col("_x")).alias("sxx"),
-        F.sum(F.col("_x") * F.col("_y")).alias("sxy"),
+        key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
-    n = F.col("n") - 1
-    sx, sy = F.col("sx") - F.col("_x"), F.col("sy") - F.col("_y")
-    sxx = F.col("sxx") - F.col("_x") * F.col("_x")
-    sxy = F.col("sxy") - F.col("_x") * F.col("_y")
+    totals = one.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("_x").alias("sx"),
+            F.sum("_y").alias("sy"),
+            F.sum(F.col("_x") * F.col("_x")).alias("sxx"),
+            F.sum(F.col("_x") * F.col("_y")).alias("sxy"),
+        )
+    ).scalar()
+    n = F.col("_t.n") - 1
+    sx, sy = F.col("_t.sx") - F.col("_x"), F.col("_t.sy") - F.col("_y")
+    sxx = F.col("_t.sxx") - F.col("_x") * F.col("_x")
+    sxy = F.col("_t.sxy") - F.col("_x") * F.col("_y")
     slope = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
     return (
-        one.join(totals, "_k")
+        one.withColumn("_t", totals)
         .withColumn("slope", slope)
         .withColumn("intercept", (sy - F.col("slope") * sx) / n)
         .withColumn("held_out_fit", F.col("intercept") + F.col("slope") * F.col("_x"))

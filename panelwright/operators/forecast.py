@@ -321,10 +321,9 @@ def run_totals(
         F.count(F.lit(1)).alias("unique_units"),
         F.count_if(F.col("_parts") > 1).alias("units_with_several_features"),
         F.countDistinct("_d").alias("districts"),
-        F.lit(1).alias("_k"),
     )
-    known = all_units.agg(F.count(F.lit(1)).alias("_all"), F.lit(1).alias("_k"))
-    return layer.join(known, "_k").select(
+    known = all_units.agg(F.count(F.lit(1))).scalar()
+    return layer.withColumn("_all", known).select(
         "districts", "features", "unique_units",
         (F.col("features") - F.col("unique_units")).alias("excess_features"),
         "units_with_several_features",

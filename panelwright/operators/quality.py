@@ -71,15 +71,12 @@ def join_preservation(
     before: DataFrame, after: DataFrame, columns: list[str], ts: str
 ) -> DataFrame:
     """One row: row counts before and after a join, nulls, first and last date."""
-    left = before.agg(F.count(F.lit(1)).alias("rows_before"), F.lit(1).alias("_k"))
-    right = after.agg(
+    return after.agg(
         F.count(F.lit(1)).alias("rows_after"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns],
         F.min(ts).alias("first_date"),
         F.max(ts).alias("last_date"),
-        F.lit(1).alias("_k"),
-    )
-    return left.join(right, "_k").drop("_k")
+    ).withColumn("rows_before", before.agg(F.count(F.lit(1))).scalar())
 
 
 def column_order_check(df: DataFrame, expected: list[str]) -> DataFrame:

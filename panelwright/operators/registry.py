@@ -44,14 +44,13 @@ def code_membership(left: DataFrame, right: DataFrame, code: str) -> DataFrame:
 
 def match_stats(left: DataFrame, right: DataFrame, code: str) -> DataFrame:
     """One row of key counts: nulls, distinct, matched, one-sided, matched rows."""
-    nulls = (
+    rows = (
         left.select(F.lit(0).alias("side"), F.col(code).alias("c"))
         .unionByName(right.select(F.lit(1).alias("side"), F.col(code).alias("c")))
         .agg(
             F.count_if((F.col("side") == 0) & F.col("c").isNull()).alias("left_null"),
             F.count_if((F.col("side") == 1) & F.col("c").isNull()).alias("right_null"),
             F.count_if(F.col("side") == 0).alias("left_total"),
-            F.lit(1).alias("_k"),
         )
     )
     l, r = F.col("left_rows") > 0, F.col("right_rows") > 0
@@ -62,12 +61,11 @@ def match_stats(left: DataFrame, right: DataFrame, code: str) -> DataFrame:
         F.count_if(l & ~r).alias("left_only_codes"),
         F.count_if(r & ~l).alias("right_only_codes"),
         F.coalesce(F.sum(F.when(r, F.col("left_rows"))), F.lit(0)).alias("left_matched_rows"),
-        F.lit(1).alias("_k"),
     )
     return (
-        nulls.join(codes, "_k")
+        codes.withColumn("_rows", rows.select(F.struct(*rows.columns)).scalar())
+        .select(*codes.columns, "_rows.*")
         .withColumn("left_unmatched_rows", F.col("left_total") - F.col("left_matched_rows"))
-        .drop("_k")
     )
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "panel_queries", "asof_queries", "area_queries", "forecast_queries",
-    "score_queries", "replay_queries",
+    "score_queries", "replay_queries", "learning_queries",
 )
 
 

@@ -14,7 +14,10 @@ from panelwright.plans.catalog import query, tidy
 from panelwright.plans.tables import table
 from panelwright.sources.tables import feature_json, parse_nested
 
-KEYS = [F.col("District").alias("district"), F.col("month_start").alias("month")]
+def keys():
+    return [F.col("District").alias("district"), F.col("month_start").alias("month")]
+
+
 KEYS_SQL = "district, cast(ms as varchar) as month"
 
 
@@ -48,7 +51,7 @@ RISK_COLUMNS = [
 with {RISK_SQL} select {KEYS_SQL}, {', '.join(RISK_COLUMNS)} from rc
 """)
 def risk_classes(spark, sf_dir):
-    return tidy(O.risk_columns(month_forecasts(spark, sf_dir)).select(*KEYS, *RISK_COLUMNS))
+    return tidy(O.risk_columns(month_forecasts(spark, sf_dir)).select(*keys(), *RISK_COLUMNS))
 
 
 HEADLINE_SQL = f"""case
@@ -68,7 +71,7 @@ select {KEYS_SQL}, headline, left(case headline {' '.join(f"when '{O.HEADLINES[k
 def headline_advisories(spark, sf_dir):
     return tidy(
         O.headline_advisory(month_forecasts(spark, sf_dir)).select(
-            *KEYS, F.col("advisory_headline").alias("headline"),
+            *keys(), F.col("advisory_headline").alias("headline"),
             F.substring("recommended_action", 1, 40).alias("action"),
         )
     )
@@ -110,7 +113,7 @@ def crop_advisories(spark, sf_dir):
     df = V.crop_advisory(advisory_inputs(spark, sf_dir))
     return tidy(
         df.select(
-            *KEYS, "advisory.rule_id", "advisory.action",
+            *keys(), "advisory.rule_id", "advisory.action",
             F.size("advisory.reason_keys").alias("reasons"), F.size("risk_factors").alias("factors"),
             S.scaled(F.element_at("risk_factors", F.lit("onset_probability")), 6).alias("onset_factor"),
         )
@@ -156,7 +159,7 @@ def logit_downscaling(spark, sf_dir):
     out = O.downscale(df, events)
     return tidy(
         out.select(
-            *KEYS, S.scaled("heavy_rain_downscaled", 4).alias("heavy"),
+            *keys(), S.scaled("heavy_rain_downscaled", 4).alias("heavy"),
             S.scaled("dry_spell_5d_downscaled", 4).alias("dry"),
             S.scaled("severe_break_7d_downscaled", 4).alias("severe"),
         )
@@ -203,7 +206,7 @@ def head_results(spark, sf_dir):
     rows = O.head_results(obs, ["District", "month_start"], {h: f"p_{h}" for h in HEAD_ROUTES})
     return tidy(
         rows.select(
-            *KEYS, "head", "model_version", "features_evaluated", "applicability",
+            *keys(), "head", "model_version", "features_evaluated", "applicability",
             S.scaled("probability", 4).alias("p4"), S.scaled("probability_pct", 2).alias("pct"),
         )
     )
@@ -261,7 +264,7 @@ def outlook_nesting(spark, sf_dir):
 
     return tidy(
         nested.select(
-            *KEYS, F.size("outlook").alias("horizons"), "complete",
+            *keys(), F.size("outlook").alias("horizons"), "complete",
             S.scaled(cell("7_14d", "dry_spell", "probability"), 4).alias("near_dry"),
             S.scaled(cell("22_30d", "heavy_rain", "probability"), 4).alias("far_heavy"),
             cell("15_21d", "revival", "applicability").alias("mid_revival"),
@@ -277,7 +280,7 @@ select {KEYS_SQL}, horizon, max(case when event = 'dry_spell' then p4 end) as dr
 """)
 def horizon_trend(spark, sf_dir):
     trend = O.horizon_trend(outlook_rows(spark, sf_dir), ["District", "month_start"])
-    return tidy(trend.select(*KEYS, "horizon", *[S.scaled(e, 2).alias(e) for e in HORIZON_MONTHS]))
+    return tidy(trend.select(*keys(), "horizon", *[S.scaled(e, 2).alias(e) for e in HORIZON_MONTHS]))
 
 
 # --- area layers ---------------------------------------------------------------------
