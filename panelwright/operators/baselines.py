@@ -93,21 +93,33 @@ def positive_weight(positive: str, negative: str) -> Column:
 
 # --- rate baselines ----------------------------------------------------------
 
-def month_counts(long: DataFrame, by: list[str], key: str, month: str = "month") -> DataFrame:
-    """Known labels and events per group, key and month: all that rate baselines need.
+def label_counts(
+    df: DataFrame, keys: list[str], targets: dict[str, str], name: str = "event"
+) -> DataFrame:
+    """Known labels ``n`` and events per key columns and event.
 
-    One pass over the label rows; rates, look-ups and scores then work on this table,
-    which has at most twelve rows per group and key.
+    The label columns are aggregated side by side in one pass and stacked afterwards, so
+    the panel rows are neither multiplied by the number of events nor read again. With
+    (split, key, month) or (split, state) as keys this small table is all that the rate
+    baselines and their scores need.
     """
-    return long.groupBy(*by, key, month).agg(
-        F.count("y").alias("n"), F.sum(F.col("y").cast("bigint")).alias("events")
+    wide = df.groupBy(*keys).agg(
+        *[F.count(c).alias(f"_n_{e}") for e, c in targets.items()],
+        *[F.sum(F.col(c).cast("bigint")).alias(f"_s_{e}") for e, c in targets.items()],
     )
+    cells = [
+        F.struct(
+            F.lit(e).alias(name), F.col(f"_n_{e}").alias("n"), F.col(f"_s_{e}").alias("events")
+        )
+        for e in targets
+    ]
+    return wide.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")
 
 
 def fallback_rates(counts: DataFrame, by: list[str], key: str, month: str = "month") -> DataFrame:
     """Mean label per (key, month), per month and overall in one grouping-sets pass.
 
-    ``counts`` comes from :func:`month_counts`. ``level`` is 0, 1 or 2; finer columns
+    ``counts`` comes from :func:`label_counts`. ``level`` is 0, 1 or 2; finer columns
     are null at coarser levels.
     """
     sets = [[*by, key, month], [*by, month], [*by]]
@@ -171,21 +183,25 @@ def lookup_rates(
     return out.drop("_fine", "_months", "_overall")
 
 
-def state_rates(train: DataFrame, by: list[str], state: str, shares=(0.33, 0.66)) -> DataFrame:
+def state_rates(counts: DataFrame, by: list[str], state: str, shares=(0.33, 0.66)) -> DataFrame:
     """Per group: exact state quantiles of the training rows and the mean label per bucket.
 
-    Quantiles come from counts per distinct state value, which Spark merges map-side.
+    ``counts`` holds ``n`` and ``events`` per group and state value, see
+    :func:`label_counts`.
     """
-    edges = train.groupBy(*by).agg(
-        F.percentile(state, F.array(*[F.lit(s) for s in shares])).alias("edges"),
-        F.avg("y").alias("overall"),
+    known = counts.where(F.col("n") > 0)
+    edges = known.groupBy(*by).agg(
+        F.percentile(state, F.array(*[F.lit(s) for s in shares]), F.col("n")).alias("edges"),
+        (F.sum("events") / F.sum("n")).alias("overall"),
     )
-    per_bucket = train.join(edges, by).groupBy(*by, state_bucket(F.col(state)).alias("bucket")).agg(
+    per_bucket = known.join(edges, by).groupBy(
+        *by, state_bucket(F.col(state)).alias("bucket")
+    ).agg(
         F.any_value("edges").alias("edges"),
         F.any_value("overall").alias("overall"),
-        F.avg("y").alias("rate"),
+        (F.sum("events") / F.sum("n")).alias("rate"),
     )
-    return per_bucket.where(F.col("rate").isNotNull()).groupBy(*by).agg(
+    return per_bucket.groupBy(*by).agg(
         F.any_value("edges").alias("edges"),
         F.any_value("overall").alias("overall"),
         F.map_from_entries(F.collect_list(F.struct("bucket", "rate"))).alias("rates"),

@@ -24,11 +24,13 @@ from panelwright.config import (
 from panelwright.functions.scalars import in_months
 from panelwright.operators.windows import (
     YEAR,
-    forward_any,
-    forward_sum,
+    ahead,
+    any_ahead,
+    any_near,
     length,
     position,
     run_starts,
+    running,
     series,
     series_in_year,
     with_year,
@@ -42,37 +44,41 @@ def _byte(flag: Column) -> Column:
 
 
 def _base(df: DataFrame, cols: PanelColumns, rules: EventRules) -> DataFrame:
-    """Row position, series length, run starts and the two row-level event flags."""
+    """Row position, series length, run starts, row-level events and running counts."""
     w = series(cols.key, cols.ts)
     rain = F.col(cols.rain)
+    wet = F.coalesce(rain >= F.lit(rules.dry_below), F.lit(True))
     out = with_year(df, cols.ts).withColumns(
         {
             "_pos": position(w),
             "_n": length(w),
-            "_next": F.lead(cols.rain).over(w),
-            "_sum3": forward_sum(cols.rain, 3, w),
-            "_short": run_starts(cols.rain, rules.short_run, rules.dry_below, w),
-            "_long": run_starts(cols.rain, rules.long_run, rules.dry_below, w),
+            "_next": ahead(cols.rain, 1, w),
+            "_sum3": rain + ahead(cols.rain, 1, w) + ahead(cols.rain, 2, w),
+            "_wets": running(wet, w),
         }
     )
-    return out.withColumns(
+    heavy_day = F.coalesce(rain >= rules.heavy_day, F.lit(False))
+    heavy_sum = F.coalesce(F.col("_sum3") >= rules.heavy_three_day, F.lit(False))
+    revival = F.coalesce(
+        (rain >= rules.revival_first) & (F.col("_next") >= rules.revival_next), F.lit(False)
+    )
+    out = out.withColumns(
         {
-            "_heavy": F.coalesce(
-                (rain >= rules.heavy_day) | (F.col("_sum3") >= rules.heavy_three_day),
-                rain >= rules.heavy_day,
-                F.lit(False),
-            ),
-            "_revival": F.coalesce(
-                (rain >= rules.revival_first) & (F.col("_next") >= rules.revival_next),
-                F.lit(False),
-            ),
+            "_short": run_starts("_wets", wet, rules.short_run, w),
+            "_long": run_starts("_wets", wet, rules.long_run, w),
+            "_days": running(heavy_day, w),
+            "_sums": running(heavy_sum, w),
+            "_heavies": running(heavy_day | heavy_sum, w),
+            "_revivals": running(revival, w),
         }
     )
+    return out.withColumns(
+        {"_shorts": running(F.col("_short"), w), "_longs": running(F.col("_long"), w)}
+    )
 
 
-def _surge(
-    cols: PanelColumns, rules: EventRules, *, pos: str, n: str, nxt: str, sum3: str
-) -> Column:
+def _surge(cols: PanelColumns, rules: EventRules, *, pos: str, n: str) -> Column:
+    """Surge candidate; the three rows after it exist in the same series (or year)."""
     zone = F.lower(F.coalesce(F.col(cols.zone).cast("string"), F.lit("")))
     total = F.when(
         F.contains(zone, F.lit(rules.wet_zone_token)), rules.surge_total_wet_zone
@@ -82,8 +88,8 @@ def _surge(
         & (F.dayofyear(cols.ts) >= rules.surge_first_day_of_year)
         & (F.col(pos) + 3 < F.col(n))
         & (F.col(cols.rain) >= rules.dry_below)
-        & (F.col(nxt) >= rules.dry_below)
-        & (F.col(sum3) >= total)
+        & (F.col("_next") >= rules.dry_below)
+        & (F.col("_sum3") >= total)
         & (F.col(cols.humidity) >= rules.surge_humidity),
         F.lit(False),
     )
@@ -112,9 +118,9 @@ def _first_generation_state(df, cols, rules) -> DataFrame:
     w = series(cols.key, cols.ts)
     out = _base(df, cols, rules).withColumns(
         {
-            "_surge": _surge(cols, rules, pos="_pos", n="_n", nxt="_next", sum3="_sum3"),
+            "_surge": _surge(cols, rules, pos="_pos", n="_n"),
             # a dry run inside rows 2..9 ahead starts on rows 2..5 ahead
-            "_collapse": forward_any("_short", 2, 5, w),
+            "_collapse": any_near(F.col("_short"), 2, 5, w),
         }
     )
     return _with_onset(out, cols, pos="_pos")
@@ -126,27 +132,23 @@ def label_events_v1(
     """First-generation core labels, 0/1 on every row."""
     w = series(cols.key, cols.ts)
     state = _first_generation_state(df, cols, rules)
-    ahead = F.col("_onset") - F.col("_pos")
+    distance = F.col("_onset") - F.col("_pos")
     early_false = F.col("_surge") & F.col("_collapse") & (
         F.col("_strict").isNull() | (F.col("_pos") < F.col("_strict"))
     )
     dry_season = in_months(cols.ts, rules.dry_months)
     left = F.col("_n") - F.col("_pos")
-    heavy = F.coalesce(
-        (F.max(cols.rain).over(w.rowsBetween(1, 7)) >= rules.heavy_day)
-        # three-day sums stay inside the seven rows ahead
-        | (F.max("_sum3").over(w.rowsBetween(1, 5)) >= rules.heavy_three_day),
-        F.lit(False),
-    )
+    # three-day sums stay inside the seven rows ahead
+    heavy = any_ahead("_days", 1, 7, w) | any_ahead("_sums", 1, 5, w)
     labels = {
-        "onset": F.coalesce(ahead.between(0, 14), F.lit(False)),
-        "false_onset": forward_any(early_false, 0, 2, w),
-        "dry_spell_5d": dry_season & (left > 19) & forward_any("_short", 1, 14, w),
-        "severe_break_7d": dry_season & (left > 28) & forward_any("_long", 1, 21, w),
+        "onset": F.coalesce(distance.between(0, 14), F.lit(False)),
+        "false_onset": any_near(early_false, 0, 2, w),
+        "dry_spell_5d": dry_season & (left > 19) & any_ahead("_shorts", 1, 14, w),
+        "severe_break_7d": dry_season & (left > 28) & any_ahead("_longs", 1, 21, w),
         "heavy_rain": (left > 7) & heavy,
         "revival": (F.col(cols.streak) >= rules.active_streak)
         & (left > 7)
-        & forward_any("_revival", 1, 7, w),
+        & any_ahead("_revivals", 1, 7, w),
     }
     out = state.withColumns({CORE_TARGETS[h]: _byte(c) for h, c in labels.items()})
     return _drop_work(out, df.columns, list(CORE_TARGETS.values()))
@@ -154,19 +156,13 @@ def label_events_v1(
 
 def _second_generation_state(df, cols, rules) -> DataFrame:
     y = series_in_year(cols.key, cols.ts)
-    out = _base(df, cols, rules).withColumns(
-        {
-            "_ypos": position(y),
-            "_yn": length(y),
-            "_ynext": F.lead(cols.rain).over(y),
-            "_ysum3": forward_sum(cols.rain, 3, y),
-            "_yshort": run_starts(cols.rain, rules.short_run, rules.dry_below, y),
-        }
-    )
+    out = _base(df, cols, rules).withColumns({"_ypos": position(y), "_yn": length(y)})
+    # runs count only when they end inside the year they start in
+    in_year = F.col("_short") & (F.col("_ypos") + rules.short_run <= F.col("_yn"))
     out = out.withColumns(
         {
-            "_surge": _surge(cols, rules, pos="_ypos", n="_yn", nxt="_ynext", sum3="_ysum3"),
-            "_collapse": forward_any("_yshort", 2, 5, y),
+            "_surge": _surge(cols, rules, pos="_ypos", n="_yn"),
+            "_collapse": any_near(in_year, 2, 5, y),
         }
     )
     return _with_onset(out, cols, pos="_ypos")
@@ -179,23 +175,23 @@ def label_events_v2(
     w, y = series(cols.key, cols.ts), series_in_year(cols.key, cols.ts)
     state = _second_generation_state(df, cols, rules)
     left = F.col("_n") - F.col("_pos")
-    ahead = F.col("_onset") - F.col("_ypos")
+    distance = F.col("_onset") - F.col("_ypos")
     onset_season = in_months(cols.ts, rules.surge_months)
     dry_season = in_months(cols.ts, rules.dry_months)
-    false_event = F.col("_surge") & F.col("_collapse")
     labels = {
         "onset": F.when(
-            onset_season & (left > 24), F.coalesce(ahead.between(1, 14), F.lit(False))
+            onset_season & (left > 24), F.coalesce(distance.between(1, 14), F.lit(False))
         ),
         "false_onset": F.when(
-            onset_season & (left > 24), forward_any(false_event, 1, 14, y)
+            onset_season & (left > 24),
+            any_near(F.col("_surge") & F.col("_collapse"), 1, 14, y),
         ),
-        "dry_spell_5d": F.when(dry_season & (left > 19), forward_any("_short", 1, 14, w)),
-        "severe_break_7d": F.when(dry_season & (left > 28), forward_any("_long", 1, 21, w)),
-        "heavy_rain": F.when(left > 10, forward_any("_heavy", 1, 7, w)),
+        "dry_spell_5d": F.when(dry_season & (left > 19), any_ahead("_shorts", 1, 14, w)),
+        "severe_break_7d": F.when(dry_season & (left > 28), any_ahead("_longs", 1, 21, w)),
+        "heavy_rain": F.when(left > 10, any_ahead("_heavies", 1, 7, w)),
         "revival": F.when(
             dry_season & (left > 8),
-            (F.col(cols.streak) >= rules.active_streak) & forward_any("_revival", 1, 7, w),
+            (F.col(cols.streak) >= rules.active_streak) & any_ahead("_revivals", 1, 7, w),
         ),
     }
     out = state.withColumns({CORE_TARGETS[h]: _byte(c) for h, c in labels.items()})
@@ -211,15 +207,15 @@ def label_horizons(
     """Outlook labels per event and window, with availability and season flags."""
     w = series(cols.key, cols.ts)
     state = _base(df, cols, rules)
-    flags = {"dry_spell": "_short", "severe_break": "_long", "heavy_rain": "_heavy",
-             "revival": "_revival"}
+    counts = {"dry_spell": "_shorts", "severe_break": "_longs", "heavy_rain": "_heavies",
+              "revival": "_revivals"}
     added: dict[str, Column] = {}
     for window, (first, last) in horizons.items():
         known = F.col("_pos") + last + HORIZON_FOLLOW_UP < F.col("_n")
         added[f"label_available_{window}"] = known
-        for event, flag in flags.items():
+        for event, count in counts.items():
             season = known & in_months(cols.ts, HORIZON_MONTHS[event])
-            value = forward_any(flag, first, last, w)
+            value = any_ahead(count, first, last, w)
             if event == "revival":
                 value = (F.col(cols.streak) >= rules.active_streak) & value
             added[f"target_applicable_{event}_{window}"] = season

@@ -51,22 +51,53 @@ def trailing_mean(col: str, rows: int, w: WindowSpec) -> Column:
     return F.avg(col).over(w.rowsBetween(-(rows - 1), 0))
 
 
-def run_starts(col: str, rows: int, limit: float, w: WindowSpec) -> Column:
-    """Whether this and the next ``rows - 1`` values all exist and stay below ``limit``."""
-    frame = w.rowsBetween(0, rows - 1)
-    return (F.max(col).over(frame) < F.lit(limit)) & (F.count(col).over(frame) == rows)
+def ahead(col: str, rows: int, w: WindowSpec) -> Column:
+    return F.lead(col, rows).over(w)
 
 
-def forward_sum(col: str, rows: int, w: WindowSpec) -> Column:
-    """Sum of this and the next ``rows - 1`` values, null when the series ends before."""
-    frame = w.rowsBetween(0, rows - 1)
-    return F.when(F.count(col).over(frame) == rows, F.sum(col).over(frame))
+def running(flag: Column, w: WindowSpec) -> Column:
+    """Number of rows up to and including this one on which the flag holds.
+
+    Differences of running counts answer every question about a range of rows, so the
+    work per row does not grow with the length of the range.
+    """
+    return F.sum(flag.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def final(count: str, w: WindowSpec) -> Column:
+    """Value of a running count at the end of the series."""
+    return F.max(count).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
+def run_starts(broken: str, here: Column, rows: int, w: WindowSpec) -> Column:
+    """Whether a run of ``rows`` unbroken rows starts here and ends inside the series.
+
+    ``broken`` is the running count of rows that break a run and ``here`` says whether
+    this row does.
+    """
+    end = F.lead(broken, rows - 1).over(w)
+    return F.coalesce(~here & (end == F.col(broken)), F.lit(False))
 
 
-def forward_any(flag: Column | str, first: int, last: int, w: WindowSpec) -> Column:
-    """Whether a flag holds on any of the rows ``first`` to ``last`` ahead."""
-    col = F.col(flag) if isinstance(flag, str) else flag
-    return F.coalesce(F.max(col).over(w.rowsBetween(first, last)), F.lit(False))
+def any_ahead(count: str, first: int, last: int, w: WindowSpec) -> Column:
+    """Whether a flag with running count ``count`` holds ``first`` to ``last`` rows ahead.
+
+    Rows beyond the end of the series count as not flagged. ``first`` is at least 1.
+    """
+    total = final(count, w)
+
+    def upto(rows: int) -> Column:
+        return F.coalesce(F.lead(count, rows).over(w), total) if rows else F.col(count)
+
+    return upto(last) > upto(first - 1)
+
+
+def any_near(flag: Column, first: int, last: int, w: WindowSpec) -> Column:
+    """:func:`any_ahead` straight from the flag, for ranges of few rows.
+
+    It saves the pass that builds a running count.
+    """
+    return F.coalesce(F.max(flag).over(w.rowsBetween(first, last)), F.lit(False))
 
 
 def backfilled(col: str, w: WindowSpec) -> Column:

@@ -179,16 +179,18 @@ def climatology_skill(spark, sf_dir):
 
 # --- label panel: splits, balance and rates -----------------------------------------
 
-def long_labels(spark, sf_dir):
-    """Second-generation labels as (District, Date, month, event, y) with state and split."""
+def split_labels(spark, sf_dir):
+    """Second-generation labels with month, seven-day rain and purged split."""
     panel = weather_with_streak(spark, sf_dir)
     panel = panel.withColumn("rain7", trailing_sum("Rainfall_Observed_mm", 7, series("District", "Date")))
     labelled = L.label_events_v2(panel, rules=TEST_RULES)
     split = B.with_purged_split(labelled, "Date", train_until=TRAIN_UNTIL)
-    return B.unpivot_labels(
-        split.withColumn("month", F.month("Date")),
-        ["District", "Date", "month", "rain7", "split"], CORE_TARGETS,
-    )
+    return split.withColumn("month", F.month("Date"))
+
+
+def month_counts(spark, sf_dir):
+    """Known labels and events per split, district, month and event."""
+    return B.label_counts(split_labels(spark, sf_dir), ["split", "District", "month"], CORE_TARGETS)
 
 
 LONG_SQL = V2_LABELS + """,
@@ -208,8 +210,8 @@ select coalesce(split, 'gap') as split, event, count(y) as eligible, count(*) fi
 from lo group by 1, 2
 """)
 def label_class_balance(spark, sf_dir):
-    long = long_labels(spark, sf_dir).withColumn("split", F.coalesce("split", F.lit("gap")))
-    out = B.class_balance(long, ["split", "event"])
+    rows = split_labels(spark, sf_dir).withColumn("split", F.coalesce("split", F.lit("gap")))
+    out = B.class_balance(B.unpivot_labels(rows, ["split"], CORE_TARGETS), ["split", "event"])
     return tidy(
         out.withColumns(
             {"positive_rate": S.scaled("positive_rate", 6), "positive_weight": S.scaled("positive_weight", 4)}
@@ -234,17 +236,12 @@ ra as (select event, district, month, grouping(district) + grouping(month) as le
   from lo where split = 'train' group by grouping sets ((event, district, month), (event, month), (event)) having count(y) > 0)"""
 
 
-def label_counts(spark, sf_dir):
-    """Known labels and events per split, event, district and month."""
-    return B.month_counts(long_labels(spark, sf_dir), ["split", "event"], "District")
-
-
 @query("climatology_rates", f"""
 {RATES_SQL}
 select event, district, month, level, n, cast(events as bigint) as events, cast(round(events / cast(n as double) * 1e6) as bigint) as rate from ra
 """)
 def climatology_rates(spark, sf_dir):
-    counts = label_counts(spark, sf_dir).where("split = 'train'")
+    counts = month_counts(spark, sf_dir).where("split = 'train' and n > 0")
     rates = B.fallback_rates(counts, ["event"], "District")
     return tidy(rates.withColumnRenamed("District", "district").withColumn("rate", S.scaled("rate", 6)))
 
@@ -262,10 +259,11 @@ select event, district, month, case when fr is not null then 0 when gr3 is not n
  cast(round(coalesce(fr, gr3, orr) * 1e6) as bigint) as p, count(*) as n from ts where split = 'test' group by 1, 2, 3, 4, 5
 """)
 def district_month_rate_lookup(spark, sf_dir):
-    counts = B.month_counts(long_labels(spark, sf_dir), ["split", "event"], "District")
+    counts = durable(month_counts(spark, sf_dir))
     rates = B.fallback_rates(counts.where("split = 'train'"), ["event"], "District")
+    labelled = split_labels(spark, sf_dir).where("split = 'test'")
     rows = B.lookup_rates(
-        long_labels(spark, sf_dir).where("split = 'test'"), rates, ["event"], "District"
+        B.unpivot_labels(labelled, ["District", "month"], CORE_TARGETS), rates, ["event"], "District"
     )
     return tidy(
         rows.groupBy("event", F.col("District").alias("district"), "month", "rate_level", S.scaled("p", 6).alias("p"))
@@ -281,12 +279,12 @@ te as (select l.event, l.y, case when rain7 <= e1 then 0 when rain7 <= e2 then 1
 select event, cast(round(coalesce(rate, overall) * 1e6) as bigint) as p, count(*) as n, cast(sum(y) as bigint) as events from te left join bt using (event, b) group by 1, 2
 """)
 def recent_state_baseline(spark, sf_dir):
-    long = long_labels(spark, sf_dir).where(F.col("y").isNotNull())
-    rates = B.state_rates(long.where("split = 'train'"), ["event"], "rain7")
-    rows = B.state_baseline(long.where("split = 'test'"), rates, ["event"], "rain7")
+    counts = durable(B.label_counts(split_labels(spark, sf_dir), ["split", "rain7"], CORE_TARGETS))
+    rates = B.state_rates(counts.where("split = 'train'"), ["event"], "rain7")
+    rows = B.state_baseline(counts.where("split = 'test' and n > 0"), rates, ["event"], "rain7")
     return tidy(
         rows.groupBy("event", S.scaled("p", 6).alias("p")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("y").alias("events")
+            F.sum("n").alias("n"), F.sum("events").alias("events")
         )
     )
 
@@ -297,7 +295,7 @@ def baseline_counts(spark, sf_dir):
     The rates of a district and month are its score, so the label counts per district
     and month are all that is needed; the label panel is computed once.
     """
-    counts = durable(label_counts(spark, sf_dir))
+    counts = durable(month_counts(spark, sf_dir))
     rates = B.fallback_rates(counts.where("split = 'train'"), ["event"], "District")
     held_out = counts.where(F.col("split").isin("selection", "test") & (F.col("n") > 0))
     rows = B.lookup_rates(held_out, rates, ["event"], "District", month_only="p_month")

@@ -113,16 +113,17 @@ def test_purged_split_boundaries(spark):
 
 def test_rate_fallback_chain(spark):
     rows = [("e", "a", 6, 1), ("e", "a", 6, 0), ("e", "b", 7, 1), ("e", "b", 7, None), ("e", "c", 8, None)]
-    long = spark.createDataFrame(rows, "event string, District string, month int, y int")
-    rates = B.fallback_rates(B.month_counts(long, ["event"], "District"), ["event"], "District")
+    wide = spark.createDataFrame(rows, "event string, District string, month int, y int")
+    counts = B.label_counts(wide, ["District", "month"], {"e": "y"})
+    rates = B.fallback_rates(counts, ["event"], "District")
     asked = spark.createDataFrame([("e", "a", 6), ("e", "a", 7), ("e", "c", 8)], "event string, District string, month int")
     got = {(r["District"], r["month"]): (r["p"], r["rate_level"]) for r in B.lookup_rates(asked, rates, ["event"], "District").collect()}
     assert got == {("a", 6): (0.5, 0), ("a", 7): (1.0, 1), ("c", 8): (pytest.approx(2 / 3), 2)}
 
 
 def test_state_baseline_edges(spark):
-    train = spark.createDataFrame([("e", float(i), int(i > 5)) for i in range(10)], "event string, rain7 double, y int")
-    rates = B.state_rates(train, ["event"], "rain7")
+    train = spark.createDataFrame([(float(i), int(i > 5)) for i in range(10)], "rain7 double, y int")
+    rates = B.state_rates(B.label_counts(train, ["rain7"], {"e": "y"}), ["event"], "rain7")
     edges = rates.first()["edges"]
     assert edges == pytest.approx([2.97, 5.94])
     asked = spark.createDataFrame([("e", 0.0), ("e", 5.94), ("e", 100.0)], "event string, rain7 double")
