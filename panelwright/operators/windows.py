@@ -64,11 +64,6 @@ def running(flag: Column, w: WindowSpec) -> Column:
     return F.sum(flag.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def final(count: str, w: WindowSpec) -> Column:
-    """Value of a running count at the end of the series."""
-    return F.max(count).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-
-
 def run_starts(broken: str, here: Column, rows: int, w: WindowSpec) -> Column:
     """Whether a run of ``rows`` unbroken rows starts here and ends inside the series.
 
@@ -82,20 +77,18 @@ def run_starts(broken: str, here: Column, rows: int, w: WindowSpec) -> Column:
 def any_ahead(count: str, first: int, last: int, w: WindowSpec) -> Column:
     """Whether a flag with running count ``count`` holds ``first`` to ``last`` rows ahead.
 
-    Rows beyond the end of the series count as not flagged. ``first`` is at least 1.
+    False when the series ends before row ``last``: callers label such rows unavailable
+    anyway. ``first`` is at least 1.
     """
-    total = final(count, w)
-
-    def upto(rows: int) -> Column:
-        return F.coalesce(F.lead(count, rows).over(w), total) if rows else F.col(count)
-
-    return upto(last) > upto(first - 1)
+    before = F.lead(count, first - 1).over(w) if first > 1 else F.col(count)
+    return F.coalesce(F.lead(count, last).over(w) > before, F.lit(False))
 
 
 def any_near(flag: Column, first: int, last: int, w: WindowSpec) -> Column:
-    """:func:`any_ahead` straight from the flag, for ranges of few rows.
+    """The same straight from the flag, for ranges of few rows.
 
-    It saves the pass that builds a running count.
+    It saves the pass that builds a running count, and a range cut short by the end of
+    the series is searched as far as it goes.
     """
     return F.coalesce(F.max(flag).over(w.rowsBetween(first, last)), F.lit(False))
 

@@ -11,7 +11,7 @@ from panelwright.operators import forecast as O
 from panelwright.operators import quality as Q
 from panelwright.plans.area_tables import FORECAST_SQL, month_forecasts
 from panelwright.plans.catalog import query, tidy
-from panelwright.plans.tables import table
+from panelwright.plans.tables import panel_sql, table, weather_panel
 from panelwright.sources.tables import feature_json, parse_nested
 
 def keys():
@@ -445,3 +445,36 @@ def event_names_of_targets(spark, sf_dir):
     ).otherwise(F.concat(F.lit("target_"), F.col("event_type")))
     head, horizon = S.head_of_target(name)
     return tidy(table(spark, sf_dir, "events").select("event_id", head.alias("head"), horizon.alias("horizon")))
+
+
+@query("observation_features", f"""
+with {panel_sql()}, o as (select *, case when rain > 60 then null else rh end as h, case when ph = 8 then null else ph end as p,
+  case when rain % 5 = 0 then null else (rain % 21 - 10) / 10e0 end as dmi, tx < tn as sw from pw),
+e as (select *, case when sw then tn + 0.5e0 else tx end as hi, case when sw then tx else tn end as lo from o),
+v as (select *, 0.61078e0 * exp(17.27e0 * ((hi + lo) / 2e0) / ((hi + lo) / 2e0 + 237.3e0)) as es from e)
+select district, cast(dt as varchar) as day, cast(round(greatest(0.5e0, hi - lo) * 10) as bigint) as dtr,
+  cast(round(greatest(0e0, es - es * (h / 100e0)) * 1e5) * case when h is null then null else 1 end as bigint) as vpd,
+  cast(round(sin(2 * pi() * p / 8e0) * 1e5) as bigint) as ph_sin,
+  cast(dmi > 0.4 as bigint) as pos, cast(dmi < -0.4 as bigint) as neg, cast(round(dmi * 10) as bigint) as lag14,
+  concat_ws(',', case when h is null then 'vpd_kpa' end, case when p is null then 'mjo_phase_sin' end, case when dmi is null then 'iod_dmi' end) as missing from v
+""")
+def observation_features(spark, sf_dir):
+    rain = F.col("Rainfall_Observed_mm")
+    obs = weather_panel(spark, sf_dir).withColumns(
+        {
+            "Relative_Humidity_pct": F.when(rain <= 60, F.col("Relative_Humidity_pct")),
+            "MJO_Phase": F.when(F.col("MJO_Phase") != 8, F.col("MJO_Phase")),
+            "iod_dmi": F.when(rain % 5 != 0, (rain % 21 - 10) / 10.0),
+        }
+    )
+    done = O.with_missing(
+        O.complete_observation(obs), {"model": ("dtr_c", "vpd_kpa", "mjo_phase_sin", "iod_dmi", "doy_sin")}
+    )
+    return tidy(
+        done.select(
+            F.col("District").alias("district"), F.col("Date").alias("day"), S.scaled("dtr_c", 1).alias("dtr"),
+            S.scaled("vpd_kpa", 5).alias("vpd"), S.scaled("mjo_phase_sin", 5).alias("ph_sin"),
+            F.col("iod_positive_flag").alias("pos"), F.col("iod_negative_flag").alias("neg"),
+            S.scaled("iod_dmi_lag14", 1).alias("lag14"), F.array_join("missing_model", ",").alias("missing"),
+        )
+    )

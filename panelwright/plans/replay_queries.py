@@ -9,6 +9,7 @@ from panelwright.functions import scalars as S
 from panelwright.operators import labels as L
 from panelwright.operators import metrics as M
 from panelwright.operators import replay as R
+from panelwright.operators.staging import durable
 from panelwright.plans.catalog import query, tidy
 from panelwright.plans.panel_queries import V1_LABELS, big
 from panelwright.plans.score_queries import BIN_EDGES, METRIC_OUT, _edges, metric_columns, metrics_sql
@@ -18,7 +19,11 @@ REPLAY_YEAR = 2000
 
 
 def labelled(spark, sf_dir):
-    return L.label_events_v1(weather_with_streak(spark, sf_dir), rules=TEST_RULES)
+    """The labelled panel, staged: rates, inputs and outcomes are all read from it."""
+    panel = L.label_events_v1(weather_with_streak(spark, sf_dir), rules=TEST_RULES)
+    return durable(
+        panel.select("District", "Date", "Rainfall_Observed_mm", *CORE_TARGETS.values())
+    )
 
 
 def predictions(panel):
