@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.config import SPLIT_GAP_DAYS
+from panelwright.operators.metrics import exact_percentiles
 
 
 # --- splits ------------------------------------------------------------------
@@ -190,10 +191,10 @@ def state_rates(counts: DataFrame, by: list[str], state: str, shares=(0.33, 0.66
     :func:`label_counts`.
     """
     known = counts.where(F.col("n") > 0)
-    edges = known.groupBy(*by).agg(
-        F.percentile(state, F.array(*[F.lit(s) for s in shares]), F.col("n")).alias("edges"),
-        (F.sum("events") / F.sum("n")).alias("overall"),
-    )
+    overall = known.groupBy(*by).agg((F.sum("events") / F.sum("n")).alias("overall"))
+    edges = exact_percentiles(
+        known, state, list(shares), by=by, weight="n", name="edges"
+    ).join(overall, by)
     per_bucket = known.join(edges, by).groupBy(
         *by, state_bucket(F.col(state)).alias("bucket")
     ).agg(

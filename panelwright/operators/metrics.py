@@ -253,34 +253,70 @@ def skill_against_constant(
     )
 
 
+def exact_percentiles(
+    df: DataFrame, value: str, shares: list[float], *, by: list[str], weight: str | None = None,
+    name: str = "percentiles",
+) -> DataFrame:
+    """Exact percentiles per group with linear interpolation, as one array column.
+
+    Spark's own ``percentile`` holds every distinct value of a group in one task. Here
+    the distinct values are ranked with blocked running totals and only the two rows
+    next to each wanted position are picked, so any number of values is fine.
+    ``weight`` gives how often each row's value occurs.
+    """
+    kept = df.where(F.col(value).isNotNull())
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = durable(
+        kept.groupBy(*by, F.col(value).cast("double").alias("score")).agg(
+            times.alias("pos"), F.lit(0).cast("bigint").alias("neg")
+        )
+    )
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("_all"))
+    ranked = totals_above(counts, by=by).join(totals, by).withColumn(
+        "_first", F.col("_all") - F.col("pos_above") - F.col("pos")
+    )
+
+    def at(position: Column) -> Column:
+        here = position.between(F.col("_first"), F.col("_first") + F.col("pos") - 1)
+        return F.max(F.when(here, F.col("score")))
+
+    picks, arrays = [], []
+    for i, share in enumerate(shares):
+        spot = (F.col("_all") - 1) * F.lit(float(share))
+        picks += [at(F.floor(spot)).alias(f"_lo{i}"), at(F.ceil(spot)).alias(f"_hi{i}")]
+        part = spot - F.floor(spot)
+        arrays.append(F.col(f"_lo{i}") + part * (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
+    return ranked.groupBy(*by, "_all").agg(*picks).select(*by, F.array(*arrays).alias(name))
+
+
 def probability_distribution(scores: DataFrame, *, by: list[str], p: str = "p") -> DataFrame:
     """Minimum, percentiles, maximum and the shares above .95 and below .05."""
     marks = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90,
              "p95": 0.95, "p99": 0.99}
-    out = scores.groupBy(*by).agg(
+    ranges = scores.groupBy(*by).agg(
         F.min(p).alias("min"),
-        F.percentile(p, F.array(*[F.lit(m) for m in marks.values()])).alias("_q"),
         F.max(p).alias("max"),
         _ratio(F.count_if(F.col(p) > 0.95), F.count(p)).alias("share_above_95"),
         _ratio(F.count_if(F.col(p) < 0.05), F.count(p)).alias("share_below_05"),
     )
-    return out.select(
-        *by, "min", *[F.get("_q", F.lit(i)).alias(m) for i, m in enumerate(marks)],
+    q = exact_percentiles(scores, p, list(marks.values()), by=by)
+    return ranges.join(q, by).select(
+        *by, "min", *[F.get("percentiles", F.lit(i)).alias(m) for i, m in enumerate(marks)],
         "max", "share_above_95", "share_below_05",
     )
 
 
 def describe(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(
+    basics = df.groupBy(*by).agg(
         F.count(column).alias("count"), F.avg(column).alias("mean"),
-        F.stddev(column).alias("std"), F.min(column).alias("min"), q.alias("_q"),
-        F.max(column).alias("max"),
+        F.stddev(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"),
     )
-    return out.select(
-        *by, "count", "mean", "std", "min", F.get("_q", F.lit(0)).alias("q25"),
-        F.get("_q", F.lit(1)).alias("q50"), F.get("_q", F.lit(2)).alias("q75"), "max",
+    q = exact_percentiles(df, column, [0.25, 0.5, 0.75], by=by)
+    return basics.join(q, by).select(
+        *by, "count", "mean", "std", "min",
+        *[F.get("percentiles", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75"))],
+        "max",
     )
 
 

@@ -190,3 +190,13 @@ def test_class_balance_counts(spark):
     )
     got = {r["event"]: (r["eligible"], r["positive"], r["unknown"]) for r in B.class_balance(long, ["event"]).collect()}
     assert got == {"one": (2, 1, 0), "two": (1, 1, 1)}
+
+
+def test_exact_percentiles_equal_the_builtin(spark, scores):
+    df = spark.createDataFrame([*scores, ("single", 1, 0.7)], "event string, y int, p double")
+    shares = [0.0, 0.1, 0.33, 0.5, 0.66, 0.99, 1.0]
+    got = {r["event"]: r["percentiles"] for r in M.exact_percentiles(df, "p", shares, by=["event"]).collect()}
+    want = df.groupBy("event").agg(F.percentile("p", F.array(*[F.lit(s) for s in shares])).alias("q")).collect()
+    assert {r["event"] for r in want} == set(got)
+    for r in want:
+        assert got[r["event"]] == pytest.approx(r["q"], abs=1e-12)
