@@ -6,7 +6,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from panelwright.config import CORE_TARGETS, HORIZONS, RULES
 from panelwright.operators import labels as L

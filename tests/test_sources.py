@@ -6,7 +6,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from panelwright.operators import panel as P
 from panelwright.sources import tables as T
