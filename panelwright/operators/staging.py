@@ -3,22 +3,49 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint a table that many jobs reuse, in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, on storage that all executors share.
 
-    ``spark.checkpoint.dir`` must point to shared storage on a cluster, where the rows
-    survive the loss of executors; only when it is unset (local runs, tests) a folder of
-    our own is used.
+    Only a session whose tasks run inside the driver process (a local master, as in tests)
+    may leave it unset; it then gets one temporary folder. On a cluster an unset folder is
+    an error, because each executor would write to its own disk.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
+        master = context.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(
+                "spark.checkpoint.dir is not set: name a folder on storage that the driver"
+                " and all executors share"
+            )
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint a table that many jobs reuse, in the shared folder of the session."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a table once as Parquet in the shared folder and read it back.
+
+    Unlike a checkpoint the files are columnar: later reads take only the columns they
+    need, and filters reach the scan. Each call writes a new folder, so a job that is run
+    again never meets rows of an earlier one.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

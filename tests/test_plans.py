@@ -9,8 +9,9 @@ from compare import compare, connect
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from panelwright.plans import all_queries
 
-PLANS, SQL = entry.queries(), entry.oracle_sql()
+PLANS, SQL = all_queries()
 # strategies that pair all rows, and row-at-a-time Python
 BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "MapInPandas", "EvalPython")
 
