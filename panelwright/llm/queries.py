@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from panelwright.llm.catalog import PLANS, SQL, query, table
+from panelwright.llm.decontaminate import contamination
+from panelwright.llm.neardup import near_duplicates
 from panelwright.llm.shards import balanced_shards, text_size
 from panelwright.llm.tokens import token_counts
 
@@ -35,3 +37,50 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
+@query(
+    "op4_decontamination",
+    r"""
+    with doc as (
+        select doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from documents),
+    item as (
+        select item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from benchmark),
+    win as (
+        select distinct item_id, least(13, len(w)) as size,
+            array_to_string(w[i : i + least(13, len(w)) - 1], ' ') as g
+        from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i
+              from item where len(w) > 0)),
+    size as (select distinct size from win),
+    run as (
+        select doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') as g
+        from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i
+              from doc, size where len(w) >= size)),
+    hit as (
+        select doc_id, r.size, i, item_id from run r join win using (g)),
+    words as (
+        select doc_id, count(distinct p) as n_hit
+        from (select doc_id, unnest(range(i, i + size)) as p from (select distinct doc_id, size, i from hit))
+        group by doc_id),
+    items as (
+        select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+        from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit,
+        coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+    from doc left join words using (doc_id) left join items using (doc_id)
+    """,
+)
+def op4_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
