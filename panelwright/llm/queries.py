@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.catalog import PLANS, SQL, query, table
 from panelwright.llm.decontaminate import contamination
 from panelwright.llm.neardup import near_duplicates
+from panelwright.llm.quality import quality_verdicts
 from panelwright.llm.shards import balanced_shards, text_size
 from panelwright.llm.tokens import token_counts
 
@@ -84,3 +85,11 @@ def op3_near_duplicates(spark, sf_dir):
 )
 def op4_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf_dir):
+    return quality_verdicts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
