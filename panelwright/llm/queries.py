@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.catalog import PLANS, SQL, query, table
 from panelwright.llm.decontaminate import contamination
+from panelwright.llm.mixing import Mix, mixed_sample
 from panelwright.llm.neardup import near_duplicates
+from panelwright.llm.pii import KINDS, personal_data, span_text
 from panelwright.llm.quality import quality_verdicts
 from panelwright.llm.shards import balanced_shards, text_size
 from panelwright.llm.tokens import token_counts
@@ -15,6 +17,12 @@ from panelwright.llm.tokens import token_counts
 __all__ = ["PLANS", "SQL"]
 
 SHARDS = 40
+MIX = Mix(
+    source={"src0": 0.15} | {f"src{i}": 0.04 for i in range(1, 20)} | {"*": 0.09},
+    language={"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.10, "*": 0.05},
+    topic={"prose": 0.80, "note": 0.05, "numbers": 0.05, "markup": 0.05, "*": 0.05},
+    budget=0.5,
+)
 
 
 @query("op8_sharding")
@@ -93,3 +101,29 @@ def op2_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",
     )
+
+
+@query("op1_mixing")
+def op1_mixing(spark, sf_dir):
+    return mixed_sample(table(spark, sf_dir, "documents"), MIX)
+
+
+def _is(name):
+    return lambda kind: kind == name
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark, sf_dir):
+    found = personal_data(table(spark, sf_dir, "documents"))
+    base = [k.name for k in KINDS if k.base]
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter(F.transform("spans", lambda s: s["kind"]), _is(name)))
+            .cast("long")
+            .alias(f"n_{name}")
+            for name in base
+        ],
+        F.sha2(span_text(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )

@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from panelwright.llm.pii import KINDS, personal_data, redacted, span_text
+
+# The plain patterns of the base kinds.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10))
+                    for i, d in enumerate(reversed(digits)))
+        return 12 <= len(digits) <= 19 and total % 10 == 0
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    return True
+
+
+def brute(text):
+    found = []
+    for rank, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text or ""):
+            if valid(kind, m[0]):
+                found.append((m.start(), rank, kind, m.end()))
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(found)]
+
+
+def base_spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = personal_data(df).select(
+        "doc_id", span_text(F.filter("spans", lambda s: s["kind"].isin(*PLAIN))).alias("s"))
+    return {r.doc_id: [x for x in r.s.split(",") if x] for r in got.collect()}
+
+
+def test_base_kinds_equal_the_plain_patterns(spark):
+    rng = random.Random(2)
+    pieces = ["a@b.c", "x.y+z@mail-1.example.org", "@", ".", "..", "10.0.0.1", "256.1.1.1", "1.2.3",
+              "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+12",
+              "+49 30 1234567.", " ", "  ", "é", "🙂", "-", "0", "00012", "7", "word", "_", "%", "a@b.c_d@e.f",
+              "a@b", "+", "000001.02.3.255", "\n", "a@b.c.d.e@f.g"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", "", "x"]) for _ in range(rng.randint(0, 14)))
+             for _ in range(400)]
+    got = base_spans(spark, texts)
+    for i, text in enumerate(texts):
+        assert got[i] == brute(text), text
+
+
+def test_long_and_odd_texts(spark):
+    texts = [None, "", "a" * 60_000, "a@" * 20_000, "1" * 60_000, "1 " * 30_000, "+1" * 20_000,
+             "1." * 30_000, "a@b.c " * 3_000, "." * 50_000 + "@x.y"]
+    got = base_spans(spark, texts)
+    for i, text in enumerate(texts):
+        assert got[i] == brute(text), (text or "")[:40]
+
+
+def test_added_kind_scores_and_redaction(spark):
+    rows = [(1, "Bank account: GB82 WEST 1234 5698 7654 32 and more", "x"),
+            (2, "GB82WEST12345698765432", "x"), (3, "account GB82WEST12345698765433", "x"),
+            (None, "mail a@b.org, account DE89370400440532013000.", "x"), (1, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = personal_data(df)
+    kinds = sorted((str(r.doc_id), [s.kind for s in r.spans]) for r in got.collect())
+    assert kinds == [("1", []), ("1", ["iban"]), ("2", []), ("3", []), ("None", ["email", "iban"])]
+    text = rows[3][1]
+    out = spark.createDataFrame([(9, text)], "doc_id long, text string").join(
+        personal_data(spark.createDataFrame([(9, text)], "doc_id long, text string")), "doc_id")
+    assert out.select(redacted(F.col("text"), F.col("spans")).alias("t")).first().t == (
+        "mail [email], account [iban].")
+    assert personal_data(df.limit(0)).count() == 0
+    assert [k.name for k in KINDS if k.base] == list(PLAIN)
+
+
+def test_query_equals_brute_force(spark):
+    from panelwright.llm.queries import PLANS
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = PLANS["op10_personal_data"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        for kind in PLAIN:
+            assert r[f"n_{kind}"] == sum(w.startswith(kind + ":") for w in want)
