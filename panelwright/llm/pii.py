@@ -8,9 +8,10 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.arrays import sums_before
+
 CONTEXT_CHARS = 48  # characters before a span that are searched for context words
 KEEP_SCORE = 0.6  # spans of added kinds need this score; base kinds are always kept
-BLOCK = 256  # matches whose offsets are summed together
 
 _EMAIL_CHARS = r"[A-Za-z0-9._%+-]"
 
@@ -100,37 +101,6 @@ KINDS = (
 )
 
 
-def _running(values: Column, start: Column) -> Column:
-    """Sum before each value, from ``start`` on."""
-    return F.aggregate(
-        values,
-        F.struct(start.alias("sum"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.struct(
-            (s["sum"] + x).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out")
-        ),
-        lambda s: s["out"],
-    )
-
-
-def _before(values: Column) -> Column:
-    """Sum before each value; in blocks, so that long arrays do not cost their square."""
-    def total(v):
-        return F.aggregate(v, F.lit(0), lambda s, x: s + x)
-
-    def joined(blocks):
-        starts = _running(F.transform(blocks, total), F.lit(0))
-        return F.flatten(F.zip_with(blocks, starts, _running))
-
-    def of(v):
-        ends = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
-        blocks = F.transform(ends, lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
-        return F.transform(F.array(blocks), joined)[0]
-
-    return F.when(F.size(values) > 0, F.transform(F.array(values), of)[0]).otherwise(
-        F.array().cast("array<int>")
-    )
-
-
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 
@@ -150,7 +120,7 @@ def _spans(found: str, text: str, rank: int, kind: Kind) -> Column:
         F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m)
     )
     placed = F.zip_with(
-        F.zip_with(_before(lengths), pieces, lambda s, p: s + F.length(p)),
+        F.zip_with(sums_before(lengths), pieces, lambda s, p: s + F.length(p)),
         matches,
         lambda s, m: F.struct(s.alias("start"), m.alias("value")),
     )
