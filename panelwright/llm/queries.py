@@ -14,6 +14,7 @@ from panelwright.llm.pii import KINDS, personal_data, span_text
 from panelwright.llm.quality import quality_verdicts
 from panelwright.llm.shards import balanced_shards, text_size
 from panelwright.llm.tokens import token_counts
+from panelwright.llm.warc import read_bundles, write_bundles
 
 __all__ = ["PLANS", "SQL"]
 
@@ -241,3 +242,20 @@ def op7_chat_formatting(spark, sf_dir):
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query(
+    "op5_warc",
+    """
+    select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes,
+        sha256(coalesce(html, '')) as payload_digest,
+        case when octet_length(encode(coalesce(html, ''))) >= 100 and page_id <> first
+            then 'revisit' else 'response' end as record_type,
+        case when octet_length(encode(coalesce(html, ''))) >= 100 and page_id <> first
+            then first end as refers_to
+    from (select page_id, html, min(page_id) over (partition by coalesce(html, '')) as first from pages)
+    """,
+)
+def op5_warc(spark, sf_dir):
+    index = write_bundles(table(spark, sf_dir, "pages"))
+    return read_bundles(spark, index)
