@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.catalog import PLANS, SQL, query, table
 from panelwright.llm.chat import canonical_turns, formatted_chats, read_loss_text, read_turns
 from panelwright.llm.decontaminate import contamination
+from panelwright.llm.linespread import without_boilerplate
 from panelwright.llm.mixing import Mix, mixed_sample
 from panelwright.llm.neardup import near_duplicates
 from panelwright.llm.pii import KINDS, personal_data, span_text
@@ -259,3 +260,29 @@ def op7_chat_formatting(spark, sf_dir):
 def op5_warc(spark, sf_dir):
     index = write_bundles(table(spark, sf_dir, "pages"))
     return read_bundles(spark, index)
+
+
+@query(
+    "op6_line_spread",
+    r"""
+    with line as (
+        select doc_id, source, i, ls[i] as line,
+            trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare
+        from (select doc_id, source, ls, unnest(range(1, len(ls) + 1)) as i
+              from (select doc_id, source, string_split(text, chr(10)) as ls
+                    from documents where text is not null))),
+    wide as (
+        select bare from line where length(bare) >= 20
+        group by bare having count(distinct source) >= 10),
+    marked as (
+        select doc_id, i, line, length(bare) >= 20 and bare in (select bare from wide) as gone from line)
+    select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
+        sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as text_sha256
+    from marked group by doc_id
+    union all
+    select doc_id, 0, 0, null from documents where text is null
+    """,
+)
+def op6_line_spread(spark, sf_dir):
+    cleaned = without_boilerplate(table(spark, sf_dir, "documents"), min_sites=10, min_chars=20)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
