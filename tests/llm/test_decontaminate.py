@@ -14,17 +14,22 @@ def words(text):
 
 
 def brute(docs, items):
+    windows = {}
+    for item_id, item in items:
+        v = words(item)
+        size = min(13, len(v))
+        for k in range(len(v) - size + 1 if size else 0):
+            windows.setdefault(tuple(v[k : k + size]), set()).add("" if item_id is None else str(item_id))
+    sizes = {len(k) for k in windows}
     out = []
     for doc_id, text in docs:
         w, hit, found = words(text), set(), set()
-        for item_id, item in items:
-            v = words(item)
-            size = min(13, len(v))
-            for k in range(len(v) - size + 1 if size else 0):
-                for i in range(len(w) - size + 1):
-                    if w[i : i + size] == v[k : k + size]:
-                        hit |= set(range(i, i + size))
-                        found.add("" if item_id is None else str(item_id))
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                owners = windows.get(tuple(w[i : i + size]))
+                if owners:
+                    hit |= set(range(i, i + size))
+                    found |= owners
         names = ",".join(sorted(found))
         out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(),
                     bool(hit) and 20 * len(hit) >= len(w)))
