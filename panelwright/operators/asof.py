@@ -28,7 +28,17 @@ def asof_join(
     in the newest earlier value; the rest is one running window inside (key, block).
     No range join, no pairs, and the right side is never broadcast. Right rows with
     equal key and time are resolved to the greatest ``tie`` columns (default: ``cols``).
+    A null key or a null time matches nothing: such left rows get nulls and take no part in
+    the shuffle, such right rows are left out.
     """
+    known = F.lit(True)
+    for column in by:
+        known = known & F.col(column).isNotNull()
+    right = right.where(known)
+    unmatched = left.where(~known | F.col(left_ts).isNull()) if by else left.where(
+        F.col(left_ts).isNull()
+    )
+    left = left.where(known & F.col(left_ts).isNotNull())
     value = F.struct(*cols)
     rank = F.struct(*[F.col(c) for c in (tie or cols)])
     latest = (
@@ -70,7 +80,11 @@ def asof_join(
         .withColumn("_found", F.last("_value", ignorenulls=True).over(running))
         .where("_side = 2")
     )
-    return merged.select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in cols])
+    found = merged.select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in cols])
+    types = {f.name: f.dataType for f in right.schema.fields}
+    return found.unionByName(
+        unmatched.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in cols])
+    )
 
 
 def weekly_releases(raw: DataFrame, delay: int = WEEKLY_RELEASE_DELAY) -> DataFrame:

@@ -10,9 +10,14 @@ from panelwright.config import CORE_TARGETS, HORIZON_MONTHS, HORIZONS, PANEL, Pa
 from panelwright.functions import scalars as S
 
 
-def calendar(spark: SparkSession, start: str, end: str, ts: str = "Date") -> DataFrame:
+def _day(value: str | Column) -> Column:
+    """A date given as text, or as a column such as a scalar subquery over the data."""
+    return value if isinstance(value, Column) else F.to_date(F.lit(value))
+
+
+def calendar(spark: SparkSession, start: str | Column, end: str | Column, ts: str = "Date") -> DataFrame:
     """One row per day, both ends included."""
-    days = F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
+    days = F.sequence(_day(start), _day(end))
     return spark.range(1).select(F.explode(days).alias(ts))
 
 
@@ -22,8 +27,8 @@ def densify_daily(
     key: str,
     ts: str,
     measures: dict[str, Column],
-    start: str,
-    end: str,
+    start: str | Column,
+    end: str | Column,
     keys: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key and calendar day with every measure at its default on empty days.
@@ -35,7 +40,7 @@ def densify_daily(
     to the next row of the key, so only the sparse rows are shuffled; the dense rows
     are created after that shuffle and stay partitioned by key for later windows.
     """
-    first, last = F.to_date(F.lit(start)), F.to_date(F.lit(end))
+    first, last = _day(start), _day(end)
     rows = sparse.where(F.col(ts).between(first, last)).select(
         key, ts, F.lit(True).alias("_real"), *measures
     )

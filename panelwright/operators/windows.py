@@ -104,10 +104,12 @@ def with_dry_streak(
     """Count of consecutive rows below ``limit`` up to and including each row.
 
     Each row's distance to the last wet row: two functions over the same window, no
-    grouping by run and hence no second sort.
+    grouping by run and hence no second sort. A row without a measured value ends the run,
+    as a wet row does.
     """
     w = series(cols.key, cols.ts)
-    wet_position = F.when(F.col(cols.rain) >= F.lit(limit), F.col("_pos"))
+    wet = F.coalesce(F.col(cols.rain) >= F.lit(limit), F.lit(True))
+    wet_position = F.when(wet, F.col("_pos"))
     last_wet = F.max(wet_position).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = (
         with_year(df, cols.ts)

@@ -157,7 +157,7 @@ def villages_in_several_blocks(spark, sf_dir):
 
 
 MISSING_SQL = AREA_SQL + """,
-lost as (select * from reg where body_code <> '0' and body_code not in (select body_code from safe where body_code <> '0' and size > 48)),
+lost as (select * from reg where body_code <> '0' and body_code not in (select body_code from safe where body_code <> '0')),
 mem as (select body_code, vill_code, min(block_code) as mb from lost group by 1, 2),
 fl as (select m.*, exists (select 1 from poly p where p.vill_code = m.vill_code) as pres,
    (select registry_rows from vf where vf.vill_code = m.vill_code) > 1 as shared,
@@ -180,7 +180,7 @@ mu as (select nm.*, cn.* exclude (body_code), num_villages - num_in_survey as nu
 
 def missing(spark, sf_dir):
     polygons, registry = sides(spark, sf_dir)
-    return R.missing_units(registry, R.safe_rows(polygons, registry).where(F.col("size") > 48), polygons)
+    return R.missing_units(registry, R.safe_rows(polygons, registry), polygons)
 
 
 @query("missing_units", f"with {MISSING_SQL} select * from mu")

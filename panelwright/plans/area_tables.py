@@ -8,12 +8,26 @@ from panelwright.operators import registry as R
 from panelwright.plans.tables import table
 
 
+VILLAGE_TYPES = ["PROMO", "ECONOMY", "LARGE", "SMALL", "MEDIUM", "STANDARD"]
+
+
+def villages(spark, sf_dir):
+    """Orders as villages: a size from 1 to 50, one of six types and a district mark."""
+    key, owner = F.col("o_orderkey"), F.col("o_custkey")
+    types = F.array(*map(F.lit, VILLAGE_TYPES))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("village"),
+        (key % 50 + 1).cast("int").alias("size"),
+        F.get(types, (owner % 6).cast("int")).alias("type"),
+        (owner % 25).alias("mark"),
+    )
+
+
 def registry_rows(spark, sf_dir):
-    """Part (village) to supplier (body) pairs of the large-quantity lines."""
+    """Villages (orders) and their bodies (a supplier's fortieth) from all lines."""
     pairs = (
         table(spark, sf_dir, "lineitem")
-        .where(F.col("l_quantity") >= 49)
-        .select("l_partkey", "l_suppkey")
+        .select(F.col("l_orderkey").alias("village"), "l_suppkey")
         .distinct()
     )
     supplier = table(spark, sf_dir, "supplier").select(
@@ -26,17 +40,18 @@ def registry_rows(spark, sf_dir):
         F.col("r_regionkey").alias("n_regionkey"), "r_name"
     )
     joined = pairs.join(supplier.join(nation.join(region, "n_regionkey"), "s_nationkey"), "l_suppkey")
+    body = F.col("l_suppkey") * 100 + F.col("village") % 40
     raw = joined.select(
         F.col("l_suppkey"),
-        F.concat(F.lit(" "), F.col("l_partkey").cast("string"), F.lit(".0")).alias("vill_code"),
-        F.concat(F.lit("V"), F.col("l_partkey")).alias("vill_name"),
+        F.concat(F.lit(" "), F.col("village").cast("string"), F.lit(".0")).alias("vill_code"),
+        F.concat(F.lit("V"), F.col("village")).alias("vill_name"),
         F.concat(F.lit("D"), F.col("n_regionkey")).alias("dist_code"),
         (F.col("n_regionkey") + 100).cast("string").alias("dist_census_code"),
         F.col("r_name").alias("dist_name"),
         F.col("s_nationkey").cast("string").alias("block_code"),
         F.col("n_name").alias("block_name"),
-        F.when(F.col("s_acctbal") < 0, "0").otherwise(F.col("l_suppkey").cast("string")).alias("body_code"),
-        F.col("s_name").alias("body_name"),
+        F.when(F.col("s_acctbal") < 0, "0").otherwise(body.cast("string")).alias("body_code"),
+        F.concat_ws("-", "s_name", F.col("village") % 40).alias("body_name"),
     )
     return R.normalise(
         raw, ["vill_code", "dist_code", "dist_census_code", "block_code", "body_code"],
@@ -45,32 +60,32 @@ def registry_rows(spark, sf_dir):
 
 
 def polygon_rows(spark, sf_dir):
-    """Parts as polygon rows: missing and dotted codes, second copies, shifted blocks."""
+    """Villages as polygon rows: missing and dotted codes, second copies, shifted blocks."""
     first = (
         registry_rows(spark, sf_dir)
-        .groupBy(F.col("vill_code").cast("bigint").alias("p_partkey"))
+        .groupBy(F.col("vill_code").cast("bigint").alias("village"))
         .agg(F.min_by(F.col("block_code").cast("int"), "l_suppkey").alias("_block"))
     )
-    size = F.col("p_size")
+    size = F.col("size")
     block = F.coalesce(
         F.when(size > 45, (F.col("_block") + 1) % 25).otherwise(F.col("_block")), size % 25
     )
-    key = F.col("p_partkey").cast("string")
-    rows = table(spark, sf_dir, "part").join(first, "p_partkey", "left").withColumn("_b", block)
+    key = F.col("village").cast("string")
+    rows = villages(spark, sf_dir).join(first, "village", "left").withColumn("_b", block)
     rows = rows.withColumn(
-        "copy", F.explode(F.when(F.col("p_type") == "PROMO", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+        "copy", F.explode(F.when(F.col("type") == "PROMO", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
     )
     raw = rows.select(
-        (F.col("p_partkey") * 10 + F.col("copy")).alias("poly_id"),
-        F.when(F.col("p_brand") == "Brand#13", "NaN")
-        .when(F.col("p_type") == "ECONOMY", F.concat(key, F.lit(".0")))
+        (F.col("village") * 10 + F.col("copy")).alias("poly_id"),
+        F.when(F.col("mark") == 13, "NaN")
+        .when(F.col("type") == "ECONOMY", F.concat(key, F.lit(".0")))
         .otherwise(key).alias("vill_code"),
         F.concat(F.lit("V"), key).alias("vill_name"),
         F.col("_b").cast("string").alias("block_code"),
         (F.col("_b") % 5 + 100).cast("string").alias("dist_code"),
         F.concat(F.lit("District "), F.col("_b") % 5).alias("district"),
         F.when(size == 7, "Kalna - l").otherwise(F.concat(F.lit("nation_"), F.col("_b"))).alias("sub_dist"),
-        F.when(F.col("p_type") == "LARGE", "CD_BLOCK").when(F.col("p_type") == "SMALL", "Municipality")
+        F.when(F.col("type") == "LARGE", "CD_BLOCK").when(F.col("type") == "SMALL", "Municipality")
         .otherwise("CD_Block ").alias("subdis_typ"),
         size.alias("size"),
     )
@@ -78,23 +93,26 @@ def polygon_rows(spark, sf_dir):
 
 
 AREA_SQL = """
-reg as (select distinct l_suppkey, cast(l_partkey as varchar) as vill_code, 'V' || l_partkey as vill_name,
+vil as (select o_orderkey as village, o_orderkey % 50 + 1 as size, o_custkey % 25 as mark,
+    ['PROMO', 'ECONOMY', 'LARGE', 'SMALL', 'MEDIUM', 'STANDARD'][o_custkey % 6 + 1] as type from orders),
+reg as (select distinct l_suppkey, cast(l_orderkey as varchar) as vill_code, 'V' || l_orderkey as vill_name,
     'D' || n_regionkey as dist_code, cast(n_regionkey + 100 as varchar) as dist_census_code, r_name as dist_name,
     cast(s_nationkey as varchar) as block_code, n_name as block_name,
-    case when s_acctbal < 0 then '0' else cast(l_suppkey as varchar) end as body_code, s_name as body_name, l_partkey
+    case when s_acctbal < 0 then '0' else cast(l_suppkey * 100 + l_orderkey % 40 as varchar) end as body_code,
+    s_name || '-' || (l_orderkey % 40) as body_name, l_orderkey as village
   from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey
-  join region on r_regionkey = n_regionkey where l_quantity >= 49),
-fb as (select l_partkey, arg_min(cast(block_code as int), l_suppkey) as b0 from reg group by 1),
-pl as (select *, coalesce(case when p_size > 45 then (b0 + 1) % 25 else b0 end, p_size % 25) as b
-  from part left join fb on l_partkey = p_partkey),
-poly as (select p_partkey * 10 + copy as poly_id,
-    case when p_brand = 'Brand#13' then null else cast(p_partkey as varchar) end as vill_code,
-    'V' || p_partkey as vill_name, cast(b as varchar) as block_code, cast(b % 5 + 100 as varchar) as dist_code,
+  join region on r_regionkey = n_regionkey),
+fb as (select village, arg_min(cast(block_code as int), l_suppkey) as b0 from reg group by 1),
+pl as (select *, coalesce(case when size > 45 then (b0 + 1) % 25 else b0 end, size % 25) as b
+  from vil left join fb using (village)),
+poly as (select village * 10 + copy as poly_id,
+    case when mark = 13 then null else cast(village as varchar) end as vill_code,
+    'V' || village as vill_name, cast(b as varchar) as block_code, cast(b % 5 + 100 as varchar) as dist_code,
     'District ' || (b % 5) as district,
-    case when p_size = 7 then 'Kalna - l' else 'nation_' || b end as sub_dist,
-    case when p_type = 'LARGE' then 'CD_BLOCK' when p_type = 'SMALL' then 'Municipality' else 'CD_Block ' end as subdis_typ,
-    p_size as size
-  from (select *, unnest(case when p_type = 'PROMO' then [1, 2] else [1] end) as copy from pl)),
+    case when size = 7 then 'Kalna - l' else 'nation_' || b end as sub_dist,
+    case when type = 'LARGE' then 'CD_BLOCK' when type = 'SMALL' then 'Municipality' else 'CD_Block ' end as subdis_typ,
+    size
+  from (select *, unnest(case when type = 'PROMO' then [1, 2] else [1] end) as copy from pl)),
 vf as (select vill_code, count(*) as registry_rows, count(distinct body_code) as n_bodies from reg group by 1),
 cls as (select p.*, case when vf.vill_code is null then 'UNMATCHED'
     when not exists (select 1 from reg r where r.vill_code = p.vill_code and r.block_code = p.block_code) then 'ADMINISTRATIVE_MISMATCH'

@@ -12,8 +12,8 @@ from panelwright.operators import windows as W
 from panelwright.plans.catalog import query, tidy
 from panelwright.plans.panel_queries import big
 from panelwright.plans.tables import (
-    END,
-    START,
+    ENDS_SQL,
+    calendar_ends,
     panel_sql,
     table,
     weather_panel,
@@ -21,7 +21,7 @@ from panelwright.plans.tables import (
 )
 from panelwright.sources import text as X
 
-WARM = "1994-12-02"
+WARM_DAYS = 30  # days before the calendar, so that its first days have lags
 
 
 def order_weeks(spark, sf_dir):
@@ -45,7 +45,8 @@ nin as (select y, m, cast(make_date(y, m, 1) + interval 1 month as date) as av,
 
 
 def index_days(spark, sf_dir, **kwargs):
-    days = P.calendar(spark, WARM, END)
+    first, last = calendar_ends(spark, sf_dir)
+    days = P.calendar(spark, F.date_sub(first, WARM_DAYS), last)
     daily = A.daily_release_values(
         days, order_weeks(spark, sf_dir),
         cols=["period_start", "period_end", "available_date", "iod_dmi"],
@@ -54,7 +55,7 @@ def index_days(spark, sf_dir, **kwargs):
 
 
 INDEX_SQL = f"""
-cal as (select cast(unnest(generate_series(date '{WARM}', date '{END}', interval 1 day)) as date) as dt),
+cal as (select cast(unnest(generate_series(first_day - {WARM_DAYS}, last_day, interval 1 day)) as date) as dt, first_day from {ENDS_SQL}),
 aj as (select c.dt, r.ps, r.pe, r.av, r.v from cal c asof left join rel r on r.av <= c.dt),
 idx as (select *, coalesce(cast(v / 100e0 > 0.4 as bigint), 0) as pos, coalesce(cast(v / 100e0 < -0.4 as bigint), 0) as neg,
   lag(v, 7) over (order by dt) as v7, lag(v, 14) over (order by dt) as v14 from aj)"""
@@ -63,10 +64,11 @@ idx as (select *, coalesce(cast(v / 100e0 > 0.4 as bigint), 0) as pos, coalesce(
 @query("weekly_release_asof", f"""
 with {WEEKS_SQL}, {INDEX_SQL}
 select cast(dt as varchar) as day, cast(pe as varchar) as period_end, v, pos, neg, v7, v14 from idx
-where dt >= date '{START}'
+where dt >= (select min(first_day) from cal)
 """)
 def weekly_release_asof(spark, sf_dir):
-    df = index_days(spark, sf_dir).where(F.col("Date") >= F.to_date(F.lit(START)))
+    first, _ = calendar_ends(spark, sf_dir)
+    df = index_days(spark, sf_dir).where(F.col("Date") >= first)
     return tidy(
         df.select(
             F.col("Date").alias("day"), "period_end", S.scaled("iod_dmi", 2).alias("v"),
@@ -270,7 +272,7 @@ def full_coverage_hours(spark, sf_dir):
 with {WEEKS_SQL},
 c as (select cast(o_orderdate as date) as dt from orders where o_totalprice is not null group by 1
       having count(distinct o_orderpriority) = 5),
-s as (select distinct cast(l_shipdate as date) as dt from lineitem where l_returnflag = 'A' and l_quantity >= 25)
+s as (select distinct cast(l_shipdate as date) as dt from lineitem)
 select cast(coalesce(case when (select min(av) from rel) <= (select max(dt) from c)
   then (select max(c.dt) from c join s using (dt)) end, date '1994-12-31') as varchar) as common_date
 """)
@@ -279,7 +281,7 @@ def latest_common_date(spark, sf_dir):
         F.col("o_orderpriority").alias("District"), F.col("o_orderdate").cast("date").alias("Date"),
         "o_totalprice",
     )
-    daily = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity >= 25").select(
+    daily = table(spark, sf_dir, "lineitem").select(
         F.col("l_shipdate").cast("date").alias("Date")
     )
     return tidy(
@@ -305,7 +307,7 @@ def features_as_of(spark, sf_dir):
         F.coalesce("iod_dmi_lag14", "iod_dmi").alias("iod_dmi_lag14"),
     )
     months = A.daily_release_values(
-        P.calendar(spark, START, END), order_months(spark, sf_dir), cols=["Nino34_Anomaly"]
+        P.calendar(spark, *calendar_ends(spark, sf_dir)), order_months(spark, sf_dir), cols=["Nino34_Anomaly"]
     )
     return A.attach_daily(A.attach_daily(at_ref, index), months)
 
@@ -419,13 +421,12 @@ def monthly_index_lines(spark, sf_dir):
 @query("wide_year_lines", """
 with y as (select distinct year(o_orderdate) as year from orders),
 m as (select year, cast(unnest(range(1, 13)) as bigint) as month from y),
-c as (select year(o_orderdate) as year, month(o_orderdate) as month, count(*) as n from orders
-      where o_orderstatus = 'F' and o_totalprice > 250000 group by 1, 2)
+c as (select year(o_orderdate) as year, month(o_orderdate) as month, count(*) as n from orders group by 1, 2)
 select m.year, m.month, c.n as value from m left join c on c.year = m.year and c.month = m.month
 """)
 def wide_year_lines(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    n = F.count_if((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 250000))
+    n = F.count(F.lit(1))
     wide = (
         orders.groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("m"))
         .agg(n.alias("n"))

@@ -66,13 +66,13 @@ HEADLINE_SQL = f"""case
 
 @query("headline_advisories", f"""
 with {FORECAST_SQL}, h as (select *, {HEADLINE_SQL} as headline from fc)
-select {KEYS_SQL}, headline, left(case headline {' '.join(f"when '{O.HEADLINES[k]}' then '{O.ACTIONS[k]}'" for k in O.HEADLINES)} end, 40) as action from h
+select {KEYS_SQL}, headline, (case headline {' '.join(f"when '{O.HEADLINES[k]}' then '{O.ACTIONS[k]}'" for k in O.HEADLINES)} end) as action from h
 """)
 def headline_advisories(spark, sf_dir):
     return tidy(
         O.headline_advisory(month_forecasts(spark, sf_dir)).select(
             *keys(), F.col("advisory_headline").alias("headline"),
-            F.substring("recommended_action", 1, 40).alias("action"),
+            F.col("recommended_action").alias("action"),
         )
     )
 

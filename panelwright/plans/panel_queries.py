@@ -13,8 +13,6 @@ from panelwright.operators import quality as Q
 from panelwright.operators import windows as W
 from panelwright.plans.catalog import query, tidy
 from panelwright.plans.tables import (
-    END,
-    START,
     TEST_RULES,
     panel_sql,
     sparse_weather,
@@ -443,7 +441,7 @@ dense as (select district, dt, sum(rain) over (w rows between 6 preceding and cu
           from pw window w as (partition by district order by dt)),
 sp as (select district, dt, sum(rain) over (w rows between 6 preceding and current row) as s7,
               sum(rain) over (w rows between 29 preceding and current row) as s30
-       from ag where dt between date '{START}' and date '{END}' window w as (partition by district order by dt))
+       from ag window w as (partition by district order by dt))
 select cast(count(*) as bigint) as total_rows,
   cast(count(*) filter (abs(sp.s7 - dense.s7) > 0.01) as bigint) as sum7,
   cast(count(*) filter (abs(sp.s30 - dense.s30) > 0.01) as bigint) as sum30

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.config import RULES
 from panelwright.operators.panel import densify_daily
 from panelwright.operators.windows import YEAR, with_dry_streak
 
-START, END = "1995-01-01", "2001-12-31"
+# First and last day of the whole years in which lines were shipped.
+ENDS_SQL = """(select make_date(year(min(l_shipdate)), 1, 1) as first_day,
+      make_date(year(max(l_shipdate)), 12, 31) as last_day from lineitem) ends"""
 
 # The wet zone of the test tables is one of the five regions.
 TEST_RULES = replace(RULES, wet_zone_token="asia")
@@ -26,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def calendar_ends(spark: SparkSession, sf_dir: str) -> tuple[Column, Column]:
+    """First and last day of the whole years that the lines cover, as scalar subqueries."""
+    shipped = table(spark, sf_dir, "lineitem").select("l_shipdate")
+    first = shipped.agg(F.trunc(F.min("l_shipdate"), "year")).scalar()
+    last = shipped.agg(
+        F.date_sub(F.add_months(F.trunc(F.max("l_shipdate"), "year"), 12), 1)
+    ).scalar()
+    return first, last
+
+
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier (district) with its nation (block level parent) and region (zone)."""
     nation = table(spark, sf_dir, "nation").select(
@@ -68,12 +80,13 @@ def sparse_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weather_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per supplier and day, empty days dry and mild."""
+    first, last = calendar_ends(spark, sf_dir)
     dense = densify_daily(
         sparse_weather(spark, sf_dir),
         key="District",
         ts="Date",
-        start=START,
-        end=END,
+        start=first,
+        end=last,
         measures={
             "Rainfall_Observed_mm": F.lit(0.0),
             "_rows": F.lit(0),
@@ -111,8 +124,8 @@ ag as (select l_suppkey as district, cast(l_shipdate as date) as dt,
               cast(min(l_quantity) as bigint) as tx, min(l_linenumber) * 4 as tn
        from lineitem group by 1, 2),
 gr as (select district, nation, zone,
-              cast(unnest(generate_series(date '{START}', date '{END}', interval 1 day)) as date) as dt
-       from zn),
+              cast(unnest(generate_series(first_day, last_day, interval 1 day)) as date) as dt
+       from zn, {ENDS_SQL}),
 pw as (select g.district, g.nation, g.zone, g.dt, coalesce(a.rain, 0) as rain,
               least(100, 60 + 15 * coalesce(a.n, 0)) as rh,
               coalesce(a.tx, 32) as tx, coalesce(a.tn, 24) as tn,

@@ -49,22 +49,28 @@ def read_zone_folder(spark: SparkSession, folder: str, zones: dict[str, str], co
 
 
 def read_table(spark: SparkSession, parquet: str, csv: str, schema: str) -> DataFrame:
-    """Parquet when it exists, else CSV with the given schema."""
+    """Parquet when it exists, else CSV with the given schema; other errors are raised."""
     try:
         return spark.read.parquet(parquet)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.read.csv(csv, header=True, schema=schema)
 
 
 def read_registry(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Registry export with a title line and a header line: all columns as text.
 
-    ``names`` are the header names; the village code may be null.
+    ``names`` are the header names. The header line is the one that repeats all of them;
+    the title line is the one without any separator. Every other line is a row, whatever
+    columns it leaves empty.
     """
     fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names))
-    rows = spark.read.text(path).select(fields.alias("r")).select("r.*")
-    # the title line has one field only, the header line repeats the names
-    return rows.where(F.col(names[1]).isNotNull() & (F.col(names[1]) != names[1]))
+    lines = spark.read.text(path).where(F.col("value").contains(","))
+    header = F.lit(True)
+    for name in names:
+        header = header & F.coalesce(F.trim(F.col(f"r.`{name}`")) == name, F.lit(False))
+    return lines.select(fields.alias("r")).where(~header).select("r.*")
 
 
 def read_elevation(spark: SparkSession, path: str) -> DataFrame:
