@@ -85,8 +85,14 @@ def is_open(rings: Column) -> Column:
 
 
 def segments(df: DataFrame, id_col: str, rings: str) -> DataFrame:
-    """One row per ring edge: unit, ring, edge number, number of edges, end points."""
-    ring_rows = df.select(F.col(id_col), F.posexplode(rings).alias("ring", "pts"))
+    """One row per ring edge: unit, ring, edge number, number of edges, end points.
+
+    Points that repeat their predecessor make no edge and are left out before numbering.
+    """
+    bare = F.transform(
+        rings, lambda r: F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1)))
+    )
+    ring_rows = df.select(F.col(id_col), F.posexplode(bare).alias("ring", "pts"))
     return ring_rows.select(
         id_col,
         "ring",
@@ -101,17 +107,17 @@ def segments(df: DataFrame, id_col: str, rings: str) -> DataFrame:
         id_col, "ring", "edges", "edge",
         F.col("pq.p.x").alias("px"), F.col("pq.p.y").alias("py"),
         F.col("pq.q.x").alias("qx"), F.col("pq.q.y").alias("qy"),
-    ).where("qx is not null and (px != qx or py != qy)")
+    ).where("qx is not null")
 
 
-def self_intersections(df: DataFrame, id_col: str, rings: str) -> DataFrame:
-    """Number of properly crossing edge pairs per ring, rings without any left out.
+def _cells(seg: DataFrame, id_col: str) -> DataFrame:
+    """Each edge in the cells of its feature's grid that it passes, and in no others.
 
-    Edges meet only inside cells of a grid fitted to their ring (about as many cells
-    as edges), so a long ring is spread over cells instead of pairing all its edges.
+    The grid has about as many cells as the feature has edges. An edge is cut at the
+    borders of the columns it crosses; within a column it covers the rows between the two
+    cuts, so a long edge costs a cell per step and not its whole bounding box.
     """
-    seg = segments(df, id_col, rings)
-    frame = seg.groupBy(id_col, "ring").agg(
+    frame = seg.groupBy(id_col).agg(
         F.min(F.least("px", "qx")).alias("x0"),
         F.min(F.least("py", "qy")).alias("y0"),
         (F.max(F.greatest("px", "qx")) - F.min(F.least("px", "qx"))).alias("wx"),
@@ -119,68 +125,133 @@ def self_intersections(df: DataFrame, id_col: str, rings: str) -> DataFrame:
         F.ceil(F.sqrt(F.count(F.lit(1)))).cast("int").alias("cells"),
     )
 
-    def cell(value: Column, origin: str, width: str) -> Column:
-        share = F.when(F.col(width) > 0, (value - F.col(origin)) / F.col(width)).otherwise(0.0)
-        return F.floor(share * F.col("cells")).cast("int")
-
-    placed = (
-        seg.join(frame, [id_col, "ring"])
-        .withColumn(
-            "cx",
-            F.explode(
-                F.sequence(
-                    cell(F.least("px", "qx"), "x0", "wx"),
-                    cell(F.greatest("px", "qx"), "x0", "wx"),
-                )
-            ),
-        )
-        .withColumn(
-            "cy",
-            F.explode(
-                F.sequence(
-                    cell(F.least("py", "qy"), "y0", "wy"),
-                    cell(F.greatest("py", "qy"), "y0", "wy"),
-                )
-            ),
-        )
-        .select(id_col, "ring", "cx", "cy", "edge", "px", "py", "qx", "qy")
+    def share(value: str, origin: str, width: str) -> Column:
+        part = (F.col(value) - F.col(origin)) / F.col(width) * F.col("cells")
+        return F.when(F.col(width) > 0, part).otherwise(0.0)
+
+    scaled = seg.join(frame, id_col).select(
+        id_col, "cells", "ring", "edges", "edge", "px", "py", "qx", "qy",
+        share("px", "x0", "wx").alias("ux"), share("py", "y0", "wy").alias("uy"),
+        share("qx", "x0", "wx").alias("vx"), share("qy", "y0", "wy").alias("vy"),
     )
-    ends = ("edge", "px", "py", "qx", "qy")
-    a = placed.select(id_col, "ring", "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in ends])
-    b = placed.select(id_col, "ring", "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ends])
+    slack = 1e-9  # rounding of the cuts; a cell too many costs time, one too few a crossing
+    low, high = F.least("ux", "vx"), F.greatest("ux", "vx")
+    by_column = scaled.withColumn(
+        "cx", F.explode(F.sequence(F.floor(low - slack).cast("int"), F.floor(high + slack).cast("int")))
+    )
+    slope = (F.col("vy") - F.col("uy")) / (F.col("vx") - F.col("ux"))
+
+    def cut(border: Column) -> Column:
+        x = F.least(F.greatest(border, low), high)
+        return F.col("uy") + (x - F.col("ux")) * slope
+
+    steep = F.abs(F.col("vx") - F.col("ux")) <= slack
+    first = F.when(steep, F.col("uy")).otherwise(cut(F.col("cx") - slack))
+    last = F.when(steep, F.col("vy")).otherwise(cut(F.col("cx") + 1 + slack))
+    return by_column.withColumn(
+        "cy",
+        F.explode(
+            F.sequence(
+                F.floor(F.least(first, last) - slack).cast("int"),
+                F.floor(F.greatest(first, last) + slack).cast("int"),
+            )
+        ),
+    )
+
+
+def edge_conflicts(df: DataFrame, id_col: str, rings: str) -> DataFrame:
+    """Pairs of edges of one feature that make its outline invalid.
+
+    Within a ring: edges that cross, overlap or touch, except that consecutive edges share
+    their common point. Between rings: edges that cross or overlap; a touch in one point is
+    allowed. Edges meet only in the grid cells they both pass.
+    """
+    placed = _cells(segments(df, id_col, rings), id_col)
+    ends = ("ring", "edges", "edge", "px", "py", "qx", "qy")
+    cell = [id_col, "cx", "cy"]
+    a = placed.select(*cell, *[F.col(c).alias(f"a_{c}") for c in ends])
+    b = placed.select(*cell, *[F.col(c).alias(f"b_{c}") for c in ends])
+    c = F.col
 
     def side(p: str, q: str, r: str) -> Column:
         """Orientation of point r relative to the line p -> q."""
-        c = F.col
         return F.signum(
-            (c(q.replace("?", "x")) - c(p.replace("?", "x")))
-            * (c(r.replace("?", "y")) - c(p.replace("?", "y")))
-            - (c(q.replace("?", "y")) - c(p.replace("?", "y")))
-            * (c(r.replace("?", "x")) - c(p.replace("?", "x")))
+            (c(f"{q}x") - c(f"{p}x")) * (c(f"{r}y") - c(f"{p}y"))
+            - (c(f"{q}y") - c(f"{p}y")) * (c(f"{r}x") - c(f"{p}x"))
         )
 
-    crossing = (
-        side("a_p?", "a_q?", "b_p?") * side("a_p?", "a_q?", "b_q?") < 0
-    ) & (side("b_p?", "b_q?", "a_p?") * side("b_p?", "b_q?", "a_q?") < 0)
-    boxes = (
-        (F.greatest("a_px", "a_qx") >= F.least("b_px", "b_qx"))
-        & (F.greatest("b_px", "b_qx") >= F.least("a_px", "a_qx"))
-        & (F.greatest("a_py", "a_qy") >= F.least("b_py", "b_qy"))
-        & (F.greatest("b_py", "b_qy") >= F.least("a_py", "a_qy"))
+    def on(p: str, q: str, r: str) -> Column:
+        """Whether point r lies on the segment p -> q."""
+        return (
+            (side(p, q, r) == 0)
+            & c(f"{r}x").between(F.least(f"{p}x", f"{q}x"), F.greatest(f"{p}x", f"{q}x"))
+            & c(f"{r}y").between(F.least(f"{p}y", f"{q}y"), F.greatest(f"{p}y", f"{q}y"))
+        )
+
+    crossing = (side("a_p", "a_q", "b_p") * side("a_p", "a_q", "b_q") < 0) & (
+        side("b_p", "b_q", "a_p") * side("b_p", "b_q", "a_q") < 0
+    )
+    touching = (
+        on("a_p", "a_q", "b_p") | on("a_p", "a_q", "b_q")
+        | on("b_p", "b_q", "a_p") | on("b_p", "b_q", "a_q")
     )
+    in_line = (side("a_p", "a_q", "b_p") == 0) & (side("a_p", "a_q", "b_q") == 0)
+
+    def shared(axis: str) -> Column:
+        return F.least(F.greatest(f"a_p{axis}", f"a_q{axis}"), F.greatest(f"b_p{axis}", f"b_q{axis}")) - (
+            F.greatest(F.least(f"a_p{axis}", f"a_q{axis}"), F.least(f"b_p{axis}", f"b_q{axis}"))
+        )
+
+    overlap = in_line & (shared("x") >= 0) & (shared("y") >= 0) & (shared("x") + shared("y") > 0)
+    same = c("a_ring") == c("b_ring")
+    follows = same & (c("b_edge") == c("a_edge") + 1)
+    closes = same & (c("a_edge") == 0) & (c("b_edge") == c("b_edges") - 1)
+    # rings of two edges have no area and are reported as such
+    inside = F.when(follows | closes, overlap & (c("a_edges") > 2)).otherwise(crossing | touching)
+    ordered = (c("a_ring") < c("b_ring")) | (same & (c("a_edge") < c("b_edge")))
     return (
-        a.join(b, [id_col, "ring", "cx", "cy"])
-        .where((F.col("a_edge") < F.col("b_edge")) & boxes & crossing)
-        .select(id_col, "ring", "a_edge", "b_edge")
+        a.join(b, cell)
+        .where(ordered & F.when(same, inside).otherwise(crossing | overlap))
+        .select(id_col, "a_ring", "a_edge", "b_ring", "b_edge")
         .distinct()
-        .groupBy(id_col, "ring")
-        .agg(F.count(F.lit(1)).alias("crossings"))
     )
 
 
+def holes_inside(rings: Column) -> Column:
+    """Whether the first point of every hole lies in or on the outline."""
+    shell = F.get(rings, F.lit(0))
+    holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
+
+    def within(p: Column) -> Column:
+        edges = F.zip_with(
+            shell, F.slice(shell, 2, F.greatest(F.size(shell) - 1, F.lit(0))),
+            lambda u, v: F.struct(u.alias("u"), v.alias("v")),
+        )
+
+        def passed(e: Column) -> Column:
+            u, v = e["u"], e["v"]
+            at = u["x"] + (p["y"] - u["y"]) * (v["x"] - u["x"]) / F.nullif(v["y"] - u["y"], F.lit(0.0))
+            return ((u["y"] > p["y"]) != (v["y"] > p["y"])) & (p["x"] < at)
+
+        def beside(e: Column) -> Column:
+            u, v = e["u"], e["v"]
+            turn = (v["x"] - u["x"]) * (p["y"] - u["y"]) - (v["y"] - u["y"]) * (p["x"] - u["x"])
+            return (
+                (turn == 0)
+                & p["x"].between(F.least(u["x"], v["x"]), F.greatest(u["x"], v["x"]))
+                & p["y"].between(F.least(u["y"], v["y"]), F.greatest(u["y"], v["y"]))
+            )
+
+        crossings = F.size(F.filter(edges, lambda e: F.coalesce(passed(e), F.lit(False))))
+        return (crossings % 2 == 1) | F.exists(edges, lambda e: F.coalesce(beside(e), F.lit(False)))
+
+    return F.forall(holes, lambda h: F.coalesce(within(F.get(h, F.lit(0))), F.lit(False)))
+
+
 def geometry_problems(df: DataFrame, id_col: str, geom_type: str, rings: str) -> DataFrame:
-    """First problem of each feature: null, wrong type, empty, open, crossing, no area."""
-    crossed = self_intersections(df, id_col, rings).select(id_col).distinct().withColumn(
+    """First problem of each feature: null, wrong type, empty, open, crossing, hole outside,
+    no area."""
+    crossed = edge_conflicts(df, id_col, rings).select(id_col).distinct().withColumn(
         "_crossed", F.lit(True)
     )
     r = F.col(rings)
@@ -190,6 +261,7 @@ def geometry_problems(df: DataFrame, id_col: str, geom_type: str, rings: str) ->
         .when(F.size(F.flatten(r)) == 0, "empty_geometry")
         .when(is_open(r), "open_ring")
         .when(F.coalesce("_crossed", F.lit(False)), "self_intersection")
+        .when(~holes_inside(r), "hole_outside")
         .when(polygon_area(r) <= 0, "zero_area")
     )
     return (

@@ -10,7 +10,9 @@ from panelwright.operators import quality as Q
 from panelwright.operators import registry as R
 from panelwright.plans.area_tables import (
     AREA_SQL,
+    DEFECTS,
     SHAPES_SQL,
+    defect_shapes,
     part_shapes,
     polygon_rows,
     registry_rows,
@@ -289,6 +291,14 @@ def polygon_problems(spark, sf_dir):
     return tidy(G.geometry_problems(part_shapes(spark, sf_dir), "p_partkey", "geom_type", "rings"))
 
 
+@query("polygon_defects", f"""
+select p_partkey, problem from (select p_partkey, case p_partkey % {len(DEFECTS)} {' '.join(
+    f"when {i} then '{d}'" for i, d in enumerate(DEFECTS) if d)} end as problem from part) where problem is not null
+""")
+def polygon_defects(spark, sf_dir):
+    return tidy(G.geometry_problems(defect_shapes(spark, sf_dir), "p_partkey", "geom_type", "rings"))
+
+
 @query("polygons_outside_region", "select p_partkey from part where p_size = 8")
 def polygons_outside_region(spark, sf_dir):
     return tidy(G.outside_region(part_shapes(spark, sf_dir), "p_partkey", "rings"))

@@ -154,6 +154,43 @@ def part_shapes(spark, sf_dir):
     return p.select("p_partkey", "p_size", "p_name", "x", "y", "w", kind.alias("geom_type"), rings.alias("rings"))
 
 
+DEFECTS = [
+    None, "hole_outside", "self_intersection", "self_intersection", "self_intersection",
+    "self_intersection", None, "self_intersection",
+]
+
+
+def defect_shapes(spark, sf_dir):
+    """A polygon per part, in turn: hole inside, hole outside, vertex on an edge, vertex met
+    twice, hole across the outline, spike, hole touching the outline in one point, bow-tie."""
+    def ring(*points):
+        return F.array(
+            *[
+                F.struct((F.lit(x) + F.col("x")).alias("x"), (F.lit(y) + F.col("y")).alias("y"))
+                for x, y in (*points, points[0])
+            ]
+        )
+
+    square = ring((0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0))
+    shapes = [
+        F.array(square, ring((1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0))),
+        F.array(square, ring((9.0, 1.0), (10.0, 1.0), (10.0, 2.0), (9.0, 2.0))),
+        F.array(ring((0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (4.0, 0.0), (0.0, 8.0))),
+        F.array(ring((0.0, 0.0), (4.0, 4.0), (8.0, 0.0), (8.0, 8.0), (4.0, 4.0), (0.0, 8.0))),
+        F.array(square, ring((6.0, 1.0), (10.0, 1.0), (10.0, 2.0), (6.0, 2.0))),
+        F.array(ring((0.0, 0.0), (8.0, 0.0), (12.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0))),
+        F.array(square, ring((0.0, 4.0), (2.0, 3.0), (2.0, 5.0))),
+        F.array(ring((0.0, 0.0), (8.0, 8.0), (8.0, 0.0), (0.0, 7.0))),
+    ]
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        (F.col("p_partkey") % 97).cast("double").alias("x"),
+        (F.col("p_partkey") % 89).cast("double").alias("y"),
+    )
+    which = F.element_at(F.array(*shapes), (F.col("p_partkey") % len(shapes) + 1).cast("int"))
+    return p.select("p_partkey", F.lit("Polygon").alias("geom_type"), which.alias("rings"))
+
+
 SHAPES_SQL = """
 sh as (select p_partkey, p_size, p_name, case when p_size = 8 then 80e0 else cast(86 + p_partkey % 3 as double) end as x,
   cast(22 + p_partkey % 5 as double) as y, p_size / 64e0 as w from part)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -41,7 +42,14 @@ def test_self_intersections_equal_all_pairs(spark):
     comb = [(float(i), 0.0 if i % 2 else 1.0) for i in range(200)]
     rings["comb"] = [*comb, (199.0, -5.0), (0.0, -5.0), comb[0]]
     df = spark.createDataFrame([(k, "Polygon", [v]) for k, v in rings.items()], RINGS)
-    got = {r["id"]: r["crossings"] for r in G.self_intersections(df, "id", "rings").collect()}
+    # a star: every edge spans the ring, yet it is placed only in the cells it passes
+    star = [(math.cos(2.4 * i), math.sin(2.4 * i)) for i in range(151)]
+    rings["star"] = [*star, star[0]]
+    df = spark.createDataFrame([(k, "Polygon", [v]) for k, v in rings.items()], RINGS)
+    conflicts = G.edge_conflicts(df, "id", "rings").groupBy("id").count().collect()
+    got = {r["id"]: r["count"] for r in conflicts}
+    cells = G._cells(G.segments(df.where("id = 'star'"), "id", "rings"), "id").count()
+    assert cells < 151 * 3 * 13
     for k, ring in rings.items():
         assert got.get(k, 0) == crossings(ring), k
 
