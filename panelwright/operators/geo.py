@@ -159,6 +159,17 @@ def _cells(seg: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def is_flat(ring: Column) -> Column:
+    """Whether all points of a ring lie on one line."""
+    first = F.get(ring, F.lit(0))
+    pairs = F.zip_with(
+        ring, F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))),
+        lambda p, q: (p["x"] - first["x"]) * (q["y"] - first["y"])
+        - (p["y"] - first["y"]) * (q["x"] - first["x"]),
+    )
+    return F.forall(pairs, lambda v: F.coalesce(v, F.lit(0.0)) == 0)
+
+
 def edge_conflicts(df: DataFrame, id_col: str, rings: str) -> DataFrame:
     """Pairs of edges of one feature that make its outline invalid.
 
@@ -260,6 +271,7 @@ def geometry_problems(df: DataFrame, id_col: str, geom_type: str, rings: str) ->
         .when(~F.coalesce(F.col(geom_type).isin("Polygon", "MultiPolygon"), F.lit(False)), "wrong_type")
         .when(F.size(F.flatten(r)) == 0, "empty_geometry")
         .when(is_open(r), "open_ring")
+        .when(is_flat(F.get(r, F.lit(0))), "zero_area")
         .when(F.coalesce("_crossed", F.lit(False)), "self_intersection")
         .when(~holes_inside(r), "hole_outside")
         .when(polygon_area(r) <= 0, "zero_area")
