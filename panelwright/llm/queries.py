@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from panelwright.llm import sql
 from panelwright.llm.catalog import PLANS, SQL, query, table
 from panelwright.llm.chat import canonical_turns, formatted_chats, read_loss_text, read_turns
 from panelwright.llm.decontaminate import contamination
@@ -51,7 +52,7 @@ def op9_token_counts(spark, sf_dir):
     )
 
 
-@query("op3_near_duplicates")
+@query("op3_near_duplicates", sql.NEAR_DUPLICATES)
 def op3_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
@@ -98,7 +99,7 @@ def op4_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op2_quality_rules")
+@query("op2_quality_rules", sql.QUALITY)
 def op2_quality_rules(spark, sf_dir):
     return quality_verdicts(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -115,7 +116,7 @@ def _is(name):
     return lambda kind: kind == name
 
 
-@query("op10_personal_data")
+@query("op10_personal_data", sql.PERSONAL_DATA)
 def op10_personal_data(spark, sf_dir):
     found = personal_data(table(spark, sf_dir, "documents"))
     base = [k.name for k in KINDS if k.base]
