@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ CHUNK = 4  # symbols of a chunk; 16 bits each fill one long
 MAX_DISTANCE = 31  # differing symbols: below 2 * 16 chunks, so one chunk has one error at most
 MAX_BITS = 24  # differing low bits among the 64 symbols
 HASH_BLOCK = 1_024  # shingles hashed at once, bounds a worker's memory
+FOLD_WORDS = 4  # longs that hold the folded shingles a text lacks
 SMALL_IDS = 1_000_000  # ids sent to every executor at most (8 MB of keys)
 
 _rng = np.random.default_rng(20_240_607)
@@ -87,66 +90,140 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have at least ``percent`` similarity.
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Exact overlap of the full sets of each pair (a, b): ``na``, ``nb``, ``common``, and
+    the shingles of ``a`` that ``b`` lacks, folded into 256 bits (``lacks``).
 
-    Only texts that stand in a pair are hashed again. Their ids go to every executor while
-    they are few (counted first); beyond ``SMALL_IDS`` the texts meet them by a shuffled
-    join. The sets meet the pairs by two joins on the id, which Spark splits where a text
-    has very many partners.
+    The sets meet the pairs by two joins on the id, which Spark splits where a text has very
+    many partners.
     """
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    few = wanted.count() <= SMALL_IDS
-    sets = staged(
-        texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb"))
+    both = pairs.join(right, "b").join(left, "a").withColumn(
+        "_lacking", F.array_except("_sa", "_sb")
+    )
+
+    def folded(word: int) -> Column:
+        own = F.filter("_lacking", lambda h: h.bitwiseAND(F.lit(FOLD_WORDS - 1)) == word)
+        return F.aggregate(
+            own,
+            F.lit(0).cast("long"),
+            lambda s, h: s.bitwiseOR(
+                F.call_function(
+                    "shiftleft",
+                    F.lit(1).cast("long"),
+                    F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"),
+                )
+            ),
+        )
+
+    return both.select(
+        "a", "b",
+        F.size("_sa").cast("long").alias("na"),
+        F.size("_sb").cast("long").alias("nb"),
+        (F.size("_sa") - F.size("_lacking")).cast("long").alias("common"),
+        F.array(*[folded(w) for w in range(FOLD_WORDS)]).alias("lacks"),
+    )
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    union = F.col("na") + F.col("nb") - F.col("common")
+    return compared.where(F.col("common") * 100 >= union * percent).select("a", "b")
+
+
+def _shingle_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Full sets of the texts with the given ids.
+
+    The ids go to every executor while they are few (counted first); beyond ``SMALL_IDS``
+    the texts meet them by a shuffled join.
+    """
+    few = ids.count() <= SMALL_IDS
+    return staged(
+        texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
         .mapInArrow(_sets, "id long, shingles array<long>")
         .dropDuplicates(["id", "shingles"]),
         "sets",
     )
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_sb"))
-    both = pairs.join(right, "b").join(left, "a").withColumn(
-        "_common", F.size(F.array_intersect("_sa", "_sb"))
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(id, own): shingles of each text that no other candidate text has."""
+    single = (
+        sets.select("id", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("texts"))
+        .where("texts = 1")
     )
-    union = F.size("_sa") + F.size("_sb") - F.col("_common")
-    return both.where(F.col("_common") * 100 >= union * percent).select("a", "b")
+    return single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+MASKS = [-1 - (0xFFFF << (16 * k)) for k in range(CHUNK - 1)] + [(1 << 48) - 1]
 
 
 def chunk_keys(reps: DataFrame) -> DataFrame:
-    """Index rows (key, id): every chunk with each of its symbols left out.
+    """Index rows (key, slot, id): every chunk with each of its symbols left out.
 
     Two signatures that differ in at most ``MAX_DISTANCE`` of 64 symbols have, by the
     pigeonhole principle, a chunk of four with at most one differing symbol; leaving out
-    that symbol gives both the same key.
+    that symbol gives both the same key. ``slot`` numbers the 64 chunks and omissions.
     """
-    masks = [-1 - (0xFFFF << (16 * k)) for k in range(CHUNK - 1)] + [(1 << 48) - 1]
     one = reps.select("id", F.posexplode("chunks").alias("_chunk", "_symbols"))
     options = F.array(
         *[
-            F.xxhash64(F.col("_chunk"), F.lit(k), F.col("_symbols").bitwiseAND(F.lit(m)))
-            for k, m in enumerate(masks)
+            F.struct(
+                F.xxhash64(
+                    F.col("_chunk"), F.lit(k), F.col("_symbols").bitwiseAND(F.lit(m))
+                ).alias("key"),
+                (F.col("_chunk") * CHUNK + k).alias("slot"),
+            )
+            for k, m in enumerate(MASKS)
         ]
     )
-    return one.select(F.explode(options).alias("key"), "id")
+    return one.select("id", F.inline(options)).select("key", "slot", "id")
 
 
-def _with_marks(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and low bits allow, checked before any set is fetched."""
-    for end in ("a", "b"):
-        marks = reps.select(
-            F.col("id").alias(end), F.col("n").alias(f"_n{end}"), F.col("bits").alias(f"_{end}")
-        )
-        pairs = pairs.join(marks, end)
-    return pairs.where(_close(F.col("_na"), F.col("_nb"), F.col("_a"), F.col("_b"), percent)).select(
-        "a", "b"
+def _first_slot(x: Column, y: Column) -> Column:
+    """The first slot in which two signatures share their key, so that a pair that meets
+    under many keys is taken up once."""
+    same = F.zip_with(
+        x, y,
+        lambda p, q: F.array(*[p.bitwiseXOR(q).bitwiseAND(F.lit(m)) == 0 for m in MASKS]),
     )
+    return F.array_position(F.flatten(same), True) - 1
+
 
+def _may_link(percent: int) -> Column:
+    """Necessary conditions of a link between open rows x and y of one key.
 
-def _close(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+    Sizes within the ratio and low bits within ``MAX_BITS``; then two upper bounds of the
+    intersection. Shingles that only one candidate text has cannot be common. Against the
+    pivot p of the key: of p's shingles, those that x or y lacks are not common (folding
+    can only make them fewer), and beyond p at most the smaller rest that is not unique.
+    """
+    n, m = F.col("x.n"), F.col("y.n")
+    bits = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    bound = F.least(n - F.col("x.own"), m - F.col("y.own"))
+    lost = [
+        F.bit_count(
+            F.get("x.lacks", F.lit(w)).bitwiseOR(F.get("y.lacks", F.lit(w)))
+        )
+        for w in range(FOLD_WORDS)
+    ]
+    beyond = F.least(
+        *[
+            F.greatest(F.col(f"{s}.n") - F.col(f"{s}.common") - F.col(f"{s}.own"), F.lit(0))
+            for s in "xy"
+        ]
+    )
+    # the own shingles of any text but the pivot itself lie beyond the pivot
+    by_pivot = F.col("x.np") - reduce(add, lost) + beyond
+    ratio = lambda common: common * 100 >= (n + m - common) * percent
     return (
         (n * 100 >= m * percent)
         & (m * 100 >= n * percent)
-        & (F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)
+        & (bits <= MAX_BITS)
+        & ratio(bound)
+        & ratio(F.least(by_pivot, n, m))
     )
 
 
@@ -163,12 +240,17 @@ def near_duplicates(
        True pairs at the threshold differ in 16 symbols on average (deviation 3.5) and in 8
        low bits (deviation 2.6), so fewer than one in 10,000 of them is above either limit,
        and pairs of higher similarity practically never are.
-    3. First every key links its members to its smallest member; links are confirmed on full
-       sets and joined into components. Then, only under keys whose members still lie in
-       different components, all cross-component pairs are compared, so no link that a key
-       offers is lost, while a large group of near copies costs one pair per member and key.
-       Pairs inside one component need no comparison: they could not change the result.
-    4. Links are confirmed by 100 * intersection >= percent * union on the full sets.
+    3. The full sets of all texts that share a key are hashed once more, and the shingles
+       that only one of these texts has are counted.
+    4. Every key links its members to its pivot, the member with the fewest own shingles and
+       so as a rule the least edited copy. The exact overlaps with the pivots give the first
+       links, which are joined into components. Then, only under keys whose members still
+       lie in different components, those cross-component pairs are compared that the sizes,
+       the own shingles and the overlaps with the pivot allow (see ``_may_link``), each pair
+       under its first common key. No link that a key offers is lost, while a
+       large group of near copies costs one pair per member and key. Pairs inside one
+       component need no comparison: they could not change the result.
+    5. Links are confirmed by 100 * intersection >= percent * union on the full sets.
 
     Texts without words (null, empty) link with nothing and keep their own id. Rows with a
     null id stay unlinked and are kept. Rows that repeat an id share its component, whatever
@@ -191,20 +273,33 @@ def near_duplicates(
         "representatives",
     )
     keys = chunk_keys(reps)
-    pivots = keys.groupBy("key").agg(
-        F.min("id").alias("pivot"), F.count(F.lit(1)).alias("members")
+    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = staged(keys.join(several.select("key"), "key", "left_semi"), "buckets")
+    ids = staged(shared.select("id").distinct(), "ids")
+    sets = _shingle_sets(base, ids)
+    marks = staged(
+        reps.select("id", "n", "bits")
+        .join(ids, "id", "left_semi")
+        .join(_own_shingles(sets), "id", "left")
+        .select("id", "n", "bits", F.coalesce("own", F.lit(0).cast("long")).alias("own")),
+        "marks",
     )
-    shared = staged(
-        keys.join(pivots.where("members > 1").select("key", "pivot"), "key"), "buckets"
+    marked = staged(shared.join(marks, "id"), "marked")
+    pivots = marked.groupBy("key").agg(F.min(F.struct("own", "id")).alias("p"))
+    placed = staged(
+        marked.join(pivots, "key").select(
+            "key", "slot", "id", "n", "bits", "own", F.col("p.id").alias("pivot")
+        ),
+        "placed",
     )
-    star = shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    near = staged(_with_marks(star.distinct(), reps, percent), "pairs")
-    links = staged(_confirmed(near, base, percent), "links")
+    star = placed.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    compared = staged(_compared(staged(star, "pairs"), sets), "compared")
+    links = staged(_linked(compared.where("a <> b"), percent), "links")
     groups = connected_components(links)
 
     labelled = staged(
-        shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
-            "key", "id", F.coalesce("component", "id").alias("component")
+        placed.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
+            *placed.columns, F.coalesce("component", "id").alias("component")
         ),
         "labelled",
     )
@@ -214,18 +309,25 @@ def near_duplicates(
         .where("_low < _high")
         .select("key")
     )
+    overlaps = compared.select(
+        F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("na").alias("np"), "common", "lacks"
+    )
     open_rows = staged(
-        labelled.join(mixed, "key", "left_semi").join(reps.select("id", "n", "bits"), "id"), "open"
+        labelled.join(mixed, "key", "left_semi")
+        .join(overlaps, ["pivot", "id"])
+        .join(reps.select("id", "chunks"), "id"),
+        "open",
     )
     x, y = open_rows.alias("x"), open_rows.alias("y")
     crossing = x.join(
         y,
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") < F.col("y.component"))
-        & _close(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), percent),
+        & _may_link(percent)
+        & (_first_slot(F.col("x.chunks"), F.col("y.chunks")) == F.col("x.slot")),
     )
     rest = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    second = _confirmed(staged(rest, "pairs"), base, percent)
+    second = _linked(_compared(staged(rest, "pairs"), sets), percent)
     final = connected_components(links.union(second))
 
     named = reps.select("digest", "id").join(
