@@ -143,13 +143,14 @@ def fallback_rates(counts: DataFrame, by: list[str], key: str, month: str = "mon
 
 def lookup_rates(
     df: DataFrame, rates: DataFrame, by: list[str], key: str, month: str = "month",
-    *, month_only: str | None = None,
+    *, month_only: str | None = None, key_only: str | None = None,
 ) -> DataFrame:
     """Add ``p``: rate of (key, month), else of the month, else overall, and its level.
 
     The month and overall levels have at most thirteen rows per event and are folded
     into one map per event; only the (key, month) level is a real join. ``month_only``
-    names an extra column with the rate that ignores the key.
+    names an extra column with the rate that ignores the key, ``key_only`` one that falls
+    from (key, month) straight to the overall rate.
     """
     coarse = (
         rates.where(F.col("level") > 0)
@@ -181,6 +182,8 @@ def lookup_rates(
     )
     if month_only:
         out = out.withColumn(month_only, F.coalesce(by_month, "_overall"))
+    if key_only:
+        out = out.withColumn(key_only, F.coalesce("_fine", "_overall"))
     return out.drop("_fine", "_months", "_overall")
 
 

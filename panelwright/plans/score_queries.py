@@ -290,24 +290,40 @@ def recent_state_baseline(spark, sf_dir):
 
 
 def baseline_counts(spark, sf_dir):
-    """Score counts of both rate baselines on the held-out splits.
+    """Score counts of four rate baselines and a blend of two on the held-out splits.
 
-    The rates of a district and month are its score, so the label counts per district
-    and month are all that is needed; the label panel is computed once.
+    All scores follow from district, month and the seven-day rain, so the label counts per
+    these three are all that is needed; the label panel is computed once.
     """
-    counts = durable(month_counts(spark, sf_dir))
-    rates = B.fallback_rates(counts.where("split = 'train'"), ["event"], "District")
+    counts = durable(
+        B.label_counts(
+            split_labels(spark, sf_dir), ["split", "District", "month", "rain7"], CORE_TARGETS
+        )
+    )
+    train = counts.where("split = 'train'")
+    rates = B.fallback_rates(train, ["event"], "District")
+    states = B.state_rates(
+        train.groupBy("event", "rain7").agg(F.sum("n").alias("n"), F.sum("events").alias("events")),
+        ["event"], "rain7",
+    )
     held_out = counts.where(F.col("split").isin("selection", "test") & (F.col("n") > 0))
-    rows = B.lookup_rates(held_out, rates, ["event"], "District", month_only="p_month")
+    rows = B.lookup_rates(
+        held_out, rates, ["event"], "District", month_only="p_month", key_only="p_district"
+    ).withColumnRenamed("p", "p_chain")
+    rows = B.state_baseline(rows, states, ["event"], "rain7")
+    scores = {
+        "district_month": F.col("p_chain"), "month": F.col("p_month"),
+        "district": F.col("p_district"), "state": F.col("p"),
+        "blend": (F.col("p_chain") + F.col("p")) / 2,
+    }
     scored = rows.select(
         "event", "split", "n", "events",
-        F.explode(
+        F.inline(
             F.array(
-                F.struct(F.lit("district_month").alias("baseline"), F.col("p").alias("score")),
-                F.struct(F.lit("month").alias("baseline"), F.col("p_month").alias("score")),
+                *[F.struct(F.lit(k).alias("baseline"), v.alias("score")) for k, v in scores.items()]
             )
-        ).alias("b"),
-    ).select("event", "split", "n", "events", "b.*")
+        ),
+    )
     return scored.groupBy("event", "split", "baseline", "score").agg(
         F.sum("events").alias("pos"), F.sum(F.col("n") - F.col("events")).alias("neg")
     )
@@ -318,8 +334,14 @@ def baseline_table(spark, sf_dir):
 
 
 BASE_SQL = LOOKUP_SQL + """,
-sc as (select event, split, 'district_month' as baseline, y, coalesce(fr, gr3, orr) as p from ts where y is not null
-  union all select event, split, 'month', y, coalesce(gr3, orr) from ts where y is not null)"""
+tr as (select * from lo where split = 'train' and y is not null),
+ed as (select event, quantile_cont(rain7, 0.33) as e1, quantile_cont(rain7, 0.66) as e2, avg(y) as overall from tr group by 1),
+bt as (select event, case when rain7 <= e1 then 0 when rain7 <= e2 then 1 else 2 end as b, sum(y) / cast(count(*) as double) as rate
+  from tr join ed using (event) group by 1, 2),
+tb as (select ts.*, coalesce(fr, gr3, orr) as pc, coalesce(rate, overall) as ps from ts join ed using (event)
+  left join bt on bt.event = ts.event and bt.b = case when rain7 <= e1 then 0 when rain7 <= e2 then 1 else 2 end where y is not null),
+sc as (select event, split, y, unnest(['district_month', 'month', 'district', 'state', 'blend']) as baseline,
+  unnest([pc, coalesce(gr3, orr), coalesce(fr, orr), ps, (pc + ps) / 2]) as p from tb)"""
 
 
 @query("baseline_metrics", f"""
@@ -330,40 +352,40 @@ def baseline_metrics(spark, sf_dir):
 
 
 def gate_table(spark, sf_dir):
-    """District-month rates as the candidate against the month rates, one row per event."""
+    """The blend as the candidate against month, district and state rates, per event."""
     m = baseline_table(spark, sf_dir)
 
     def pick(split, baseline, metric):
         return F.max(F.when((F.col("split") == split) & (F.col("baseline") == baseline), F.col(metric)))
 
     return m.groupBy("event").agg(
-        pick("selection", "district_month", "brier").alias("validation_brier"),
+        pick("selection", "blend", "brier").alias("validation_brier"),
         pick("selection", "month", "brier").alias("validation_climatology_brier"),
-        pick("test", "district_month", "brier").alias("test_brier"),
-        pick("test", "district_month", "roc_auc").alias("test_roc_auc"),
-        pick("test", "district_month", "pr_auc").alias("test_pr_auc"),
-        pick("test", "district_month", "f1").alias("test_f1"),
-        pick("test", "month", "brier").alias("climatology_brier"),
-        pick("test", "month", "brier").alias("district_brier"),
-        pick("test", "month", "brier").alias("state_brier"),
-        pick("test", "month", "roc_auc").alias("climatology_roc_auc"),
-        pick("test", "month", "pr_auc").alias("climatology_pr_auc"),
-        pick("test", "month", "f1").alias("climatology_f1"),
+        *[pick("test", "blend", c).alias(f"test_{c}") for c in ("brier", "roc_auc", "pr_auc", "f1")],
+        *[
+            pick("test", "month", c).alias(f"climatology_{c}")
+            for c in ("brier", "roc_auc", "pr_auc", "f1")
+        ],
+        pick("test", "district", "brier").alias("district_brier"),
+        pick("test", "state", "brier").alias("state_brier"),
     )
 
 
-GATE_SQL = BASE_SQL + "," + metrics_sql("sc", "0.5", "event, split, baseline") + """,
-gt as (select event, max(brier) filter (split = 'selection' and baseline = 'district_month') as vb, max(brier) filter (split = 'selection' and baseline = 'month') as vc,
-  max(brier) filter (split = 'test' and baseline = 'district_month') as tb, max(brier) filter (split = 'test' and baseline = 'month') as cb,
-  max(roc_auc) filter (split = 'test' and baseline = 'district_month') as ta, max(roc_auc) filter (split = 'test' and baseline = 'month') as ca,
-  max(pr_auc) filter (split = 'test' and baseline = 'district_month') as tp2, max(pr_auc) filter (split = 'test' and baseline = 'month') as cp,
-  max(f1) filter (split = 'test' and baseline = 'district_month') as tf, max(f1) filter (split = 'test' and baseline = 'month') as cf from me group by 1)"""
+def _picked(name, metric, split, baseline):
+    return f"max({metric}) filter (split = '{split}' and baseline = '{baseline}') as {name}"
+
+
+GATE_SQL = BASE_SQL + "," + metrics_sql("sc", "0.5", "event, split, baseline") + f""",
+gt as (select event, {_picked('vb', 'brier', 'selection', 'blend')}, {_picked('vc', 'brier', 'selection', 'month')},
+  {', '.join(_picked(n, c, 'test', 'blend') for n, c in (('tb', 'brier'), ('ta', 'roc_auc'), ('tp2', 'pr_auc'), ('tf', 'f1')))},
+  {', '.join(_picked(n, c, 'test', 'month') for n, c in (('cb', 'brier'), ('ca', 'roc_auc'), ('cp', 'pr_auc'), ('cf', 'f1')))},
+  {_picked('db', 'brier', 'test', 'district')}, {_picked('sb', 'brier', 'test', 'state')} from me group by 1)"""
 
 
 @query("release_gate", f"""
-{GATE_SQL}, g as (select *, coalesce(vb <= vc * 1.05, false) as ok, coalesce(cb < tb, false) as better, coalesce(ta < 0.5 or tp2 < cp * 0.95, ta < 0.5, false) as weak from gt)
+{GATE_SQL}, g as (select *, coalesce(vb <= vc * 1.05, false) as ok, coalesce(least(cb, db, sb) < tb, false) as better, coalesce(ta < 0.5 or tp2 < cp * 0.95, ta < 0.5, false) as weak from gt)
 select event, cast(ok as bigint) as validation_protected, cast(better as bigint) as baseline_better, cast(weak as bigint) as weak_discrimination,
- cast(round(cb * 1e6) as bigint) as best_baseline, case when not ok or better or weak then 'BASELINE_PREFERRED' else 'PRODUCTION_V2' end as release_status from g
+ cast(round(least(cb, db, sb) * 1e6) as bigint) as best_baseline, case when not ok or better or weak then 'BASELINE_PREFERRED' else 'PRODUCTION_V2' end as release_status from g
 """)
 def release_gate(spark, sf_dir):
     out = B.release_gate(gate_table(spark, sf_dir))
@@ -404,10 +426,11 @@ def variant_comparison(spark, sf_dir):
 
 @query("chosen_candidates", f"""
 {BASE_SQL}, {metrics_sql('sc', '0.5', 'event, split, baseline')}
-select event, split, arg_min(baseline, (brier, log_loss, baseline)) as baseline, cast(round(min(brier) * 1e6) as bigint) as brier from me group by 1, 2
+select event, split, arg_min(baseline, (brier, log_loss, baseline)) as baseline, cast(round(min(brier) * 1e6) as bigint) as brier from me where baseline <> 'district' group by 1, 2
 """)
 def chosen_candidates(spark, sf_dir):
-    m = baseline_table(spark, sf_dir)
+    # the plain district rates differ from the chain only where a month is new, so they tie
+    m = baseline_table(spark, sf_dir).where("baseline <> 'district'")
     out = B.choose_candidate(m, ["event", "split"], "brier", "log_loss", "baseline")
     return tidy(out.select("event", "split", "baseline", S.scaled("brier", 6).alias("brier")))
 
