@@ -225,12 +225,20 @@ def best_threshold(sweep: DataFrame, *, by: list[str]) -> DataFrame:
 
 
 def skill_against_constant(
-    scores: DataFrame, train: DataFrame, *, by: list[str], y: str = "y", p: str = "p"
+    scores: DataFrame, train: DataFrame, *, by: list[str], rate_by: list[str] | None = None,
+    y: str = "y", p: str = "p",
 ) -> DataFrame:
-    """Brier score, that of the constant training rate, and the skill of the first."""
+    """Brier score, that of the constant training rate, and the skill of the first.
+
+    ``rate_by`` names the columns of ``by`` that the training rate depends on (default:
+    all). The rates meet the aggregated scores, one row per group, and never the rows.
+    """
     scores, keys = _group(scores, by)
-    train, _ = _group(train, by)
-    rate = train.groupBy(*keys).agg(
+    if rate_by is None:
+        train, rate_keys = _group(train, by)
+    else:
+        rate_keys = rate_by
+    rate = train.groupBy(*rate_keys).agg(
         F.count(y).alias("train_n"), F.sum(F.col(y).cast("bigint")).alias("train_events")
     )
     sums = score_counts(scores, by=keys, y=y, p=p).groupBy(*keys).agg(
@@ -245,7 +253,7 @@ def skill_against_constant(
     constant = (
         F.col("events") * (r - 1.0) * (r - 1.0) + (F.col("n") - F.col("events")) * r * r
     )
-    return sums.join(rate, keys).select(
+    return sums.join(rate, rate_keys).select(
         *by, "n", "events",
         _ratio(F.col("_sq"), F.col("n")).alias("brier"),
         _ratio(constant, F.col("n")).alias("climatology_brier"),
@@ -323,7 +331,9 @@ def describe(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 def feature_shift(train: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     """Current mean of each feature against its training distribution.
 
-    ``train_share_at_or_below`` is the share of training values not above it.
+    ``train_share_at_or_below`` is the share of training values not above it. The current
+    means are one map with an entry per feature, handed to the training rows as a scalar
+    subquery; no row is joined.
     """
     def long(df: DataFrame) -> DataFrame:
         # name/value rows
@@ -336,12 +346,14 @@ def feature_shift(train: DataFrame, current: DataFrame, features: list[str]) ->
             ).alias("v")
         ).select("v.*").where(F.col("value").isNotNull())
 
-    now = long(current).groupBy("feature").agg(F.avg("value").alias("current"))
-    base = long(train)
-    stats = describe(base, "value", ["feature"])
-    share = base.join(now, "feature").groupBy("feature").agg(
-        F.count_if(F.col("value") <= F.col("current")).alias("at_or_below")
+    means = current.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).select(
+        F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])
+    )
+    base = long(train).withColumn("current", F.try_element_at(means.scalar(), "feature"))
+    share = base.groupBy("feature").agg(
+        F.max("current").alias("current"),
+        F.count_if(F.col("value") <= F.col("current")).alias("at_or_below"),
     )
-    return stats.join(now, "feature").join(share, "feature").withColumn(
+    return describe(base, "value", ["feature"]).join(share, "feature").withColumn(
         "train_share_at_or_below", _ratio(F.col("at_or_below"), F.col("count"))
     )

@@ -167,10 +167,7 @@ select event, lang, count(*) as n, cast(sum(y) as bigint) as events, cast(round(
 """)
 def climatology_skill(spark, sf_dir):
     scores = document_scores(spark, sf_dir)
-    # the training rate of an event is repeated for each language it is compared in
-    langs = scores.select("event", "lang").distinct()
-    train = scores.drop("lang").join(langs, "event")
-    out = M.skill_against_constant(scores, train, by=["event", "lang"])
+    out = M.skill_against_constant(scores, scores, by=["event", "lang"], rate_by=["event"])
     return tidy(
         out.select("event", "lang", "n", "events", *[S.scaled(c, 6).alias(c) for c in ("brier", "climatology_brier")],
                    S.scaled("skill", 4).alias("skill"))
