@@ -289,3 +289,8 @@ def outside_region(df: DataFrame, id_col: str, rings: str, box=REGION_BOX) -> Da
     x0, x1, y0, y1 = bounding_box(F.col(rings))
     inside = (x0 >= box[0]) & (y0 >= box[1]) & (x1 <= box[2]) & (y1 <= box[3])
     return df.where(~inside).select(id_col)
+
+
+def with_geometry(df: DataFrame, rings: str) -> DataFrame:
+    """Rows whose geometry is there: not null and with at least one point."""
+    return df.where(F.size(F.flatten(F.col(rings))) > 0)

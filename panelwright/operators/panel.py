@@ -115,14 +115,20 @@ def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def merge_observations(
     history: DataFrame, current: DataFrame, *, since: str, columns: list[str],
-    cols: PanelColumns = PANEL,
+    cols: PanelColumns = PANEL, sequence: str | None = None,
 ) -> DataFrame:
-    """History from ``since`` on plus the current file; the current file wins."""
+    """History from ``since`` on plus the current file; the current file wins.
+
+    Two rows of one file with the same key and date are settled by the larger ``sequence``,
+    or, without such a column, by the larger values of ``columns`` in their order.
+    """
     tail = history.where(F.col(cols.ts) >= F.to_date(F.lit(since))).select(*columns)
     both = tail.withColumn("_source", F.lit(0)).unionByName(
         current.withColumn("_source", F.lit(1)), allowMissingColumns=True
     )
-    return keep_last(both, [cols.key, cols.ts], F.col("_source").desc()).drop("_source")
+    ties = [sequence] if sequence else columns
+    order = [F.col("_source").desc(), *[F.col(c).desc_nulls_last() for c in ties]]
+    return keep_last(both, [cols.key, cols.ts], *order).drop("_source")
 
 
 def _repair_steps(df: DataFrame, cols: PanelColumns) -> DataFrame:
@@ -255,3 +261,14 @@ def prediction_frame(df: DataFrame, features) -> DataFrame:
 def ordered_features(df: DataFrame, keys: list[str], features) -> DataFrame:
     """Keys followed by exactly the model's features in the model's order."""
     return require_columns(df, features).select(*keys, *features)
+
+
+def deduped_left_join(
+    left: DataFrame, right: DataFrame, keys: list[str], order: list[Column]
+) -> DataFrame:
+    """Left rows with the first right row, under ``order``, of the same composite key.
+
+    Left rows are neither lost nor multiplied, whatever the copies on the right; a null key
+    matches nothing.
+    """
+    return left.join(keep_last(right, keys, *order), keys, "left")

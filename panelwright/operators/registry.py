@@ -347,3 +347,9 @@ def unique_units(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
         ["canonical_id"],
         *[F.col(c) for c in order],
     )
+
+
+def children_of(units: DataFrame, parent: str, name: str) -> DataFrame:
+    """Units under one parent, compared without case and outer blanks; null parents are
+    nobody's children."""
+    return units.where(F.lower(F.trim(parent)) == name.strip().lower())

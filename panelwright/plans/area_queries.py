@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
 from panelwright.operators import geo as G
+from panelwright.operators import panel as P
 from panelwright.operators import quality as Q
 from panelwright.operators import registry as R
 from panelwright.plans.area_tables import (
@@ -397,3 +398,37 @@ def feature_collection_parts(spark, sf_dir):
             x0.cast("bigint").alias("min_x"), x1.cast("bigint").alias("max_x"),
         )
     )
+
+
+@query("children_of_parent", """
+select n_nationkey, n_name from nation join region on r_regionkey = n_regionkey where r_name = 'ASIA'
+""")
+def children_of_parent(spark, sf_dir):
+    region = table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    units = table(spark, sf_dir, "nation").join(region, "n_regionkey")
+    return tidy(R.children_of(units, "r_name", " Asia ").select("n_nationkey", "n_name"))
+
+
+@query("units_with_geometry", "select p_partkey from part where p_size not in (1, 3)")
+def units_with_geometry(spark, sf_dir):
+    return tidy(G.with_geometry(part_shapes(spark, sf_dir), "rings").select("p_partkey"))
+
+
+@query("deduped_composite_join", """
+select s_suppkey, c_custkey from supplier left join (
+  select c_nationkey, c_acctbal >= 0 as solvent, c_custkey, row_number() over (
+    partition by c_nationkey, c_acctbal >= 0 order by c_acctbal desc, c_custkey) as r from customer) c
+  on c_nationkey = s_nationkey and solvent = (s_acctbal >= 0) and r = 1
+""")
+def deduped_composite_join(spark, sf_dir):
+    left = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.col("s_nationkey").alias("nation"), (F.col("s_acctbal") >= 0).alias("solvent")
+    )
+    right = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_acctbal", F.col("c_nationkey").alias("nation"),
+        (F.col("c_acctbal") >= 0).alias("solvent"),
+    )
+    out = P.deduped_left_join(
+        left, right, ["nation", "solvent"], [F.col("c_acctbal").desc(), F.col("c_custkey")]
+    )
+    return tidy(out.select("s_suppkey", "c_custkey"))

@@ -472,9 +472,21 @@ def physical_range_violations(spark, sf_dir):
     return tidy(out.withColumn("value", big("value")))
 
 
-@query("feature_schema_rule")
+# Numeric columns of the labelled panel that are neither labels nor look ahead, in order.
+PANEL_FEATURES = (
+    "Rainfall_Observed_mm Relative_Humidity_pct Tmax_C Tmin_C MJO_Phase Dry_Spell_Days_Streak"
+    " dtr_c vpd_kpa day_of_year doy_sin doy_cos mjo_phase_sin mjo_phase_cos rolling_rain_3d_mm"
+    " rolling_rain_15d_mm Drought_Stress_Index Waterlogging_Risk_Index"
+).split()
+
+
+@query("feature_schema_rule", f"""
+with {panel_sql()}
+select position, feature, (select count(*) from pw) as rows
+from (select unnest(range(0, {len(PANEL_FEATURES)})) as position, unnest({PANEL_FEATURES}) as feature)
+""")
 def feature_schema_rule(spark, sf_dir):
-    """Sum of every column that the feature rule picks from the labelled panel."""
+    """Known values of every column that the feature rule picks from the labelled panel."""
     labelled = L.label_events_v1(
         P.derive_features(weather_with_streak(spark, sf_dir)), rules=TEST_RULES
     ).withColumn("future_rain", F.lit(1.0))
