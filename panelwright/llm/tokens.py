@@ -8,6 +8,7 @@ from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from tokenizers import pre_tokenizers
 
@@ -149,7 +150,7 @@ class TokenCounter:
         return len(parts) - 1 + sum(map(self._plain, parts))
 
 
-_counters: dict[int, TokenCounter] = {}  # of a Python worker, by broadcast
+_counters: dict[int, TokenCounter] = {}  # of a Python worker, by digest of the file
 
 
 def token_counts(
@@ -176,11 +177,12 @@ def token_counts(
     schema = f"`{id_column}` {id_field.dataType.simpleString()}, n_bytes long, n_tokens long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shipped) if not hasattr(shipped, "_jid") else shipped._jid
+        file_text = shipped.value
+        key = xxhash.xxh3_64_intdigest(file_text)
         counter = _counters.get(key)
         if counter is None:
             _counters.clear()
-            counter = _counters[key] = TokenCounter(shipped.value)
+            counter = _counters[key] = TokenCounter(file_text)
         for batch in batches:
             sizes, tokens = [], []
             for value in batch.column(1):
