@@ -27,6 +27,9 @@ BOOSTED_V2 = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.05, "minInstancesPerN
 SAMPLING = {"subsamplingRate": 0.85, "featureSubsetStrategy": "0.85", "seed": 42}
 
 
+MAX_CLASSES = 1_000
+
+
 def alphabetical_index(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Ordinal codes in alphabetical order, as in a fitted label encoder."""
     indexer = StringIndexer(
@@ -66,10 +69,17 @@ def positive_probability(scored: DataFrame, name: str = "raw_p") -> DataFrame:
 
 
 def score_with_mask(
-    df: DataFrame, model: PipelineModel, mask: Column, name: str = "p"
+    df: DataFrame, model: PipelineModel, mask: Column, name: str = "p", calibrator=None
 ) -> DataFrame:
-    """Score every row in one pass; the probability is null outside the mask."""
-    scored = positive_probability(model.transform(df), "_p")
+    """Score every row in one pass; the probability is null outside the mask.
+
+    With a fitted calibrator the calibrated probability is given, else the raw one.
+    """
+    if calibrator is None:
+        scored = positive_probability(model.transform(df), "_p")
+    else:
+        raw = positive_probability(model.transform(df), calibrator.raw)
+        scored = calibrator.predict(raw, "_p").drop(calibrator.raw)
     kept = scored.withColumn(name, F.when(mask, S.clip("_p", 0.0, 1.0)))
     work = [c for c in kept.columns if c.startswith("_") and c not in df.columns]
     return kept.drop("rawPrediction", "probability", "prediction", *work)
@@ -243,9 +253,18 @@ def top_features(importances: DataFrame, k: int = 15) -> DataFrame:
 
 def multiclass_report(
     df: DataFrame, *, features: list[str] | None = None, vector: str | None = None,
-    label: str, classes: list[int], seed: int = 45, share: float = 0.8,
+    label: str, classes: list[int] | None = None, seed: int = 45, share: float = 0.8,
 ) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    """Random forest on a random split: model, per-class report and confusion matrix."""
+    """Random forest on a random split: model, per-class report and confusion matrix.
+
+    The classes come from the data, so that none is missing from the matrix; more than
+    ``MAX_CLASSES`` of them are an error and never a silent cut.
+    """
+    if classes is None:
+        found = df.select(F.col(label).cast("int")).where(f"`{label}` is not null").distinct()
+        classes = sorted(r[0] for r in found.limit(MAX_CLASSES + 1).collect())
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
     x = vector or "_x"
     stages = [] if vector else [_assembler(features or [], x)]
     data = df.withColumn(label, F.col(label).cast("double"))

@@ -15,12 +15,13 @@ from panelwright.operators.staging import durable
 
 ALL = "_all"
 
-# The threshold grids in use.
 def _even_grid(start: float, stop: float, points: int) -> tuple[float, ...]:
     step = (stop - start) / (points - 1)
     return (*[start + i * step for i in range(points - 1)], stop)
 
 
+# The threshold grids in use. The last one repeats a step that was itself
+# computed as a difference of floats, because its thresholds are compared with scores.
 GRID_81 = _even_grid(0.1, 0.9, 81)
 GRID_91 = _even_grid(0.05, 0.95, 91)
 GRID_STEP_2 = tuple(0.05 + i * ((0.05 + 0.02) - 0.05) for i in range(45))

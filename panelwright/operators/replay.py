@@ -65,7 +65,7 @@ def long_scores(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _case_tests() -> dict[str, tuple[Column, Column]]:
-    """Condition and score of each case, best score first."""
+    """Condition and score of each case, best score first. The names are fixed values."""
     c = F.col
     return {
         "A_HIGH_FALSE_ONSET_ACTUAL": (

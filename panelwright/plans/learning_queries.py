@@ -45,8 +45,8 @@ def month_features(spark, sf_dir):
 
 CANDIDATES = {
     "logistic_local": ("logistic", LOCAL),
-    "xgb_local": ("boosted", LOCAL),
-    "xgb_full": ("boosted", FULL),
+    "boosted_local": ("boosted", LOCAL),
+    "boosted_full": ("boosted", FULL),
 }
 
 
@@ -92,7 +92,9 @@ def masked_head_scores(spark, sf_dir):
     """Scores in one pass; null outside the months in which the head applies."""
     fits, _ = _fits(spark, sf_dir, {"logistic_local": CANDIDATES["logistic_local"]})
     rows = month_features(spark, sf_dir).where("split = 'test'").select("District", "Date", *LOCAL)
-    scored = N.score_with_mask(rows, fits["logistic_local"][0], F.month("Date").between(6, 10))
+    model, _, calibrator, _ = fits["logistic_local"]
+    season = F.month("Date").between(6, 10)
+    scored = N.score_with_mask(rows, model, season, calibrator=calibrator)
     return tidy(scored.select(F.col("District").alias("district"), F.col("Date").alias("day"), "p"))
 
 
@@ -104,11 +106,11 @@ def _vectors(spark, sf_dir):
 
 @query("multiclass_report")
 def multiclass_report(spark, sf_dir):
-    _, report, _ = N.multiclass_report(_vectors(spark, sf_dir), vector="x", label="label", classes=list(range(10)))
+    _, report, _ = N.multiclass_report(_vectors(spark, sf_dir), vector="x", label="label")
     return tidy(report)
 
 
 @query("multiclass_confusion")
 def multiclass_confusion(spark, sf_dir):
-    _, _, confusion = N.multiclass_report(_vectors(spark, sf_dir), vector="x", label="label", classes=list(range(10)))
+    _, _, confusion = N.multiclass_report(_vectors(spark, sf_dir), vector="x", label="label")
     return tidy(confusion)

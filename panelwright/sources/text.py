@@ -75,6 +75,7 @@ def parse_releases(lines: DataFrame, delay: int = WEEKLY_RELEASE_DELAY) -> DataF
     return rows.withColumn("available_date", F.date_add("period_end", delay))
 
 
+# Fixed format: a line of a gridded text file, [time][level][latitude], values.
 GRID_LINE = r"^\s*\[(\d+)\](?:\[(\d+)\])?\[(\d+)\],\s*(.*)$"
 
 

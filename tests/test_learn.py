@@ -29,7 +29,7 @@ def data(spark):
 def test_candidates_beat_climatology(spark, data):
     fits, metrics = N.fit_candidates(
         data, label="label",
-        candidates={"logistic_local": ("logistic", ["x", "z"]), "xgb_local": ("boosted", ["x", "z"])}, settings=TREES,
+        candidates={"logistic_local": ("logistic", ["x", "z"]), "boosted_local": ("boosted", ["x", "z"])}, settings=TREES,
     )
     rows = {(r["candidate"], r["split"]): r for r in metrics.collect()}
     assert len(rows) == 4
@@ -37,7 +37,7 @@ def test_candidates_beat_climatology(spark, data):
         rate = r["events"] / r["n"]
         assert r["brier"] < rate * (1 - rate) and r["roc_auc"] > 0.75
     assert N.pick_candidate(metrics).count() == 1
-    importances = N.feature_importances(fits["xgb_local"][0], ["x", "z"], "h")
+    importances = N.feature_importances(fits["boosted_local"][0], ["x", "z"], "h")
     assert N.top_features(importances).first()["feature"] == "x"
 
 
