@@ -98,12 +98,14 @@ def without_boilerplate(
         "lines",
     )
     boilerplate = staged(site_spread(lines.select("hash", "site"), min_sites), "boilerplate")
-    removals = (
+    # staged, so that the join below deals both sides itself and can split a hot text
+    removals = staged(
         lines.select("k1", "k2", "hash")
         .join(_small(boilerplate), "hash", "left_semi")
         .distinct()
         .groupBy("k1", "k2")
-        .agg(F.collect_list("hash").alias("removed"))
+        .agg(F.collect_list("hash").alias("removed")),
+        "removals",
     )
     split = F.split("text", "\n")
     cleaned = rows.join(removals, ["k1", "k2"], "left").select(
