@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.staging import staged
@@ -84,28 +84,73 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
     return shares
 
 
+def reachable_margin(wanted: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """Tokens of each class: in proportion to ``wanted``, at most ``caps``, of the same sum.
+
+    What a class cannot give goes to the others in proportion, until none is above its cap.
+    """
+    goal, out = min(wanted.sum(), caps[wanted > 0].sum()), np.zeros_like(wanted)
+    free = wanted > 0
+    while free.any():
+        raised = wanted * max(goal - out[~free].sum(), 0.0) / wanted[free].sum()
+        over = free & (raised >= caps)
+        out[free] = raised[free]
+        if not over.any():
+            break
+        out[over] = caps[over]
+        free &= ~over
+    return out
+
+
+def _bounded_scale(level: np.ndarray, caps: np.ndarray, goal: float) -> float:
+    """The factor with which the sum of min(caps, factor * level) is ``goal``.
+
+    If the caps themselves sum to no more, the least factor that takes them all.
+    """
+    used = level > 0
+    level, caps = level[used], caps[used]
+    order = np.argsort(caps / level)
+    need = (caps / level)[order]
+    whole = np.concatenate([[0.0], np.cumsum(caps[order])[:-1]])
+    rest = np.cumsum(level[order][::-1])[::-1]
+    fits = np.flatnonzero(whole + need * rest >= goal)
+    return (goal - whole[fits[0]]) / rest[fits[0]] if len(fits) else need[-1]
+
+
 def inclusion(tokens: np.ndarray, shares: np.ndarray, budget: float) -> np.ndarray:
     """Probability of each cell such that the expected tokens are ``budget`` of all.
 
-    Proportional to share / tokens; cells that would need more than all of their tokens are
-    taken whole, and the others are raised so that the expected total still fits.
+    The drawn tokens of a cell are min(its tokens, share times a factor per class), raked
+    anew under that bound until the margins are those of ``shares`` again. A class with
+    fewer tokens than its margin needs is taken whole and what it lacks is dealt to the
+    other classes of its margin in proportion; the expected total stays. If margins that
+    can be met one by one contradict each other, the last round or the plain bound stands,
+    whichever misses the margins less in sum.
     """
-    goal = budget * tokens.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        need = np.where(shares > 0, tokens / shares, np.inf)  # the factor that takes a cell whole
-    order = np.argsort(need, axis=None)
-    factor, left, rest = np.inf, goal, shares.sum()
-    for cell in order:
-        if not np.isfinite(need.flat[cell]):
-            break
-        if rest > 0 and left / rest <= need.flat[cell]:
-            factor = left / rest
+    caps = np.where(shares > 0, tokens, 0.0)
+    goal = min(budget * tokens.sum(), caps.sum())
+    if goal <= 0 or goal >= caps.sum():
+        return (caps > 0).astype(float) * (goal > 0)
+    axes = range(shares.ndim)
+    others = [tuple(a for a in axes if a != axis) for axis in axes]
+    wanted = [
+        reachable_margin(shares.sum(axis=o) / shares.sum() * goal, caps.sum(axis=o)) for o in others
+    ]
+
+    def missed(drawn):
+        return [np.abs(drawn.sum(axis=o) - w) for o, w in zip(others, wanted)]
+
+    level = shares * _bounded_scale(shares.ravel(), caps.ravel(), goal)
+    plain = np.minimum(level, caps)
+    for _ in range(MAX_ROUNDS):
+        if max(m.max() for m in missed(np.minimum(level, caps))) <= TOLERANCE * goal:
             break
-        left -= tokens.flat[cell]
-        rest -= shares.flat[cell]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chance = np.where(tokens > 0, np.where(shares > 0, factor * shares / tokens, 0.0), 0.0)
-    return np.clip(np.where(np.isnan(chance), 1.0, chance), 0.0, 1.0)
+        for axis in axes:
+            for i in np.flatnonzero(wanted[axis] > 0):
+                part = tuple(i if a == axis else slice(None) for a in axes)
+                level[part] *= _bounded_scale(level[part].ravel(), caps[part].ravel(), wanted[axis][i])
+    drawn = min((np.minimum(level, caps), plain), key=lambda d: sum(m.sum() for m in missed(d)))
+    return np.divide(drawn, tokens, out=np.zeros_like(drawn), where=tokens > 0)
 
 
 def _target(shares: Shares) -> tuple[list[str], np.ndarray]:
@@ -116,6 +161,55 @@ def _target(shares: Shares) -> tuple[list[str], np.ndarray]:
     return [*named, REST], np.array([*named.values(), rest], dtype=float)
 
 
+def drawn_margins(sample: DataFrame, mix: Mix) -> DataFrame:
+    """Target against expected share of every class in a result of ``mixed_sample``.
+
+    One row per class that the mix names or that has rows: ``margin``, ``class``,
+    ``target`` (share of all classes as the mix gives it), ``observed`` (share of the tokens
+    before the draw) and ``expected`` (share of the tokens in the draw, by the
+    probabilities). A class that ``expected`` leaves short of its target has too few tokens
+    for the budget. Shares of no tokens are null.
+    """
+    margins = {
+        "source": ("source_class", mix.source), "language": ("language_class", mix.language),
+        "topic": ("topic", mix.topic),
+    }
+    goals = sample.sparkSession.createDataFrame(
+        [
+            (margin, name, float(share / goal.sum()))
+            for margin, (_, shares) in margins.items()
+            for names, goal in [_target(shares)]
+            for name, share in zip(names, goal)
+        ],
+        "margin string, class string, target double",
+    )
+    cells = sample.groupBy(*[column for column, _ in margins.values()]).agg(
+        F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("drawn")
+    )
+    classes = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(margin).alias("margin"), F.col(column).alias("class"))
+                for margin, (column, _) in margins.items()
+            ]
+        )
+    )
+    sums = (
+        cells.select(classes.alias("of"), "tokens", "drawn")
+        .groupBy("of.margin", "of.class")
+        .agg(F.sum("tokens").alias("tokens"), F.sum("drawn").alias("drawn"))
+    )
+    of_margin = Window.partitionBy("margin")  # bounded by the targets
+    shares = sums.select(
+        "margin", "class",
+        F.try_divide("tokens", F.sum("tokens").over(of_margin)).alias("observed"),
+        F.try_divide("drawn", F.sum("drawn").over(of_margin)).alias("expected"),
+    )
+    return goals.join(shares, ["margin", "class"], "left").select(
+        "margin", "class", "target", "observed", "expected"
+    )
+
+
 def mixed_sample(
     docs: DataFrame,
     mix: Mix,
@@ -138,8 +232,9 @@ def mixed_sample(
     in [0, 1), is below the probability of its cell: repeated runs and repeated rows agree.
 
     Result: the id column, ``source_class``, ``language_class``, ``topic``, ``n_tokens``,
-    ``weight`` (target share over observed share), ``probability``, ``sampled`` and the
-    columns of ``carry``. Null values of the three columns belong to ``*``; a null or empty
+    ``weight`` (target share over observed share, whatever the budget allows),
+    ``probability``, ``sampled`` and the columns of ``carry``. ``drawn_margins`` holds the
+    expected shares of the draw against the targets. Null values of the three columns belong to ``*``; a null or empty
     text has 0 tokens and shares the fate of its cell (probability 0 if the whole cell has
     no tokens); rows without an id are drawn by their text; an empty table gives an empty
     result. Other columns are ignored, so their names cannot clash.

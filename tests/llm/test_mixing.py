@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.llm.mixing import Mix, inclusion, mixed_sample, rake
+from panelwright.llm.mixing import Mix, drawn_margins, inclusion, mixed_sample, rake
 from panelwright.llm.queries import MIX, PLANS
 
 MARGINS = Mix(
@@ -67,6 +67,40 @@ def test_operator_meets_the_targets_on_many_rows(spark):
     assert again.where("sampled").exceptAll(out.where("sampled")).count() == 0
 
 
+def test_margins_hold_where_cells_are_bounded():
+    # the plain share of cell (0, 0) is 31 tokens of its 10; the other cells can make up for it
+    tokens = np.array([[[10.0], [400.0]], [[390.0], [200.0]]])
+    goals = [np.array([0.5, 0.5]), np.array([0.5, 0.5]), np.array([1.0])]
+    shares = rake(np.array([[[300.0], [200.0]], [[200.0], [300.0]]]), goals)
+    drawn = inclusion(tokens, shares, 0.5) * tokens
+    assert drawn.max() > 0 and np.isclose(drawn[0, 0, 0], 10)
+    assert np.allclose(drawn.sum(axis=(1, 2)), 250) and np.allclose(drawn.sum(axis=(0, 2)), 250)
+    # a class with too few tokens is taken whole, the other classes of its margin keep their ratio
+    scarce = np.array([[[30.0, 10.0], [20.0, 40.0]], [[300.0, 70.0], [130.0, 200.0]], [[90.0, 50.0], [40.0, 20.0]]])
+    goals = [np.array([0.6, 0.3, 0.1]), np.array([0.5, 0.5]), np.array([0.5, 0.5])]
+    drawn = inclusion(scarce, rake(scarce, goals), 0.5) * scarce
+    assert np.isclose(drawn.sum(), 500) and np.allclose(drawn.sum(axis=(1, 2)), [100, 300, 100])
+    assert np.allclose(drawn.sum(axis=(0, 2)), 250) and np.allclose(drawn.sum(axis=(0, 1)), 250)
+
+
+def test_drawn_margins_tell_target_from_expected(spark):
+    sf = "/root/testdata/sf0.01"
+    out = PLANS["op1_mixing"](spark, sf)
+    rows = {(r.margin, r["class"]): r for r in drawn_margins(out, MIX).collect()}
+    assert len(rows) == sum(map(len, (MIX.source, MIX.language, MIX.topic)))
+    plain = out.toPandas()
+    part = plain[plain.topic == "numbers"]
+    drawn = (plain.n_tokens * plain.probability).sum()
+    numbers = rows["topic", "numbers"]
+    assert numbers.target == pytest.approx(0.05)
+    assert numbers.observed == pytest.approx(part.n_tokens.sum() / plain.n_tokens.sum())
+    assert numbers.expected == pytest.approx((part.n_tokens * part.probability).sum() / drawn)
+    # all languages have tokens enough: their shares are the targets of those with rows
+    have = {k: r for k, r in rows.items() if k[0] == "language" and r.observed}
+    named = sum(r.target for r in have.values())
+    assert all(r.expected == pytest.approx(r.target / named) for r in have.values())
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, None), (None, "a b", "a", "en"), (None, "a b", "a", "en"), (2, "", "b", "xx"),
             (3, "word " * 30_000, "a", "de"), (3, "word " * 30_000, "a", "de")]
