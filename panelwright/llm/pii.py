@@ -23,7 +23,9 @@ class Kind:
     ``pattern`` finds the same leftmost matches as the plain form of the kind, but cannot
     run twice over the same characters: possessive runs never backtrack, and a look-behind
     starts them at their first character only (or where the last match ended). ``hint`` is
-    a string that every match holds; texts without it skip the pattern.
+    a string that every match holds; texts without it skip the pattern. With ``whole`` the
+    pattern finds only places, and ``whole`` of its first group is the value there or null; so
+    a failed or too long try at one place never hides a value that starts at the next.
     """
 
     name: str
@@ -33,6 +35,7 @@ class Kind:
     base_score: float
     context: str
     base: bool = True
+    whole: Callable[[Column], Column] | None = None
 
 
 def _digits(value: Column) -> Column:
@@ -64,6 +67,51 @@ def mod97(code: Column) -> Column:
     return F.length(bare).between(15, 34) & (rest == 1)
 
 
+# Characters of an account code by country; other countries may have any length.
+CODE_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_CODE = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+
+
+def _account(window: Column) -> Column:
+    """The account code that starts a window (a run of ``_CODE`` and the next character), or null.
+
+    It ends where no letter or digit follows, passes mod-97 and has the length of its
+    country; of an unlisted country the longest such code is taken.
+    """
+
+    def parts(window):
+        country = F.substring(window, 1, 2)
+        lengths = [F.when(country.isin(names.split()), n) for n, names in CODE_LENGTHS.items()]
+        return F.struct(
+            window.alias("window"),
+            F.regexp_extract(window, f"^{_CODE}", 0).alias("run"),
+            F.coalesce(*lengths).alias("wanted"),
+        )
+
+    def ends(w, e):
+        code = F.substring(w["run"], F.lit(1), e)
+        size = F.length(F.replace(code, F.lit(" "), F.lit("")))
+        return (
+            (F.substring(w["run"], e, F.lit(1)) != " ")
+            & ~F.substring(w["window"], e + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+            & (size == F.coalesce(w["wanted"], size))
+            & mod97(code)
+        )
+
+    def longest(w):
+        sizes = F.sequence(F.lit(15), F.greatest(F.length(w["run"]), F.lit(15)))
+        end = F.array_max(F.filter(sizes, lambda e: (e <= F.length(w["run"])) & ends(w, e)))
+        return F.substring(w["run"], F.lit(1), end)
+
+    return F.transform(F.transform(F.array(window), parts), longest)[0]
+
+
 def _card(value: Column) -> Column:
     digits = _digits(value)
     return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
@@ -95,8 +143,8 @@ KINDS = (
         lambda v: F.length(_digits(v)).between(9, 15), 0.6, r"phone|tel|call|mobile|fax",
     ),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", None,
-        mod97, 0.5, r"iban|account|bank|konto|compte|cuenta", base=False,
+        "iban", rf"(?<![A-Za-z0-9])(?=({_CODE}[A-Za-z0-9\x20]?))[A-Z]{{2}}[0-9]{{2}}", None,
+        lambda v: F.lit(True), 0.5, r"iban|account|bank|konto|compte|cuenta", base=False, whole=_account,
     ),
 )
 
@@ -105,10 +153,11 @@ _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 
 def _proposals(text: str, kind: Kind) -> Column:
-    """(matches, the pieces of text between them) of one kind; null without its hint."""
+    """(matches, the pieces between them, windows of ``whole``) of one kind; null without its hint."""
     found = F.struct(
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("matches"),
         F.split(text, kind.pattern, -1).alias("pieces"),
+        *[F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)).alias("windows")] * bool(kind.whole),
     )
     likely = F.col(text).contains(kind.hint) if kind.hint else F.col(text).rlike("[0-9]{2}|[0-9][ -][0-9]")
     return F.when(likely, found)
@@ -121,7 +170,7 @@ def _spans(found: str, text: str, rank: int, kind: Kind) -> Column:
     )
     placed = F.zip_with(
         F.zip_with(sums_before(lengths), pieces, lambda s, p: s + F.length(p)),
-        matches,
+        F.transform(F.col(f"{found}.windows"), kind.whole) if kind.whole else matches,
         lambda s, m: F.struct(s.alias("start"), m.alias("value")),
     )
     confirmed = F.filter(
@@ -163,9 +212,10 @@ def personal_data(
 
     One narrow pass of Spark columns: the matches of a pattern and the pieces between them
     give code-point offsets by running sums; ranges and checksums (Luhn, mod-97) confirm a
-    match or drop it without another try; a context word within ``CONTEXT_CHARS`` characters
-    before it raises its score by 0.2. Spans of base kinds stay whatever their score, others
-    need ``KEEP_SCORE``. Kinds may overlap each other.
+    match or drop it without another try, but account codes are tried at every place where
+    one can start and at every end that the length of their country allows; a context word
+    within ``CONTEXT_CHARS`` characters before it raises its score by 0.2. Spans of base kinds stay whatever their score, others
+    need ``KEEP_SCORE``. Spans may overlap each other.
 
     Result: the id column and ``spans``, an array of (start, rank, kind, end, score) sorted
     by start and then by the order of the kinds; ends are exclusive. A null or empty text

@@ -84,6 +84,23 @@ def test_added_kind_scores_and_redaction(spark):
     assert [k.name for k in KINDS if k.base] == list(PLAIN)
 
 
+def test_account_codes_end_before_the_next_word(spark):
+    code, short = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    texts = [
+        f"IBAN {code} Please pay", f"IBAN {short} BIC COBADEFFXXX", f"IBAN {code} A B C D E F G H",
+        f"🙂 iban: {code} GB82 WEST 1234 5698 7654 32 bank NO9386011117947 OK", f"IBAN AB12 {code}.",
+        f"account {short}Please", f"account {short}9", "account DE89 3704 0044 0532 0130 01 Please",
+        "konto XY" + format(98 - int("".join(str(int(c, 36)) for c in "1234567890123XY00")) % 97, "02")
+        + "1234567890123 Next",
+        "bank " + short[:-1], "account " + "AB12 " * 2_000 + code, None,
+    ]
+    rows = personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "iban"] for r in rows}
+    assert found[0] == found[2] == found[4] == [code] and found[1] == [short]
+    assert found[3] == [code, "GB82 WEST 1234 5698 7654 32", "NO9386011117947"]
+    assert [len(x) for x in found[8]] == [17] and not any(found[i] for i in (5, 6, 7, 9, 10, 11))
+
+
 def test_query_equals_brute_force(spark):
     from panelwright.llm.queries import PLANS
 
