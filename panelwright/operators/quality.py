@@ -37,6 +37,21 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def duplicate_copies(df: DataFrame, keys: list[str], name: str = "copies") -> DataFrame:
+    """All rows whose keys occur more than once, with the number of copies as ``name``.
+
+    The counts are joined back, so the rows of a hot key need not meet in one task. Null
+    keys are equal to each other.
+    """
+    repeated = duplicate_rows(df, keys).select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("copies").alias("_copies")
+    )
+    same = reduce(
+        lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    )
+    return df.join(repeated, same).select(*df.columns, F.col("_copies").alias(name))
+
+
 def calendar_gaps(df: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
     """Missing stretches between consecutive dates of a key."""
     days = df.groupBy(cols.key, cols.ts).agg(F.lit(1).alias("_one")).drop("_one")

@@ -45,6 +45,11 @@ def replay_records(
     return advised.join(labels, [cols.key, cols.ts])
 
 
+def replay_order(records: DataFrame, cols: PanelColumns = PANEL) -> DataFrame:
+    """Records in the order of the replay output: by date, then by key."""
+    return records.orderBy(cols.ts, cols.key)
+
+
 def long_scores(records: DataFrame, keys: list[str]) -> DataFrame:
     """One row per record and head with ``p`` and ``y``."""
     return records.select(

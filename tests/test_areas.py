@@ -102,6 +102,17 @@ def test_identifier_checks_and_summary(spark):
     assert summary == {"a": "FAILED", "b": "PASSED"}
 
 
+def test_duplicate_copies_are_whole_rows(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "z"), (None, 1, "u"), (None, 1, "u"), ("b", None, "v")]
+    df = spark.createDataFrame(rows, "k string, n int, text string")
+    got = Q.duplicate_copies(df, ["k", "n"])
+    assert got.columns == ["k", "n", "text", "copies"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(
+        map(str, [(*r, 2) for r in rows if r[2] in "xyu"]))
+    assert Q.duplicate_copies(df, ["text", "n"]).count() == 2
+    assert Q.duplicate_copies(df.limit(0), ["k"]).count() == 0
+
+
 def test_column_order_check(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     got = {r["column"]: (r["expected"], r["actual"]) for r in Q.column_order_check(df, ["a", "c", "b"]).collect()}

@@ -245,3 +245,9 @@ def test_no_warning_gives_null_rates(spark):
     _, records = replay(spark)
     d = R.decision_metrics(records.where("p_false_onset < 0.4")).first()
     assert d["false_onset_wait_records"] == 0 and d["followed_by_false_onset_rate"] is None
+
+
+def test_replay_order_is_by_date_and_district(spark):
+    rows = [("b", dt.date(2020, 1, 2)), ("a", dt.date(2020, 1, 2)), ("c", dt.date(2020, 1, 1))]
+    df = spark.createDataFrame(rows, "District string, Date date")
+    assert [r["District"] for r in R.replay_order(df).collect()] == ["c", "a", "b"]
