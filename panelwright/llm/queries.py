@@ -15,6 +15,7 @@ from panelwright.llm.neardup import near_duplicates
 from panelwright.llm.pii import KINDS, personal_data, span_text
 from panelwright.llm.quality import quality_verdicts
 from panelwright.llm.shards import balanced_shards, text_size
+from panelwright.llm.simhash import simhash_duplicates
 from panelwright.llm.tokens import token_counts
 from panelwright.llm.warc import read_bundles, write_bundles
 
@@ -287,3 +288,8 @@ def op5_warc(spark, sf_dir):
 def op6_line_spread(spark, sf_dir):
     cleaned = without_boilerplate(table(spark, sf_dir, "documents"), min_sites=10, min_chars=20)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op11_simhash_duplicates")
+def op11_simhash_duplicates(spark, sf_dir):
+    return simhash_duplicates(table(spark, sf_dir, "documents"), distance=3)
