@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from panelwright.llm import sql
+from panelwright.llm.alignment import alignment
 from panelwright.llm.catalog import PLANS, SQL, query, table
 from panelwright.llm.chat import canonical_turns, formatted_chats, read_loss_text, read_turns
 from panelwright.llm.decontaminate import contamination
@@ -14,6 +15,7 @@ from panelwright.llm.mixing import Mix, mixed_sample
 from panelwright.llm.neardup import near_duplicates
 from panelwright.llm.pii import KINDS, personal_data, span_text
 from panelwright.llm.quality import quality_verdicts
+from panelwright.llm.repair import conversation_reports, repaired_conversations
 from panelwright.llm.shards import balanced_shards, text_size
 from panelwright.llm.simhash import simhash_duplicates
 from panelwright.llm.tokens import token_counts
@@ -293,3 +295,45 @@ def op6_line_spread(spark, sf_dir):
 @query("op11_simhash_duplicates")
 def op11_simhash_duplicates(spark, sf_dir):
     return simhash_duplicates(table(spark, sf_dir, "documents"), distance=3)
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark, sf_dir):
+    return alignment(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def damaged_conversations(rows):
+    """Rows with planted faults, by a checksum of conversation and turn; nulls are one space.
+
+    Dropped rows stay with no copies, so that their conversations are not forgotten.
+    """
+    named = rows.select(
+        "conv_id", "turn",
+        *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")],
+        (
+            F.crc32(
+                F.concat_ws(
+                    ":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+                )
+            )
+            % 20
+        ).alias("kind"),
+    )
+    kind = F.col("kind")
+    return named.select(
+        "conv_id", "turn",
+        F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+        .alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+@query("op13_conversation_repair", sql.CONVERSATION_REPAIR)
+def op13_conversation_repair(spark, sf_dir):
+    rows = damaged_conversations(table(spark, sf_dir, "conversations"))
+    return conversation_reports(repaired_conversations(rows, copies_column="copies"))

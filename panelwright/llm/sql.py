@@ -151,3 +151,109 @@ select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kin
 from doc left join found using (doc_id) group by doc_id
 """
 )
+
+# Rows are numbered and folded in order; each state keeps the least (cost, edits, repaired
+# lines). CRC-32 is taken bit by bit over the characters of "conv_id:turn".
+_STATES = range(4)
+_NEXT = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+
+def _inserts(state: int) -> list[tuple[int, int, str, str]]:
+    steps, cost, edits, lines = [], 0, "", ""
+    for _ in range(3):
+        steps.append((state, cost, edits, lines))
+        state, role = (3, "assistant") if state == 2 else (2, "user")
+        cost, edits, lines = cost + 3, edits + "I", lines + f"|| '{role}:' || chr(10)"
+    return steps
+
+
+def _option(test: str, state: int, cost: str, edits: str, lines: str) -> str:
+    return (
+        f"case when {test} and v.s{state} is not null then {{'c': v.s{state}.c + {cost}, "
+        f"'e': v.s{state}.e || '{edits}', 'l': v.s{state}.l {lines}}} end"
+    )
+
+
+def _state(target: int) -> str:
+    """Least option that ends in ``target`` after one more row ``r``."""
+    options = [_option("true", target, "4", "D", "")]
+    for state in _STATES:
+        for ready, cost, edits, lines in _inserts(state):
+            for initial, end in _NEXT[ready].items():
+                if end == target:
+                    options.append(
+                        _option(
+                            f"not r.must and r.i = '{initial}'", state, f"{cost} + r.extra", edits + "K",
+                            f"{lines} || r.role || ':' || r.text || chr(10)",
+                        )
+                    )
+                    if initial != "s":
+                        role = {"u": "user", "a": "assistant"}[initial]
+                        options.append(
+                            _option(
+                                "not r.must", state, f"{cost} + 3 + r.extra", edits + "R",
+                                f"{lines} || '{role}:' || r.text || chr(10)",
+                            )
+                        )
+    return f"list_min(list_filter([{', '.join(options)}], lambda o: o is not null))"
+
+
+def _end() -> str:
+    options = []
+    for state in _STATES:
+        for ready, cost, edits, lines in _inserts(state):
+            if ready in (0, 3):
+                options.append(_option("true", state, str(cost), edits, lines))
+    return f"list_min(list_filter([{', '.join(options)}], lambda o: o is not null))"
+
+
+_CRC_BITS = """list_concat([4294967295::bigint], flatten(list_transform(
+    string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+    lambda ch: list_transform(range(0, 8), lambda b: (ascii(ch)::bigint >> b) & 1))))"""
+
+CONVERSATION_REPAIR = rf"""
+with recursive hashed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        xor(list_reduce({_CRC_BITS}, lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 20 as kind
+    from conversations),
+damaged as (
+    select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+        case when kind = 1 then '' when kind = 2 then replace(replace(replace(text, '.', ''), '!', ''), '?', '')
+            else text end as text, unnest(range(0, case kind when 3 then 2 else 1 end)) as copy
+    from hashed where kind <> 0),
+numbered as (
+    select *, left(role, 1) as i, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare,
+        row_number() over w as n, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth,
+        lag(left(role, 1)) over w as before
+    from damaged
+    window w as (partition by conv_id order by turn nulls first, role, text, copy)),
+rowed as (
+    select *, case when bare = '' then 'b' when nth > 1 then 'd'
+        when right(bare, 1) not in ('.', '!', '?') then 't' else '' end as fault from numbered),
+ruled as (
+    select conv_id, n, i, role, text, fault in ('b', 'd') as must, case when fault = 't' then 3 else 0 end as extra
+    from rowed),
+walk as (
+    select conv_id, 0::bigint as n, {{'c': 0::bigint, 'e': '', 'l': ''}} as s0,
+        null::struct(c bigint, e varchar, l varchar) as s1, null::struct(c bigint, e varchar, l varchar) as s2,
+        null::struct(c bigint, e varchar, l varchar) as s3
+    from (select distinct conv_id from ruled)
+    union all
+    select v.conv_id, r.n, {', '.join(_state(s) for s in _STATES)}
+    from walk v join ruled r on r.conv_id is not distinct from v.conv_id and r.n = v.n + 1),
+done as (
+    select conv_id, {_end()} as o from walk v
+    where n = (select max(n) from ruled r where r.conv_id is not distinct from v.conv_id)),
+facts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+        count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+        count(*) filter (fault = 't') as truncated,
+        count(*) filter (before is not null and before || i not in ('su', 'ua', 'au')) as illegal
+    from rowed group by conv_id),
+named as (select distinct conv_id from conversations)
+select m.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(o.c, 0)::bigint as cost,
+    coalesce(o.e, '') as audit, sha256(coalesce(left(o.l, length(o.l) - 1), '')) as repaired_sha256
+from named m left join facts f on f.conv_id is not distinct from m.conv_id
+    left join done d on d.conv_id is not distinct from m.conv_id
+"""
