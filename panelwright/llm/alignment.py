@@ -32,6 +32,7 @@ RUN_RECORDS = 1_000_000  # pair-document records from which a run is closed
 RUN_DOCS = 1 << 18
 RUNS_MERGED = 64  # runs that one task merges
 QUEUED_UNITS = 100_000  # units of text that are looked up together
+JOINED_UNITS = 256  # new units that are encoded as one text
 STORED_UNITS = 300_000  # units a worker remembers before it starts afresh
 STORED_CHARS = 16_000_000
 # Units end before blanks that follow a letter or mark and lead to another one.
@@ -74,27 +75,6 @@ def radix_of(b: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - RADIX_BITS)).astype(np.int64)
 
 
-def aligned(
-    a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]
-) -> tuple[list[str], list[int]]:
-    """(groups as text, pairs of overlapping tokens) of two token rows over the same bytes."""
-    groups, pairs = [], []
-    i = j = first_i = first_j = end_a = end_b = 0
-    while i < len(a_ids) and j < len(b_ids):
-        pairs.append(b_ids[j] << ID_BITS | a_ids[i])
-        ours, theirs = end_a + a_sizes[i], end_b + b_sizes[j]
-        if ours <= theirs:
-            i, end_a = i + 1, ours
-        if theirs <= ours:
-            j, end_b = j + 1, theirs
-        if ours == theirs:
-            groups.append(
-                ",".join(map(str, a_ids[first_i:i])) + "|" + ",".join(map(str, b_ids[first_j:j]))
-            )
-            first_i, first_j = i, j
-    return groups, pairs
-
-
 class _Units:
     """Alignment of each unit of text met so far; a worker's bounded memory.
 
@@ -112,18 +92,23 @@ class _Units:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         letters = _byte_of_letter()
-        self.a_bytes = {
-            i: bytes(letters.get(c, 63) for c in token) for token, i in self.a.get_vocab().items()
-        }
+        entries = {i: token for token, i in self.a.get_vocab().items()}
+        self.a_bytes = [
+            bytes(letters.get(c, 63) for c in entries.get(i, "")) for i in range(max(entries) + 1)
+        ]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("pieces with a blank behind another character cannot be aligned")
-        if max(len(pieces), *self.a_bytes) >= 1 << ID_BITS:
+        if max(len(pieces), len(self.a_bytes)) > 1 << ID_BITS:
             raise ValueError(f"token ids of more than {ID_BITS} bits")
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.sizes = [np.array([len(p) for p in parts], np.int64) for parts in (self.a_bytes, self.b_bytes)]
+        # how an id is written inside a group and at the end of its side
+        self.a_text = [f"{i}{mark}" for i in range(len(self.a_bytes)) for mark in ",|"]
+        self.b_text = [f"{i}{mark}" for i in range(len(self.b_bytes)) for mark in ",;"]
         self.clear()
 
     def clear(self) -> None:
@@ -136,29 +121,66 @@ class _Units:
         self.pairs = array("q")
 
     def _learn(self, units: list[str]) -> None:
-        for at in range(0, len(units), 4_096):
-            part = units[at : at + 4_096]
-            rows = self.a.encode_batch(part, add_special_tokens=False)
-            others = self.b.encode([u[1:] for u in part], num_threads=1)
-            for unit, row, b_ids in zip(part, rows, others):
-                a_ids = row.ids
-                a_parts = [self.a_bytes[i] for i in a_ids]
-                b_parts = [self.b_bytes[i] for i in b_ids]
-                data = unit.encode()
-                good = b"".join(a_parts) == data == b"".join(b_parts)
-                groups, pairs = (
-                    aligned(a_ids, b_ids, list(map(len, a_parts)), list(map(len, b_parts)))
-                    if good
-                    else ([], [])
-                )
-                self.index[unit] = len(self.groups)
-                self.chars += len(unit)
-                self.groups.append(";".join(groups))
-                self.good.append(good)
-                for kept, value in zip(self.facts, (len(a_ids), len(b_ids), len(groups), len(pairs))):
-                    kept.append(value)
-                self.starts.append(len(self.pairs))
-                self.pairs.extend(pairs)
+        """Align new units. Those that may stand behind one another are joined, so that both
+        libraries are called for many units at once."""
+        joinable = [u for u in units if u[-1:].strip() and u.lstrip(" ")[:1].strip()]
+        rest = set(units).difference(joinable)
+        chunks = [joinable[at : at + JOINED_UNITS] for at in range(0, len(joinable), JOINED_UNITS)]
+        chunks += [[u] for u in rest]
+        for at in range(0, len(chunks), 64):
+            part = chunks[at : at + 64]
+            again = [c for c, a, b in self._encoded(part) if not self._keep(c, a, b)]
+            # a chunk of which some unit cannot be read back is aligned unit by unit
+            singles = [[u] for c in again for u in c]
+            for c, a, b in self._encoded(singles):
+                if not self._keep(c, a, b):
+                    self._add(c, np.zeros((4, 1), np.int64), False, [""], np.empty(0, np.int64))
+
+    def _encoded(self, chunks: list[list[str]]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+        texts = ["".join(c) for c in chunks]
+        rows = self.a.encode_batch(texts, add_special_tokens=False)
+        others = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return [
+            (c, np.array(a.ids, np.int64), np.array(b, np.int64)) for c, a, b in zip(chunks, rows, others)
+        ]
+
+    def _keep(self, units: list[str], a: np.ndarray, b: np.ndarray) -> bool:
+        """Align a chunk and remember its units; False if the tokens do not give its bytes."""
+        parts = [u.encode() for u in units]
+        data = b"".join(parts)
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data:
+            return False
+        if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
+            return False
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        a_ends, b_ends = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        pieces = np.union1d(a_ends, b_ends)  # each lies in one token of either side
+        pairs = b[np.searchsorted(b_ends, pieces)] << ID_BITS | a[np.searchsorted(a_ends, pieces)]
+        a_group, b_group = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)
+        a_last, b_last = cuts[a_group] == a_ends, cuts[b_group] == b_ends
+        texts = [self.a_text[i] for i in (2 * a + a_last).tolist()]
+        texts += [self.b_text[i] for i in (2 * b + b_last).tolist()]
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable").tolist()
+        written = [texts[i] for i in order]
+        upto = np.array([np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, cuts, pieces)])
+        facts = np.diff(upto, axis=1, prepend=0)
+        stops = (upto[0] + upto[1]).tolist()
+        groups = ["".join(written[i:j])[:-1] for i, j in zip([0, *stops], stops)]
+        self._add(units, facts, True, groups, pairs)
+        return True
+
+    def _add(self, units: list[str], facts: np.ndarray, good: bool, groups: list[str], pairs: np.ndarray) -> None:
+        first = len(self.groups)
+        self.index.update(zip(units, range(first, first + len(units))))
+        self.chars += sum(map(len, units))
+        self.groups += groups
+        self.good.extend([int(good)] * len(units))
+        for kept, values in zip(self.facts, facts):
+            kept.frombytes(np.ascontiguousarray(values, np.int64).tobytes())
+        starts = len(self.pairs) + np.cumsum(facts[3]) - facts[3]
+        self.starts.frombytes(starts.astype(np.int64).tobytes())
+        self.pairs.frombytes(pairs.astype(np.int64).tobytes())
 
     def find(self, units: list[str]) -> list[int]:
         """Places of the units in the memory, after learning the new ones."""

@@ -109,7 +109,7 @@ def odd_texts():
 def test_odd_rows(spark, monkeypatch, small):
     if small:  # many runs, many lists of units, several groups of runs
         for name, value in {"RUN_LINKS": 50, "RUN_RECORDS": 40, "QUEUED_UNITS": 7, "RUNS_MERGED": 3,
-                            "STORED_UNITS": 20}.items():
+                            "STORED_UNITS": 20, "JOINED_UNITS": 3}.items():
             monkeypatch.setattr(module, name, value)
     rows = [(i % 290, t) for i, t in enumerate(odd_texts())] + [(None, "word word"), (None, None), (3, "The word")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
