@@ -13,6 +13,7 @@ from panelwright.llm.arrays import sums_before
 # Control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+VARIANT_BYTES = 8 << 20  # longer records are read by their schema, as variants have a size limit
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,33 @@ class Layout:
     text_key: str = "content"
     roles: dict[str, str] = field(default_factory=dict)
 
+    def names(self) -> list[str]:
+        """Names of the fields of a record."""
+        return [path for _, path in self.fields] if self.messages is None else [self.messages]
+
+    def schema(self) -> str:
+        """Schema of a record, for readers that need one."""
+        if self.messages is None:
+            return ", ".join(f"`{path}` string" for path in self.names())
+        return f"`{self.messages}` array<struct<`{self.role_key}`:string,`{self.text_key}`:string>>"
+
+    def _turn(self, m: Column) -> Column:
+        role = F.coalesce(m[self.role_key], F.lit(""))
+        named = F.coalesce(
+            *[F.when(role == old, F.lit(new)) for old, new in self.roles.items()], role
+        )
+        return F.struct(named.alias("role"), F.coalesce(m[self.text_key], F.lit("")).alias("text"))
+
+    def turns_of(self, parsed: Column) -> Column:
+        """Turns of a record that was read by its schema."""
+        if self.messages is None:
+            parts = [
+                F.struct(F.lit(role).alias("role"), F.coalesce(parsed[path], F.lit("")).alias("text"))
+                for role, path in self.fields
+            ]
+            return F.array(*parts).cast(TURNS)
+        return F.transform(parsed[self.messages], self._turn).cast(TURNS)
+
     def turns(self, record: Column) -> Column:
         if self.messages is None:
             parts = [
@@ -43,17 +71,9 @@ class Layout:
             ]
             return F.array(*parts).cast(TURNS)
         kind = f"array<struct<`{self.role_key}`:string,`{self.text_key}`:string>>"
-
-        def turn(m):
-            role = F.coalesce(m[self.role_key], F.lit(""))
-            named = F.coalesce(
-                *[F.when(role == old, F.lit(new)) for old, new in self.roles.items()], role
-            )
-            return F.struct(
-                named.alias("role"), F.coalesce(m[self.text_key], F.lit("")).alias("text")
-            )
-
-        return F.transform(F.try_variant_get(record, f"$.{self.messages}", kind), turn).cast(TURNS)
+        return F.transform(
+            F.try_variant_get(record, f"$.{self.messages}", kind), self._turn
+        ).cast(TURNS)
 
 
 def _chat(key: str, role: str, text: str) -> tuple[dict, ...]:
@@ -97,17 +117,33 @@ def canonical_turns(
     ``layout`` and ``turns`` (array of role and text). Records that match no layout, are no
     JSON or are null have a null layout and null turns, for the caller to inspect. A null
     text is empty; a null id stays null; repeated rows are converted each; an empty table
-    gives an empty result. Other columns are ignored, so their names cannot clash.
+    gives an empty result. Other columns are ignored, so their names cannot clash. Records of
+    more than ``VARIANT_BYTES`` are read by the declared schemas instead, and their layout is
+    the one whose fields they have; a single text may then fill a string of Spark (2 GB).
     """
+    raw = F.col(record_column)
+    large = F.octet_length(raw) > VARIANT_BYTES
+    schema = ", ".join(one.schema() for one in layouts)
     parsed = records.select(
-        F.col(id_column).alias("id"), F.try_parse_json(F.col(record_column)).alias("record")
+        F.col(id_column).alias("id"),
+        F.when(~large, F.try_parse_json(raw)).alias("record"),
+        F.when(large, F.from_json(raw, schema, {"maxStringLen": str(2**31 - 1)})).alias("whole"),
     ).withColumn("mark", fingerprint(F.col("record")))
+    names = [name for one in layouts for name in one.names()]
+    present = F.array_compact(
+        F.array(*[F.when(F.col(f"whole.`{n}`").isNotNull(), F.lit(n)) for n in names])
+    )
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for one in reversed(layouts):
         marks = [fingerprint(F.parse_json(F.lit(json.dumps(x)))) for x in one.examples]
         match = F.col("mark").isin(*marks)
-        layout = F.when(match, F.lit(one.name)).otherwise(layout)
-        turns = F.when(match, one.turns(F.col("record"))).otherwise(turns)
+        found = F.col("whole").isNotNull() & (present == F.array(*[F.lit(n) for n in one.names()]))
+        layout = F.when(match | F.coalesce(found, F.lit(False)), F.lit(one.name)).otherwise(layout)
+        turns = (
+            F.when(match, one.turns(F.col("record")))
+            .when(found, one.turns_of(F.col("whole")))
+            .otherwise(turns)
+        )
     return parsed.select(F.col("id").alias(id_column), layout.alias("layout"), turns.alias("turns"))
 
 
@@ -136,13 +172,14 @@ def formatted_chats(
     Each turn is ``<|im_start|>role``, a line break, the text, ``<|im_end|>`` and a line
     break. Control strings inside roles and texts are escaped reversibly, so they cannot end
     a turn. Result: the id column, ``formatted`` and ``loss_mask``, an array of (start, length) in
-    code points: the escaped texts of the learned roles, nothing else. Null or empty turns
-    give an empty text and mask.
+    code points: the escaped texts of the learned roles, nothing else. Empty turns give an
+    empty text and mask; null turns (a record of no known layout) give null, so that such a
+    record is never taken for an empty chat. A null id stays null.
     """
     parts = chats.select(
         F.col(id_column).alias("id"),
         F.transform(
-            F.coalesce("turns", F.array().cast(TURNS)),
+            "turns",
             lambda t: F.struct(
                 _header(F.coalesce(t["role"], F.lit(""))).alias("head"),
                 escaped(F.coalesce(t["text"], F.lit(""))).alias("body"),

@@ -64,3 +64,16 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.union(roots)
+
+
+def shared_ids(rows: DataFrame, id_column: str, node_column: str) -> DataFrame:
+    """Links (a, b) between the nodes of rows that repeat an id.
+
+    ``rows`` map ids to nodes; null ids and rows without a node link nothing. The ids are
+    counted by one aggregation; only repeated ones are joined back.
+    """
+    known = rows.where(F.col(id_column).isNotNull() & F.col(node_column).isNotNull()).select(
+        F.col(id_column).alias("id"), F.col(node_column).alias("b")
+    )
+    several = known.groupBy("id").agg(F.min("b").alias("a"), F.max("b").alias("_high")).where("a < _high")
+    return known.join(several.select("id", "a"), "id").select("a", "b").distinct()

@@ -12,15 +12,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.components import connected_components
+from panelwright.llm.components import connected_components, shared_ids
 from panelwright.llm.shingles import run_hashes
 from panelwright.operators.staging import staged
 
 SHINGLE_WORDS = 5
 SYMBOLS = 64  # minimum hashes of a signature
 CHUNK = 4  # symbols of a chunk; 16 bits each fill one long
-MAX_DISTANCE = 31  # differing symbols: below 2 * 16 chunks, so one chunk has one error at most
-MAX_BITS = 24  # differing low bits among the 64 symbols
 HASH_BLOCK = 1_024  # shingles hashed at once, bounds a worker's memory
 FOLD_WORDS = 4  # longs that hold the folded shingles a text lacks
 SMALL_IDS = 1_000_000  # ids sent to every executor at most (8 MB of keys)
@@ -42,43 +40,39 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(run_hashes(words, min(SHINGLE_WORDS, len(words)))) if words else EMPTY
 
 
-def signature(hashes: np.ndarray) -> tuple[np.ndarray, int]:
-    """(16 longs of four 16-bit symbols, the 64 low bits) of a set of shingle hashes."""
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """16 longs of four 16-bit symbols each, of a set of shingle hashes."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), HASH_BLOCK):
         block = np.multiply.outer(hashes[at : at + HASH_BLOCK], _FACTORS)
         block += _OFFSETS
         np.minimum(least, block.min(axis=0), out=least)
     mixed = (least ^ (least >> np.uint64(32))) * _MIX
-    symbols = (mixed >> np.uint64(48)).astype("<u2")
-    bits = np.packbits((symbols & 1).astype(np.uint8)).view("<i8")[0]
-    return symbols.view("<i8"), int(bits)
+    return (mixed >> np.uint64(48)).astype("<u2").view("<i8")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        digests, counts, chunks, bits = [], [], [], []
+        digests, counts, chunks = [], [], []
         known: dict[bytes, tuple] = {}
         for value in batch.column(1):
             words = words_of(value.as_py() or "")
             digest = xxhash.xxh3_128_digest(b" ".join(words))
             if digest not in known:
                 hashes = shingle_hashes(words)
-                known[digest] = (len(hashes), *(signature(hashes) if words else (None, None)))
-            count, symbols, low = known[digest]
+                known[digest] = len(hashes), signature(hashes) if words else None
+            count, symbols = known[digest]
             digests.append(digest if words else None)
             counts.append(count)
             chunks.append(symbols)
-            bits.append(low)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array(digests, pa.binary()),
                 pa.array(counts, pa.int64()),
                 pa.array(chunks, pa.list_(pa.int64())),
-                pa.array(bits, pa.int64()),
             ],
-            names=["id", "digest", "n", "chunks", "bits"],
+            names=["id", "digest", "n", "chunks"],
         )
 
 
@@ -163,9 +157,9 @@ MASKS = [-1 - (0xFFFF << (16 * k)) for k in range(CHUNK - 1)] + [(1 << 48) - 1]
 def chunk_keys(reps: DataFrame) -> DataFrame:
     """Index rows (key, slot, id): every chunk with each of its symbols left out.
 
-    Two signatures that differ in at most ``MAX_DISTANCE`` of 64 symbols have, by the
-    pigeonhole principle, a chunk of four with at most one differing symbol; leaving out
-    that symbol gives both the same key. ``slot`` numbers the 64 chunks and omissions.
+    Two signatures that differ in at most 31 of 64 symbols, fewer than two for each of the 16
+    chunks, have, by the pigeonhole principle, a chunk of four with at most one differing
+    symbol; leaving out that symbol gives both the same key. ``slot`` numbers the 64 chunks and omissions.
     """
     one = reps.select("id", F.posexplode("chunks").alias("_chunk", "_symbols"))
     options = F.array(
@@ -195,13 +189,11 @@ def _first_slot(x: Column, y: Column) -> Column:
 def _may_link(percent: int) -> Column:
     """Necessary conditions of a link between open rows x and y of one key.
 
-    Sizes within the ratio and low bits within ``MAX_BITS``; then two upper bounds of the
-    intersection. Shingles that only one candidate text has cannot be common. Against the
+    Sizes within the ratio; then two upper bounds of the intersection. Shingles that only one candidate text has cannot be common. Against the
     pivot p of the key: of p's shingles, those that x or y lacks are not common (folding
     can only make them fewer), and beyond p at most the smaller rest that is not unique.
     """
     n, m = F.col("x.n"), F.col("y.n")
-    bits = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     bound = F.least(n - F.col("x.own"), m - F.col("y.own"))
     lost = [
         F.bit_count(
@@ -221,7 +213,6 @@ def _may_link(percent: int) -> Column:
     return (
         (n * 100 >= m * percent)
         & (m * 100 >= n * percent)
-        & (bits <= MAX_BITS)
         & ratio(bound)
         & ratio(F.least(by_pivot, n, m))
     )
@@ -236,12 +227,13 @@ def near_duplicates(
        minimum hashes of 16 bits. Texts with the same word sequence then share one
        representative (their smallest id), so copies never form pairs.
     2. Multi-index join: 16 chunks of four symbols, each with one symbol left out, give 64
-       keys per representative. Signatures within ``MAX_DISTANCE`` share a key for certain.
-       True pairs at the threshold differ in 16 symbols on average (deviation 3.5) and in 8
-       low bits (deviation 2.6), so fewer than one in 10,000 of them is above either limit,
-       and pairs of higher similarity practically never are.
+       keys per representative. Signatures within 31 symbols share a key for certain. True
+       pairs at the threshold differ in 16 symbols on average (deviation 3.5), so fewer than
+       one in 10,000 of them is above that, and pairs of higher similarity practically never.
     3. The full sets of all texts that share a key are hashed once more, and the shingles
-       that only one of these texts has are counted.
+       that only one of these texts has are counted. A text whose other shingles are too few
+       for any link leaves here, so texts of one template that differ in their own parts
+       form no pairs.
     4. Every key links its members to its pivot, the member with the fewest own shingles and
        so as a rule the least edited copy. The exact overlaps with the pivots give the first
        links, which are joined into components. Then, only under keys whose members still
@@ -254,12 +246,13 @@ def near_duplicates(
 
     Texts without words (null, empty) link with nothing and keep their own id. Rows with a
     null id stay unlinked and are kept. Rows that repeat an id share its component, whatever
-    their texts. An empty table gives an empty result. Other columns are ignored, so their names cannot clash.
+    their texts, and join what each of these texts links with. Ids are read as longs. An
+    empty table gives an empty result. Other columns are ignored, so their names cannot clash.
     """
     base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     signed = staged(
         base.mapInArrow(
-            _sign, "id long, digest binary, n long, chunks array<long>, bits long"
+            _sign, "id long, digest binary, n long, chunks array<long>"
         ),
         "signatures",
     )
@@ -267,8 +260,7 @@ def near_duplicates(
         signed.where("id is not null and digest is not null")
         .groupBy("digest")
         .agg(
-            F.min("id").alias("id"), F.first("n").alias("n"), F.first("chunks").alias("chunks"),
-            F.first("bits").alias("bits"),
+            F.min("id").alias("id"), F.first("n").alias("n"), F.first("chunks").alias("chunks")
         ),
         "representatives",
     )
@@ -278,17 +270,18 @@ def near_duplicates(
     ids = staged(shared.select("id").distinct(), "ids")
     sets = _shingle_sets(base, ids)
     marks = staged(
-        reps.select("id", "n", "bits")
+        reps.select("id", "n")
         .join(ids, "id", "left_semi")
         .join(_own_shingles(sets), "id", "left")
-        .select("id", "n", "bits", F.coalesce("own", F.lit(0).cast("long")).alias("own")),
+        .select("id", "n", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+        .where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent),
         "marks",
     )
     marked = staged(shared.join(marks, "id"), "marked")
     pivots = marked.groupBy("key").agg(F.min(F.struct("own", "id")).alias("p"))
     placed = staged(
         marked.join(pivots, "key").select(
-            "key", "slot", "id", "n", "bits", "own", F.col("p.id").alias("pivot")
+            "key", "slot", "id", "n", "own", F.col("p.id").alias("pivot")
         ),
         "placed",
     )
@@ -328,13 +321,17 @@ def near_duplicates(
     )
     rest = crossing.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     second = _linked(_compared(staged(rest, "pairs"), sets), percent)
-    final = connected_components(links.union(second))
-
-    named = reps.select("digest", "id").join(
-        final.withColumnRenamed("node", "id"), "id", "left"
-    ).select("digest", F.coalesce("component", "id").alias("_component"))
-    found = signed.select("id", "n", "digest").join(named, "digest", "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("_component", "id"))
+    mapped = staged(
+        signed.join(reps.select("digest", F.col("id").alias("rep")), "digest", "left").select(
+            "id", "n", "rep"
+        ),
+        "mapped",
+    )
+    final = connected_components(
+        links.union(second).union(shared_ids(mapped, "id", "rep"))
+    ).withColumnRenamed("node", "rep")
+    found = mapped.join(final, "rep", "left").withColumn("_named", F.coalesce("component", "rep"))
+    own = F.when(F.col("id").isNotNull(), F.coalesce("_named", "id"))
     return found.select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),

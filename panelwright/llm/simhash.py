@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.components import connected_components
+from panelwright.llm.components import connected_components, shared_ids
 from panelwright.operators.staging import staged
 
 BITS = 64
@@ -214,13 +214,7 @@ def simhash_duplicates(
         signed.join(reps.withColumnRenamed("id", "rep"), "print", "left").select("id", "print", "rep"),
         "placed",
     )
-    several = (
-        placed.where("id is not null")
-        .groupBy("id")
-        .agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-        .where("a < b")
-    )
-    bridges = placed.join(several.select("id", "a"), "id").select("a", F.col("rep").alias("b"))
+    bridges = shared_ids(placed, "id", "rep")
     groups = connected_components(links.union(bridges)).select(
         F.col("node").alias("rep"), "component"
     )

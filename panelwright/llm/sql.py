@@ -7,6 +7,8 @@ from panelwright.llm import quality as Q
 _LISTS = " ".join(
     f"when '{language}' then {words}" for language, words in sorted(Q.COMMON_WORDS.items())
 )
+_REFERENCE = " ".join(f"when '{x}' then {bins}" for x, bins in Q.CLASS_REFERENCE.items())
+_WORDS = " ".join(f"when '{x}' then {[*b, 1000 - sum(b)]}" for x, b in Q.WORD_REFERENCE.items())
 _CLASSES = ", ".join(
     "length(glued) - length(regexp_replace(glued, '" + p.replace("'", "''") + "', '', 'g'))"
     for p in Q.CLASSES
@@ -44,14 +46,6 @@ counted as (
 hist as (
     select *, list_append(c, word_chars - list_sum(c)::bigint) as ch,
         list_append(k, n_words - list_sum(k)::bigint) as wh from counted),
-ref as (
-    select language, list(s order by i) filter (kind = 'c') as cr, list(s order by i) filter (kind = 'w') as wr
-    from (select language, kind, i, sum(v)::bigint as s from (
-            select language, 'c' as kind, unnest(range(1, len(ch) + 1)) as i, unnest(ch) as v from hist
-            union all
-            select language, 'w', unnest(range(1, len(wh) + 1)), unnest(wh) from hist where wh is not null)
-          group by 1, 2, 3)
-    group by 1),
 gram as (
     select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g
     from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from doc where len(w) >= 3)),
@@ -63,7 +57,8 @@ again as (
 judged as (
     select h.*, coalesce(n, 0) as n_repeat_words, h.c[4] as n_symbols,
         {_distance('ch', 'cr')} as class_distance, {_distance('wh', 'wr')} as word_distance
-    from hist h join ref using (language) left join again using (doc_id)),
+    from (select *, case language {_REFERENCE} end as cr, case language {_WORDS} end as wr from hist) h
+        left join again using (doc_id)),
 ruled as (
     select *, n_words < {Q.MIN_WORDS} or 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words as base_failed
     from judged)

@@ -52,7 +52,11 @@ def test_round_trip_of_control_strings(spark):
     out = formatted_chats(df).select(
         "conv_id", "formatted", "loss_mask", read_turns(F.col("formatted")).alias("turns"),
         read_loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
-    for r in out.collect():
+    rows = out.collect()
+    assert [(r.formatted, r.loss_mask) for r in rows if r.conv_id == 900] == [(None, None)]
+    for r in rows:
+        if r.conv_id == 900:
+            continue
         want = [(a or "", b or "") for a, b in dict(chats)[r.conv_id] or []]
         assert [tuple(t) for t in r.turns] == want
         assert r.loss == "".join(b for a, b in want if a == "assistant")
@@ -60,6 +64,31 @@ def test_round_trip_of_control_strings(spark):
         assert len(r.loss_mask) == sum(a == "assistant" for a, _ in want)
 
 
+def test_records_beyond_the_size_of_variants(spark, monkeypatch):
+    """Large records are read by their schema and keep every turn."""
+    from panelwright.llm import chat
+
+    monkeypatch.setattr(chat, "VARIANT_BYTES", 40)
+    rows = [(i, json.dumps(r | {"messages": r["messages"] + [{"role": "u", "content": "v" * 60}]})
+             if layout == "messages" else json.dumps(r) + " " * 60) for i, r, layout, _ in RECORDS[:7]]
+    got = {r.conv_id: (r.layout, [tuple(t) for t in r.turns or []]) for r in canonical_turns(
+        spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    for i, _, layout, turns in RECORDS[:7]:
+        extra = [("u", "v" * 60)] if layout == "messages" else []
+        if i != 2:  # a null field cannot be told from an absent one by its value
+            assert got[i] == (layout, (turns or []) + extra), i
+
+
+def test_one_very_long_turn(spark):
+    from panelwright.llm.queries import conversation_records
+
+    rows = spark.range(1).select(
+        F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"),
+        F.repeat(F.substring(F.concat(F.lit("0123456789"), F.col("id")), 1, 10), 14_000_000).alias("text"))
+    chats = formatted_chats(canonical_turns(conversation_records(rows)))
+    assert chats.select(F.length("formatted")).first()[0] == 140_000_000 + len("<|im_start|>user\n<|im_end|>\n")
+
+
 def test_query_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     name = "op7_chat_formatting"

@@ -113,3 +113,21 @@ def test_query_equals_brute_force(spark):
     got = PLANS["op3_near_duplicates"](spark, sf)
     assert found(got) == brute(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.collect())
+
+
+def test_rows_that_repeat_an_id_join_what_their_texts_link_with(spark):
+    a, b = (" ".join(f"{t}{i}" for i in range(60)) for t in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b), (11, "alone here"), (12, None), (12, b), (None, b)]
+    got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted(
+        [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11), (12, 12), (12, 3), (None, None)], key=str)
+
+
+def test_texts_of_one_template_form_no_pairs(spark):
+    """Texts that share a frame but not enough of it leave before any pair is formed."""
+    frame = ["f%d" % i for i in range(60)]
+    rows = [(i, " ".join(frame + [f"own{i}_{k}" for k in range(18)])) for i in range(300)]
+    rows += [(i + 1000, t + " tail") for i, t in rows[:20]]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found(got) == brute(rows)

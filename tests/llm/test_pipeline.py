@@ -79,3 +79,25 @@ def test_stages_keep_the_columns_and_odd_rows(spark):
             if name != "sharding":
                 assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
         docs.collect()
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_text(spark):
+    """Rows that share an id or have none are judged by their own texts."""
+    a, b, c = (" ".join(f"{t}{i}" for i in range(80)) for t in "abc")
+    near = a.replace("a5 ", "zz ")
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (7, c, 4), (7, c, 4), (None, a, 5), (None, "only here", 6),
+            (9, near, 7), (None, None, 8), (None, None, 8), (11, None, 9), (12, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert got.columns == ["doc_id", "text", "row"]
+    kept = sorted((r.doc_id, r.row) for r in got.where("doc_id is not null").collect())
+    assert kept == [(3, 1), (5, 3), (7, 4), (11, 9), (12, 10)]
+    assert sorted((r.row for r in got.where("doc_id is null").collect())) == [6, 8]
+
+
+def test_stages_leave_columns_of_their_own_names_alone(spark):
+    text = " ".join("word%d is the of and to" % (i * 7 % 50) for i in range(60))
+    rows = [(1, text, "en", "src0", 1, "mine"), (2, text + " more", "en", "src1", 2, "yours")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row int, _digest string")
+    got = corpus_pipeline.decontamination_stage(spark, docs, SF)
+    assert sorted(map(tuple, got.collect())) == rows
