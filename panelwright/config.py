@@ -140,9 +140,19 @@ GRID_FEATURES = (
 FEATURE_SCHEMAS = {
     "baseline": BASE_FEATURES,
     "iod": BASE_FEATURES + INDEX_FEATURES,
+    "horizon": BASE_FEATURES[:-2] + INDEX_FEATURES + GRID_FEATURES,
     "atmospheric": BASE_FEATURES + INDEX_FEATURES + GRID_FEATURES,
 }
 
+# What the candidates of a training run see: local state, and with it the ocean indices.
+LOCAL_FEATURES = tuple(
+    f for f in BASE_FEATURES[:-2]
+    if f not in ("MJO_Phase", "MJO_Amplitude", "Nino34_Anomaly", "mjo_phase_sin", "mjo_phase_cos")
+)
+TELECONNECTION_FEATURES = LOCAL_FEATURES + (
+    "MJO_Phase", "MJO_Amplitude", "Nino34_Anomaly", "mjo_phase_sin", "mjo_phase_cos", *INDEX_FEATURES,
+)
+
 # Districts with their zone and coordinates (latitude, longitude).
 DISTRICTS = {
     "Alipurduar": ("terai_teesta", 26.49, 89.53),

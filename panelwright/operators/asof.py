@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,84 @@ def asof_join(
     )
 
 
+@dataclass(frozen=True)
+class AsOfSource:
+    """A source of point-in-time values: its rows, when they are known, and what they give.
+
+    ``offsets`` are days: the value that was known so many days before a probe. Offset 0
+    gives the columns under their own names, offset 7 of ``x`` gives ``x_lag7``.
+    """
+
+    rows: DataFrame
+    ts: str
+    cols: tuple[str, ...]
+    offsets: tuple[int, ...] = (0,)
+
+    def name(self, col: str, offset: int) -> str:
+        return f"{col}_lag{offset}" if offset else col
+
+
+def asof_many(
+    probes: DataFrame, at: str, sources: list[AsOfSource], by: list[str] = ()
+) -> DataFrame:
+    """Probes with the last known values of all sources, by one shuffle and one sort.
+
+    Probes and source rows are stacked and tagged. A row that counts for several offsets is
+    repeated with its time moved forward, so that all offsets are answered by the same
+    probe row; one running window per (source, offset) then carries the last value. Every
+    source is read once. A source row with equal time and key gives way to the one with
+    the greatest values. Null times of probes and keys without source rows get nulls; null
+    keys match nothing. ``by`` empty means one series, as for national indices: it is bounded
+    by its days and handled in one task. For tables of events per key use ``asof_join``.
+    """
+    parts = [
+        probes.select(
+            *by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*probes.columns).alias("_row")
+        )
+    ]
+    for i, source in enumerate(sources):
+        known = F.col(source.ts).isNotNull()
+        for key in by:
+            known = known & F.col(key).isNotNull()
+        moved = source.rows.where(known).withColumn(
+            "_offset", F.explode(F.array(*[F.lit(o) for o in source.offsets]))
+        )
+        value = F.struct(*source.cols)
+        parts.append(
+            moved.select(
+                *by, (F.col(source.ts) + F.make_interval(days=F.col("_offset"))).cast(
+                    probes.schema[at].dataType
+                ).alias("_at"),
+                F.lit(0).alias("_side"),
+                *[
+                    F.when(F.col("_offset") == o, value).alias(f"_{i}_{o}")
+                    for o in source.offsets
+                ],
+            )
+        )
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    values = [f"_{i}_{o}" for i, source in enumerate(sources) for o in source.offsets]
+    running = (
+        Window.partitionBy(*(by or [F.lit(0)]))
+        .orderBy("_at", "_side", *values)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    found = stacked.withColumns(
+        {v: F.last(v, ignorenulls=True).over(running) for v in values}
+    ).where("_side = 1")
+    return found.select(
+        "_row.*",
+        *[
+            F.col(f"_{i}_{o}.{col}").alias(source.name(col, o))
+            for i, source in enumerate(sources)
+            for o in source.offsets
+            for col in source.cols
+        ],
+    )
+
+
 def weekly_releases(raw: DataFrame, delay: int = WEEKLY_RELEASE_DELAY) -> DataFrame:
     """Add the availability date of releases with a ``period_end`` column."""
     return raw.withColumn("available_date", F.date_add("period_end", delay))
@@ -173,9 +253,15 @@ def publication_violations(df: DataFrame, *, observed: str, available: str) -> D
 
 
 def complete_dates(
-    panel: DataFrame, required: list[str], n_keys: int | Column, cols: PanelColumns = PANEL
+    panel: DataFrame, required: list[str], n_keys: int | Column | None = None,
+    cols: PanelColumns = PANEL,
 ) -> DataFrame:
-    """Dates on which all ``n_keys`` keys have every required value."""
+    """Dates on which all keys have every required value.
+
+    Without ``n_keys`` the number of keys is counted in the panel.
+    """
+    if n_keys is None:
+        n_keys = panel.agg(F.countDistinct(cols.key)).scalar()
     valid = panel.dropna(subset=required)
     return (
         valid.groupBy(cols.ts)
@@ -188,10 +274,10 @@ def latest_common_date(
     panel: DataFrame,
     *,
     required: list[str],
-    n_keys: int,
     releases: DataFrame,
     daily: DataFrame,
     fallback: str,
+    n_keys: int | Column | None = None,
     cols: PanelColumns = PANEL,
 ) -> DataFrame:
     """One row: the last date on which the panel and both index sources are usable.

@@ -323,3 +323,52 @@ def leave_one_out_fit(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
         .withColumn("held_out_error", F.col("_y") - F.col("held_out_fit"))
         .select(key, "slope", "intercept", "held_out_fit", "held_out_error")
     )
+
+
+def leave_one_out_fits(df: DataFrame, key: str, predictors: tuple[str, str], outcomes: list[str]) -> DataFrame:
+    """Held-out fits of several outcomes on two predictors: the normal equations of all rows
+    less the key's own, solved per row in columns.
+
+    ``df`` has one row per key; rows with an unknown predictor or outcome take no part. All
+    sums reach the rows as one scalar subquery. Result: key, and per outcome
+    ``fit_<outcome>`` and ``error_<outcome>``; null where the others do not determine a fit.
+    """
+    names = {"a": predictors[0], "b": predictors[1], **{f"y{i}": y for i, y in enumerate(outcomes)}}
+    known = F.lit(True)
+    for column in names.values():
+        known = known & F.col(column).isNotNull()
+    rows = df.where(known).select(
+        key, *[F.col(column).cast("double").alias(f"_{n}") for n, column in names.items()]
+    )
+    products = ["a", "b", "aa", "ab", "bb"]
+    for i in range(len(outcomes)):
+        products += [f"y{i}", f"ay{i}", f"by{i}"]
+
+    def factors(name: str) -> Column:
+        rest, out = name, None
+        while rest:
+            part = rest if rest.startswith("y") else rest[0]
+            rest = rest[len(part):]
+            out = F.col(f"_{part}") if out is None else out * F.col(f"_{part}")
+        return out
+
+    totals = rows.agg(
+        F.struct(F.count(F.lit(1)).alias("n"), *[F.sum(factors(p)).alias(p) for p in products])
+    ).scalar()
+    rows = rows.withColumn("_t", totals)
+    n = (F.col("_t.n") - 1).cast("double")
+    s = {p: F.col(f"_t.{p}") - factors(p) for p in products}
+
+    def centred(p: str, u: str, v: str) -> Column:
+        return s[p] - s[u] * s[v] / n
+
+    aa, bb, ab = centred("aa", "a", "a"), centred("bb", "b", "b"), centred("ab", "a", "b")
+    det = aa * bb - ab * ab
+    out = [F.col(key)]
+    for i, outcome in enumerate(outcomes):
+        ay, by = centred(f"ay{i}", "a", f"y{i}"), centred(f"by{i}", "b", f"y{i}")
+        first, second = F.try_divide(ay * bb - by * ab, det), F.try_divide(by * aa - ay * ab, det)
+        constant = (s[f"y{i}"] - first * s["a"] - second * s["b"]) / n
+        fit = constant + first * F.col("_a") + second * F.col("_b")
+        out += [fit.alias(f"fit_{outcome}"), (F.col(f"_y{i}") - fit).alias(f"error_{outcome}")]
+    return rows.select(*out)

@@ -294,3 +294,121 @@ def outside_region(df: DataFrame, id_col: str, rings: str, box=REGION_BOX) -> Da
 def with_geometry(df: DataFrame, rings: str) -> DataFrame:
     """Rows whose geometry is there: not null and with at least one point."""
     return df.where(F.size(F.flatten(F.col(rings))) > 0)
+
+
+# --- units of several parts -----------------------------------------------------------
+
+def moments(rings: Column) -> Column:
+    """Additive moments of one polygon: area and first moments, outline minus holes.
+
+    Sums of these over the parts of a unit give its area and centroid, so a unit is measured
+    without a union of its boundaries and without gathering its parts.
+    """
+    first = F.get(rings, F.lit(0))
+    holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
+
+    def net(measure) -> Column:
+        def turned(ring: Column) -> Column:
+            return F.signum(ring_area(ring)) * measure(ring)
+
+        return F.coalesce(
+            F.aggregate(F.transform(holes, turned), turned(first), lambda total, hole: total - hole),
+            F.lit(0.0),
+        )
+
+    def axis(name: str) -> Column:
+        return net(
+            lambda ring: _edge_sum(ring, lambda p, q: (p[name] + q[name]) * _cross(p, q)) / F.lit(6.0)
+        )
+
+    return F.struct(
+        net(ring_area).alias("area"), axis("x").alias("mx"), axis("y").alias("my")
+    )
+
+
+def unit_geometry(parts: DataFrame, keys: list[str], rings: str = "rings", digits: int = 5) -> DataFrame:
+    """One row per unit: parts, area, area-weighted centroid and box of all its polygons.
+
+    ``parts`` has a row per polygon. Moments and boxes are combined map-side, so a unit with
+    a large share of the polygons sends one row per task. Polygons without points count as
+    parts and add nothing; a unit without area has no centroid.
+    """
+    x0, x1, y0, y1 = bounding_box(F.col(rings))
+    sums = parts.withColumns(
+        {"_m": moments(F.col(rings)), "_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1}
+    ).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("_m.area").alias("area"), F.sum("_m.mx").alias("_mx"), F.sum("_m.my").alias("_my"),
+        F.min("_x0").alias("min_x"), F.max("_x1").alias("max_x"),
+        F.min("_y0").alias("min_y"), F.max("_y1").alias("max_y"),
+    )
+    some = F.col("area") > 0
+    return sums.withColumns(
+        {
+            "centroid_lon": F.when(some, F.round(F.col("_mx") / F.col("area"), digits)),
+            "centroid_lat": F.when(some, F.round(F.col("_my") / F.col("area"), digits)),
+        }
+    ).drop("_mx", "_my")
+
+
+# Names of the longitude-latitude system of GeoJSON.
+DEGREE_NAMES = ("4326", "CRS84", "WGS")
+# Bounds of the axes (min x, max x, min y, max y) by code, in its unit.
+AXIS_BOUNDS = {
+    "4326": (-180.0, 180.0, -90.0, 90.0),
+    "CRS84": (-180.0, 180.0, -90.0, 90.0),
+    "3857": (-20037508.35, 20037508.35, -20048966.11, 20048966.11),
+}
+
+
+def crs_name(text: Column | str) -> Column:
+    """Name of the reference system of a FeatureCollection text; without one it is EPSG:4326."""
+    named = F.get_json_object(text, "$.crs.properties.name")
+    return F.coalesce(named, F.lit("EPSG:4326"))
+
+
+def crs_problems(collections: DataFrame, id_col: str, text: str = "value") -> DataFrame:
+    """First problem of the reference system and the coordinates of each collection.
+
+    ``crs_mismatch``: the named system is not the longitude-latitude one. ``no_features``:
+    nothing is in it. ``axis_out_of_bounds``: a coordinate lies outside what the axes of
+    the named system allow, as metres in a file that claims degrees do. ``swapped_axes``:
+    the coordinates fit only with x and y exchanged.
+    """
+    named = collections.select(id_col, F.col(text).alias("_text"), crs_name(text).alias("_crs"))
+    upper = F.upper("_crs")
+    known = F.lit(False)
+    for name in DEGREE_NAMES:
+        known = known | upper.contains(name)
+    code = F.coalesce(
+        *[F.when(upper.contains(c), F.lit(c)) for c in AXIS_BOUNDS], F.lit("4326")
+    )
+    def axis(group: int) -> Column:
+        found = F.regexp_extract_all(
+            "_text",
+            F.lit(r"\[\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)\s*,\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"),
+            F.lit(group),
+        )
+        return F.transform(found, lambda v: v.cast("double"))
+
+    rows = named.withColumns({"_x": axis(1), "_y": axis(2)})
+    limits = F.create_map(
+        *[x for c, b in AXIS_BOUNDS.items() for x in (F.lit(c), F.array(*[F.lit(v) for v in b]))]
+    )
+    b = F.element_at(limits, code)
+
+    def fits(x: str, y: str) -> Column:
+        return (
+            (F.array_min(x) >= b[0]) & (F.array_max(x) <= b[1])
+            & (F.array_min(y) >= b[2]) & (F.array_max(y) <= b[3])
+        )
+
+    problem = (
+        F.when(~known, "crs_mismatch")
+        .when(F.coalesce(F.get_json_object("_text", "$.features[0]"), F.lit("")) == "", "no_features")
+        .when(~fits("_x", "_y") & fits("_y", "_x"), "swapped_axes")
+        .when(~fits("_x", "_y"), "axis_out_of_bounds")
+    )
+    return rows.withColumn("problem", problem).where(F.col("problem").isNotNull()).select(
+        id_col, F.col("_crs").alias("crs"), "problem"
+    )

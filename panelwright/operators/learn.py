@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
 from panelwright.operators.baselines import choose_candidate
-from panelwright.operators.metrics import binary_metrics
+from panelwright.operators.metrics import binary_metrics, ordinal_codes
 from panelwright.operators.staging import durable
 
 # Settings of the boosted heads (trees, depth, step) and their sampling.
@@ -31,12 +33,16 @@ MAX_CLASSES = 1_000
 
 
 def alphabetical_index(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Ordinal codes in alphabetical order, as in a fitted label encoder."""
-    indexer = StringIndexer(
-        inputCols=list(columns), outputCols=list(columns.values()),
-        stringOrderType="alphabetAsc", handleInvalid="keep",
-    )
-    return indexer.fit(df).transform(df)
+    """Ordinal codes in alphabetical order, as in a fitted label encoder; null stays null.
+
+    The distinct values are numbered by ranges (see ``metrics.ordinal_codes``) and joined
+    back, so a column may have as many values as it likes.
+    """
+    out = df
+    for column, name in columns.items():
+        codes = ordinal_codes(df, column, name)
+        out = out.join(codes, column, "left")
+    return out.select(*df.columns, *columns.values())
 
 
 def _assembler(features: list[str], output: str) -> VectorAssembler:
@@ -50,16 +56,26 @@ def boosted_head(features: list[str], label: str, settings=BOOSTED_V2, weight: s
     return Pipeline(stages=[_assembler(features, "_x"), model])
 
 
-def logistic_head(features: list[str], label: str, rows: int, c: float = 1.0) -> Pipeline:
-    """Standardised logistic regression; strength ``c`` per row maps to 1 / (c * rows)."""
+def logistic_head(
+    features: list[str], label: str, rows: int, c: float = 1.0, weight: str | None = None,
+    sparse: float | None = None,
+) -> Pipeline:
+    """Standardised logistic regression; strength ``c`` per row maps to 1 / (c * rows).
+
+    ``sparse`` is an L1 penalty instead, under which features without use get no weight.
+    """
+    model = LogisticRegression(
+        featuresCol="_x", labelCol=label, standardization=False, maxIter=1000,
+        regParam=1.0 / (c * max(rows, 1)) if sparse is None else sparse,
+        elasticNetParam=0.0 if sparse is None else 1.0,
+    )
+    if weight:
+        model.setWeightCol(weight)
     return Pipeline(
         stages=[
             _assembler(features, "_raw"),
             StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True),
-            LogisticRegression(
-                featuresCol="_x", labelCol=label, standardization=False,
-                regParam=1.0 / (c * max(rows, 1)), maxIter=1000,
-            ),
+            model,
         ]
     )
 
@@ -115,26 +131,43 @@ class SigmoidCalibrator:
 class IsotonicCalibrator:
     """Monotone calibration, constant outside the fitted range.
 
-    Spark gathers its pooled blocks for the last merge, so scores are first reduced to
-    weighted means per ``1 / resolution``: at most ``resolution + 1`` points.
+    Distinct scores are cut into ranges, and each range pools its adjacent violators into
+    blocks (see :func:`pooled_blocks`). Pooling is a mergeable summary: pooling the blocks of
+    all ranges gives the fit of all scores, so Spark's isotonic regression gets the blocks'
+    ends instead of the scores. No score is rounded; with 0/1 labels the blocks are far
+    fewer than the scores.
     """
 
-    def __init__(self, raw: str = "raw_p", resolution: int = 100_000):
-        self.raw, self.resolution, self.model = raw, resolution, None
+    def __init__(self, raw: str = "raw_p"):
+        self.raw, self.model = raw, None
 
     def _clipped(self) -> Column:
         return S.clip(self.raw, 1e-6, 1.0 - 1e-6)
 
     def fit(self, df: DataFrame, label: str) -> "IsotonicCalibrator":
-        cell = F.round(self._clipped() * self.resolution)
-        points = df.groupBy(cell.alias("_cell")).agg(
-            F.avg(self._clipped()).alias("_x"),
-            F.avg(F.col(label).cast("double")).alias("_y"),
-            F.count(F.lit(1)).cast("double").alias("_w"),
+        points = df.groupBy(self._clipped().alias("low")).agg(
+            F.count(F.lit(1)).cast("double").alias("w"),
+            F.sum(F.col(label).cast("double")).alias("s"),
+        ).select("low", F.col("low").alias("high"), "w", "s")
+        schema = "low double, high double, w double, s double"
+        blocks = points.repartitionByRange("low").sortWithinPartitions("low").mapInArrow(
+            pooled_blocks, schema
         )
+        ends = blocks.select(
+            (F.col("s") / F.col("w")).alias("_y"),
+            F.explode(
+                F.when(
+                    F.col("low") < F.col("high"),
+                    F.array(
+                        F.struct(F.col("low").alias("_x"), (F.col("w") / 2).alias("_w")),
+                        F.struct(F.col("high").alias("_x"), (F.col("w") / 2).alias("_w")),
+                    ),
+                ).otherwise(F.array(F.struct(F.col("low").alias("_x"), F.col("w").alias("_w"))))
+            ).alias("e"),
+        ).select("e._x", "_y", "e._w")
         self.model = IsotonicRegression(
             featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_iso"
-        ).fit(points)
+        ).fit(ends)
         return self
 
     def predict(self, df: DataFrame, name: str = "p") -> DataFrame:
@@ -142,6 +175,29 @@ class IsotonicCalibrator:
         return scored.withColumn(name, F.col("_iso")).drop("_x", "_iso")
 
 
+def pooled_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (low, high, w, s) of ascending means from blocks in ascending order.
+
+    A block whose mean is not above that of the block before it is pooled with it. Only the
+    blocks that remain are held.
+    """
+    lows, highs, weights, sums = [], [], [], []
+    for batch in batches:
+        for low, high, w, s in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            while weights and sums[-1] * w >= s * weights[-1]:
+                low, w, s = lows.pop(), w + weights.pop(), s + sums.pop()
+                highs.pop()
+            lows.append(low)
+            highs.append(high)
+            weights.append(w)
+            sums.append(s)
+    if lows:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, pa.float64()) for x in (lows, highs, weights, sums)],
+            names=["low", "high", "w", "s"],
+        )
+
+
 CALIBRATORS = {"sigmoid": SigmoidCalibrator, "isotonic": IsotonicCalibrator}
 
 
@@ -164,11 +220,14 @@ def choose_calibration(calibration: DataFrame, selection: DataFrame, label: str)
 
 
 def fit_head(
-    data: DataFrame, *, label: str, features: list[str], kind: str, settings=BOOSTED_V2
+    data: DataFrame, *, label: str, features: list[str], kind: str, settings=BOOSTED_V2,
+    weight: float | None = None, rows_hint: int | None = None,
 ) -> tuple[PipelineModel, str, object, DataFrame]:
     """Train one candidate on the ``split`` column and calibrate it.
 
     ``data`` holds eligible rows with splits train, calibration, selection and test.
+    ``weight`` is what a positive row counts in a boosted fit (see
+    ``baselines.positive_weight``); ``rows_hint`` is the number of training rows, if known.
     Returns model, calibration method, calibrator and the scored selection/test rows.
     """
     rows = data.where(F.col("split").isNotNull()).withColumn(
@@ -176,9 +235,13 @@ def fit_head(
     )
     train = rows.where("split = 'train'")
     if kind == "logistic":
-        model = logistic_head(features, label, train.count()).fit(train)
+        model = logistic_head(features, label, rows_hint or train.count()).fit(train)
     else:
-        model = boosted_head(features, label, settings).fit(train)
+        if weight is not None:
+            train = train.withColumn("_weight", F.when(F.col(label) == 1.0, weight).otherwise(1.0))
+        model = boosted_head(
+            features, label, settings, weight="_weight" if weight is not None else None
+        ).fit(train)
     held_out = positive_probability(model.transform(rows.where("split != 'train'"))).select(
         *[c for c in data.columns], "raw_p"
     )

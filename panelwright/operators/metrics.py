@@ -43,42 +43,78 @@ def score_counts(scores: DataFrame, *, by: list[str], y: str, p: str) -> DataFra
     )
 
 
-def totals_above(counts: DataFrame, *, by: list[str], blocks: int = 64) -> DataFrame:
+def placed_in_order(df: DataFrame, order: list[Column], name: str = "_part") -> DataFrame:
+    """Rows in balanced ranges of an order, numbered by range and staged.
+
+    The ranges follow from a sample of the rows, so there are as many as the session has
+    shuffle partitions and none depends on how many rows a group has. Equal rows of the
+    order share a range.
+    """
+    return durable(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
+def totals_above(counts: DataFrame, *, by: list[str]) -> DataFrame:
     """Add ``pos_above`` and ``neg_above``: totals over strictly higher scores of the group.
 
-    Scores are split at approximate quantiles of the distinct scores into at most
-    ``blocks`` blocks per group; totals of whole higher blocks plus a running sum inside
-    the block give the exact result whatever the quantile error. The counts are read
-    three times, so callers stage them first (see :func:`metrics_from_counts`).
+    The scores are cut into ranges (see :func:`placed_in_order`); totals of whole higher
+    ranges, a prefix sum over one row per group and range, plus a running sum inside the
+    range give the exact result.
     """
-    shares = [i / blocks for i in range(1, blocks)]
-    edges = counts.groupBy(*by).agg(
-        F.percentile_approx("score", shares, 10000).alias("_edges")
-    )
-    placed = counts.join(edges, by).withColumn(
-        "_block", F.size(F.filter("_edges", lambda e: e <= F.col("score")))
-    ).drop("_edges")
-    higher = Window.partitionBy(*by).orderBy(F.desc("_block")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    per_block = placed.groupBy(*by, "_block").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    offsets = per_block.select(
-        *by, "_block",
+    placed = placed_in_order(counts, [*[F.col(c) for c in by], F.desc("score")])
+    higher = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = placed.groupBy(*by, "_part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    offsets = per_part.select(
+        *by, "_part",
         F.coalesce(F.sum("p").over(higher), F.lit(0)).alias("_p0"),
         F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("_n0"),
     )
-    inside = Window.partitionBy(*by, "_block").orderBy(F.desc("score")).rowsBetween(
+    inside = Window.partitionBy(*by, "_part").orderBy(F.desc("score")).rowsBetween(
         Window.unboundedPreceding, -1
     )
     return (
-        placed.join(offsets, [*by, "_block"])
+        placed.join(offsets, [*by, "_part"])
         .withColumns(
             {
                 "pos_above": F.col("_p0") + F.coalesce(F.sum("pos").over(inside), F.lit(0)),
                 "neg_above": F.col("_n0") + F.coalesce(F.sum("neg").over(inside), F.lit(0)),
             }
         )
-        .drop("_p0", "_n0", "_block")
+        .drop("_p0", "_n0", "_part")
+    )
+
+
+def row_positions(df: DataFrame, name: str) -> DataFrame:
+    """Position of every row in the present order of an ordered table, from 0.
+
+    Rows are numbered inside their partition; one count per partition gives its first
+    position. The numbered table is staged, so both steps see the same partitions.
+    """
+    staged = durable(df.withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
+    )
+    return staged.withColumns({"_part": part, "_inside": inside}).join(offsets, "_part").select(
+        *df.columns, (F.col("_first") + F.col("_inside")).alias(name)
+    )
+
+
+def ordinal_codes(values: DataFrame, column: str, name: str) -> DataFrame:
+    """Distinct non-null values of a column with their position in ascending order.
+
+    Ranges, one count per range and row numbers inside the range; no list of all values
+    passes through one task or the driver.
+    """
+    distinct = values.where(F.col(column).isNotNull()).select(column).distinct()
+    placed = placed_in_order(distinct, [F.col(column)])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
+    )
+    inside = Window.partitionBy("_part").orderBy(column)
+    return placed.join(offsets, "_part").select(
+        column, (F.col("_first") + F.row_number().over(inside) - 1).alias(name)
     )
 
 
@@ -101,10 +137,10 @@ def metrics_from_counts(counts: DataFrame, *, by: list[str], threshold: float =
 
     ``auc_numerator`` / ``auc_denominator`` are the exact integers behind ``roc_auc``
     (twice the favourable pairs, ties counting half); AUC is null with one class only.
-    The counts are staged once: whatever produced the scores is not computed again.
+    The counts are staged once, in order: whatever produced the scores is not computed
+    again.
     """
     counts, keys = _group(counts, by)
-    counts = durable(counts)
     s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
     eps = 2.220446049250313e-16
     safe = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), s))
@@ -332,29 +368,45 @@ def describe(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 def feature_shift(train: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
     """Current mean of each feature against its training distribution.
 
-    ``train_share_at_or_below`` is the share of training values not above it. The current
-    means are one map with an entry per feature, handed to the training rows as a scalar
-    subquery; no row is joined.
+    Per feature: the current mean and, over the training values, count, mean, sample
+    deviation, minimum, percentiles (1, 5, 25, 50, 75, 95, 99), maximum and
+    ``train_share_at_or_below``, the share of values not above the current mean. The training
+    rows are reduced to counts per distinct value first, and everything is aggregated from
+    these; the current means are one map with an entry per feature, handed over as a scalar
+    subquery.
     """
-    def long(df: DataFrame) -> DataFrame:
-        # name/value rows
-        return df.select(
-            F.explode(
-                F.array(*[
-                    F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-                    for f in features
-                ])
-            ).alias("v")
-        ).select("v.*").where(F.col("value").isNotNull())
-
+    marks = {"p01": 0.01, "p05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "p95": 0.95, "p99": 0.99}
+    long = train.select(
+        F.explode(
+            F.array(*[
+                F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
+                for f in features
+            ])
+        ).alias("v")
+    ).select("v.*").where(F.col("value").isNotNull())
     means = current.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).select(
         F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])
     )
-    base = long(train).withColumn("current", F.try_element_at(means.scalar(), "feature"))
-    share = base.groupBy("feature").agg(
+    counts = (
+        long.groupBy("feature", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("current", F.try_element_at(means.scalar(), "feature"))
+    )
+    n, v = F.col("n"), F.col("value")
+    out = counts.groupBy("feature").agg(
         F.max("current").alias("current"),
-        F.count_if(F.col("value") <= F.col("current")).alias("at_or_below"),
+        F.sum("n").alias("count"),
+        F.sum(n * v).alias("_s"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+        F.sum(F.when(v <= F.col("current"), n).otherwise(0)).alias("at_or_below"),
+        F.percentile("value", list(marks.values()), n).alias("_q"),
+        F.sum(n * v * v).alias("_ss"),
     )
-    return describe(base, "value", ["feature"]).join(share, "feature").withColumn(
-        "train_share_at_or_below", _ratio(F.col("at_or_below"), F.col("count"))
+    mean = F.col("_s") / F.col("count")
+    spread = F.greatest(F.col("_ss") - F.col("_s") * mean, F.lit(0.0))
+    return out.select(
+        "feature", "current", "count", mean.alias("mean"),
+        F.sqrt(F.try_divide(spread, F.col("count") - 1)).alias("std"), "min",
+        *[F.get("_q", F.lit(i)).alias(m) for i, m in enumerate(marks)], "max",
+        _ratio(F.col("at_or_below"), F.col("count")).alias("train_share_at_or_below"),
     )

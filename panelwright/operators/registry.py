@@ -258,60 +258,75 @@ def coverage_summary(units: DataFrame) -> DataFrame:
     )
 
 
-def missing_units(registry: DataFrame, derived: DataFrame, polygons: DataFrame) -> DataFrame:
+def missing_units(registry: DataFrame, polygons: DataFrame, derived: DataFrame | None = None) -> DataFrame:
     """Registered bodies without a derived unit, with counts and the likely reason.
 
     NO_SURVEY_GEOMETRY: no village has a polygon. FULLY_EXCLUDED_MULTI_GP: all have
     one and all are shared between bodies. ADMINISTRATIVE_MISMATCH: none absent or
-    shared, some in another block. Otherwise OTHER.
+    shared, some in another block. Otherwise OTHER. Without ``derived`` the units are those
+    of the safe rows (see :func:`safe_rows`).
+
+    Both sides are reduced to distinct codes first, stacked, and meet once per village:
+    what is shared, surveyed, in the same block or safe are windows over one shuffle. A
+    village then has a row per body and block, however often its rows are repeated.
     """
-    bodies = registry.where((F.col("body_code") != "0") & F.col("body_code").isNotNull())
-    lost = bodies.join(
-        derived.where(F.col("body_code") != "0").select("body_code").distinct(),
-        "body_code",
-        "left_anti",
-    )
-    per_village = (
-        registry.where(F.col("vill_code").isNotNull())
-        .groupBy("vill_code")
-        .agg((F.count(F.lit(1)) > 1).alias("shared"))
+    names = ["dist_code", "dist_name", "block_name"]
+    listed = registry.groupBy("vill_code", "body_code", "block_code", *names).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("body_name").alias("body_name")
     )
-    coded = polygons.where(F.col("vill_code").isNotNull())
-    present_codes = coded.select("vill_code").distinct().withColumn("present", F.lit(True))
-    present_pairs = coded.select(
-        "vill_code", F.col("block_code").alias("member_block")
-    ).distinct().withColumn("same_block", F.lit(True))
-    safe = safe_rows(polygons, registry).select("vill_code").distinct().withColumn(
-        "safe", F.lit(True)
+    surveyed = (
+        polygons.where(F.col("vill_code").isNotNull())
+        .groupBy("vill_code", "block_code")
+        .agg(F.lit(True).alias("_survey"))
     )
-    members = (
-        lost.groupBy("body_code", "vill_code")
-        .agg(F.min("block_code").alias("member_block"))
-        .join(per_village, "vill_code", "left")
-        .join(present_codes, "vill_code", "left")
-        .join(present_pairs, ["vill_code", "member_block"], "left")
-        .join(safe, "vill_code", "left")
+    village = Window.partitionBy("vill_code")
+    pair = Window.partitionBy("vill_code", "block_code")
+    coded = F.col("vill_code").isNotNull()
+    rows = (
+        listed.unionByName(surveyed, allowMissingColumns=True)
+        .withColumns(
+            {
+                "_rows": F.when(coded, F.sum("_n").over(village)),
+                "present": F.coalesce(coded & F.max("_survey").over(village), F.lit(False)),
+                "same_block": F.coalesce(
+                    coded & F.col("block_code").isNotNull() & F.max("_survey").over(pair), F.lit(False)
+                ),
+            }
+        )
+        .where(F.col("_n").isNotNull() & (F.col("body_code") != "0"))
+        .withColumn("safe", F.coalesce((F.col("_rows") == 1) & F.col("same_block"), F.lit(False)))
     )
-    present = F.col("present").isNotNull()
-    shared = F.coalesce("shared", F.lit(False))
-    other_block = F.col("same_block").isNull()
-    counts = members.groupBy("body_code").agg(
-        F.count(F.lit(1)).alias("num_villages"),
-        F.count_if(present).alias("num_in_survey"),
-        F.count_if(shared).alias("num_shared"),
-        F.count_if(F.coalesce("safe", F.lit(False))).alias("num_safe"),
-        F.count_if(present & ~shared & other_block).alias("num_block_mismatch"),
+    members = rows.groupBy("body_code", "vill_code").agg(
+        F.coalesce(F.min_by("same_block", "block_code"), F.lit(False)).alias("same_block"),
+        F.max(F.coalesce(F.col("_rows") > 1, F.lit(False))).alias("shared"),
+        F.max("present").alias("present"), F.max("safe").alias("safe"),
+        F.min("body_name").alias("body_name"),
+        *[F.collect_set(F.nullif(F.col(c), F.lit(""))).alias(c) for c in ("block_code", *names)],
     )
-    names = lost.groupBy("body_code").agg(
+
+    def joined(column: str) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(column)))), "; ")
+
+    units = members.groupBy("body_code").agg(
         F.min("body_name").alias("body_name"),
-        _joined(F.col("dist_code")).alias("dist_codes"),
-        _joined(F.col("dist_name")).alias("dist_names"),
-        _joined(F.col("block_code")).alias("block_codes"),
-        _joined(F.col("block_name")).alias("block_names"),
+        joined("dist_code").alias("dist_codes"), joined("dist_name").alias("dist_names"),
+        joined("block_code").alias("block_codes"), joined("block_name").alias("block_names"),
+        F.count(F.lit(1)).alias("num_villages"),
+        F.count_if("present").alias("num_in_survey"),
+        F.count_if("shared").alias("num_shared"),
+        F.count_if("safe").alias("num_safe"),
+        F.count_if(F.col("present") & ~F.col("shared") & ~F.col("same_block")).alias(
+            "num_block_mismatch"
+        ),
     )
+    if derived is None:
+        lost = units.where("num_safe = 0")
+    else:
+        known = derived.where(F.col("body_code") != "0").select("body_code").distinct()
+        lost = units.join(known, "body_code", "left_anti")
     absent = F.col("num_villages") - F.col("num_in_survey")
     all_shared = (F.col("num_shared") == F.col("num_villages")) & (absent == 0)
-    return names.join(counts, "body_code").withColumns(
+    return lost.withColumns(
         {
             "num_absent": absent,
             "is_exclusively_split": all_shared,

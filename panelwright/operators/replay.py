@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.config import CORE_TARGETS, PANEL, PanelColumns
+from panelwright.functions import scalars as S
 from panelwright.operators.advisory import crop_advisory
 from panelwright.operators.panel import prediction_frame
 
@@ -29,10 +30,11 @@ def replay_records(
     """Advisory per prediction, then the outcome labels, joined only at the end.
 
     ``predictions``: key, date, ``p_<head>``, ``outlook_dry_spell``,
-    ``outlook_severe_break``. ``outcomes``: key, date and the core label columns.
+    ``outlook_severe_break``; an unknown probability stays null. ``outcomes``: key, date
+    and the core label columns.
     """
     rounded = {
-        f"p_{h}": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"p_{h}"))), 4)
+        f"p_{h}": F.round(S.clip(f"p_{h}", 0.0, 1.0), 4)
         for h in CORE_TARGETS
     }
     advised = crop_advisory(

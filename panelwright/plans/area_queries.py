@@ -183,7 +183,7 @@ mu as (select nm.*, cn.* exclude (body_code), num_villages - num_in_survey as nu
 
 def missing(spark, sf_dir):
     polygons, registry = sides(spark, sf_dir)
-    return R.missing_units(registry, R.safe_rows(polygons, registry), polygons)
+    return R.missing_units(registry, polygons)
 
 
 @query("missing_units", f"with {MISSING_SQL} select * from mu")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
@@ -18,18 +19,28 @@ from panelwright.plans.tables import (
     table,
     weather_panel,
     weather_with_streak,
+    zones,
 )
 from panelwright.sources import text as X
 
 WARM_DAYS = 30  # days before the calendar, so that its first days have lags
 
 
+def order_days(spark, sf_dir):
+    """Orders per day: weeks, months and the daily index all add these up."""
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_orderdate").cast("date").alias("day"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def order_weeks(spark, sf_dir):
     """Weekly releases from orders: period, value in hundredths, availability."""
     return (
-        table(spark, sf_dir, "orders")
-        .groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("period_start"))
-        .agg(((F.count(F.lit(1)) * 37 % 201 - 100) / 100.0).alias("iod_dmi"))
+        order_days(spark, sf_dir)
+        .groupBy(F.date_trunc("week", "day").cast("date").alias("period_start"))
+        .agg(((F.sum("n") * 37 % 201 - 100) / 100.0).alias("iod_dmi"))
         .withColumn("period_end", F.date_add("period_start", 6))
         .transform(A.weekly_releases)
     )
@@ -134,42 +145,37 @@ def index_values_at_references(spark, sf_dir):
         .select(F.date_trunc("month", "l_shipdate").cast("date").alias("ref"))
         .distinct()
     )
-    lagged = refs.select(
-        "ref", F.explode(F.array(F.lit(0), F.lit(7), F.lit(14))).alias("lag")
-    ).withColumn("at", F.date_sub("ref", F.col("lag")))
-    weekly = A.asof_join(
-        lagged, order_weeks(spark, sf_dir), left_ts="at", right_ts="available_date",
-        by=[], cols=["iod_dmi"], block="year",
-    )
-    values = weekly.groupBy("ref").agg(
-        *[F.max(F.when(F.col("lag") == n, F.col("iod_dmi"))).alias(f"_v{n}") for n in (0, 7, 14)]
-    )
-    monthly = A.asof_join(
-        values, order_months(spark, sf_dir), left_ts="ref", right_ts="available_date",
-        by=[], cols=["Nino34_Anomaly"], block="year",
-    )
-    daily = table(spark, sf_dir, "orders").select(
-        F.col("o_orderdate").cast("date").alias("daily_at")
-    ).distinct()
-    full = A.asof_join(
-        monthly, daily.withColumn("at", F.col("daily_at")), left_ts="ref", right_ts="at",
-        by=[], cols=["daily_at"], block="year",
+    full = A.asof_many(
+        refs, "ref",
+        [
+            weekly_source(spark, sf_dir),
+            monthly_source(spark, sf_dir),
+            A.AsOfSource(order_days(spark, sf_dir).select(F.col("day").alias("daily_at")), "daily_at", ("daily_at",)),
+        ],
     )
     return tidy(
         full.select(
-            "ref", S.scaled("_v0", 2).alias("v0"),
-            S.scaled(F.coalesce("_v7", "_v0"), 2).alias("v7"),
-            S.scaled(F.coalesce("_v14", "_v0"), 2).alias("v14"),
+            "ref", S.scaled("iod_dmi", 2).alias("v0"),
+            S.scaled(F.coalesce("iod_dmi_lag7", "iod_dmi"), 2).alias("v7"),
+            S.scaled(F.coalesce("iod_dmi_lag14", "iod_dmi"), 2).alias("v14"),
             S.scaled("Nino34_Anomaly", 2).alias("monthly"), "daily_at",
         )
     )
 
 
+def weekly_source(spark, sf_dir):
+    return A.AsOfSource(order_weeks(spark, sf_dir), "available_date", ("iod_dmi",), (0, 7, 14))
+
+
+def monthly_source(spark, sf_dir):
+    return A.AsOfSource(order_months(spark, sf_dir), "available_date", ("Nino34_Anomaly",))
+
+
 def order_months(spark, sf_dir):
     return (
-        table(spark, sf_dir, "orders")
-        .groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
-        .agg(((F.count(F.lit(1)) * 53 % 401 - 200) / 100.0).alias("Nino34_Anomaly"))
+        order_days(spark, sf_dir)
+        .groupBy(F.year("day").alias("year"), F.month("day").alias("month"))
+        .agg(((F.sum("n") * 53 % 401 - 200) / 100.0).alias("Nino34_Anomaly"))
         .withColumn("available_date", S.month_published("year", "month"))
     )
 
@@ -256,13 +262,14 @@ def data_freshness(spark, sf_dir):
 
 @query("full_coverage_hours", """
 select cast(date_trunc('hour', ts) as varchar) as hour, count(distinct event_type) as keys
-from events where value is not null group by 1 having count(distinct event_type) = 5
+from events where value is not null group by 1
+having count(distinct event_type) = (select count(distinct event_type) from events)
 """)
 def full_coverage_hours(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("District"), F.date_trunc("hour", "ts").alias("Date"), "value"
     )
-    hours = A.complete_dates(events, ["value"], 5)
+    hours = A.complete_dates(events, ["value"])
     return tidy(
         hours.select(F.date_format("Date", "yyyy-MM-dd HH:mm:ss").alias("hour"), "keys")
     )
@@ -271,7 +278,7 @@ def full_coverage_hours(spark, sf_dir):
 @query("latest_common_date", f"""
 with {WEEKS_SQL},
 c as (select cast(o_orderdate as date) as dt from orders where o_totalprice is not null group by 1
-      having count(distinct o_orderpriority) = 5),
+      having count(distinct o_orderpriority) = (select count(distinct o_orderpriority) from orders)),
 s as (select distinct cast(l_shipdate as date) as dt from lineitem)
 select cast(coalesce(case when (select min(av) from rel) <= (select max(dt) from c)
   then (select max(c.dt) from c join s using (dt)) end, date '1994-12-31') as varchar) as common_date
@@ -286,30 +293,32 @@ def latest_common_date(spark, sf_dir):
     )
     return tidy(
         A.latest_common_date(
-            panel, required=["o_totalprice"], n_keys=5, releases=order_weeks(spark, sf_dir),
+            panel, required=["o_totalprice"], releases=order_weeks(spark, sf_dir),
             daily=daily, fallback="1994-12-31",
         )
     )
 
 
+def zone_codes(spark, sf_dir):
+    """Zones with their alphabetical codes, counted from the data; one row per zone."""
+    names = zones(spark, sf_dir).select("Zone").distinct()
+    return names.withColumn("zone_code", (F.row_number().over(Window.orderBy("Zone")) - 1).cast("int"))
+
+
 def features_as_of(spark, sf_dir):
     """Point-in-time features of every district at the last day of every month."""
     panel = W.trailing_rain(weather_with_streak(spark, sf_dir))
-    refs = (
-        table(spark, sf_dir, "orders")
-        .select(F.last_day("o_orderdate").alias("Date"))
-        .distinct()
-    )
-    at_ref = panel.join(refs, "Date", "left_semi")
-    index = index_days(spark, sf_dir, null_is_zero=False).select(
-        "Date", "iod_dmi", "iod_positive_flag", "iod_negative_flag",
-        F.coalesce("iod_dmi_lag7", "iod_dmi").alias("iod_dmi_lag7"),
-        F.coalesce("iod_dmi_lag14", "iod_dmi").alias("iod_dmi_lag14"),
-    )
-    months = A.daily_release_values(
-        P.calendar(spark, *calendar_ends(spark, sf_dir)), order_months(spark, sf_dir), cols=["Nino34_Anomaly"]
+    refs = order_days(spark, sf_dir).select(F.last_day("day").alias("Date")).distinct()
+    national = A.asof_many(refs, "Date", [weekly_source(spark, sf_dir), monthly_source(spark, sf_dir)])
+    index = national.withColumns(
+        {
+            "iod_positive_flag": S.above("iod_dmi", 0.4, null_is_zero=False),
+            "iod_negative_flag": S.below("iod_dmi", -0.4, null_is_zero=False),
+            "iod_dmi_lag7": F.coalesce("iod_dmi_lag7", "iod_dmi"),
+            "iod_dmi_lag14": F.coalesce("iod_dmi_lag14", "iod_dmi"),
+        }
     )
-    return A.attach_daily(A.attach_daily(at_ref, index), months)
+    return panel.join(index, "Date").join(zone_codes(spark, sf_dir), "Zone")
 
 
 @query("features_as_of", f"""
@@ -331,7 +340,6 @@ join z on z.zone = t.zone
 """)
 def features_as_of_query(spark, sf_dir):
     df = features_as_of(spark, sf_dir)
-    zones = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     return tidy(
         df.select(
             F.col("District").alias("district"), F.col("Date").alias("day"),
@@ -343,7 +351,7 @@ def features_as_of_query(spark, sf_dir):
             F.col("iod_positive_flag").alias("pos"), F.col("iod_negative_flag").alias("neg"),
             S.scaled("iod_dmi_lag7", 2).alias("iod7"), S.scaled("iod_dmi_lag14", 2).alias("iod14"),
             S.scaled("Nino34_Anomaly", 2).alias("nino"),
-            S.ordinal("Zone", zones).alias("zone_code"),
+            "zone_code",
         )
     )
 

@@ -235,7 +235,7 @@ def label_events_v2(spark, sf_dir):
     )
 
 
-def _horizon_sql() -> str:
+def horizon_sql() -> str:
     flags = {"dry_spell": "r5", "severe_break": "r7", "heavy_rain": "hv", "revival": "rv"}
     cols = []
     for window, (a, b) in HORIZONS.items():
@@ -254,7 +254,7 @@ def _horizon_sql() -> str:
 
 @query("label_horizons", LABEL_BASE + f"""
 select district, cast(dt as varchar) as day,
-  {_horizon_sql()}
+  {horizon_sql()}
 from b window w as (partition by district order by dt)
 """)
 def label_horizons(spark, sf_dir):
@@ -439,24 +439,29 @@ with {panel_sql()},
 dense as (select district, dt, sum(rain) over (w rows between 6 preceding and current row) as s7,
                  sum(rain) over (w rows between 29 preceding and current row) as s30
           from pw window w as (partition by district order by dt)),
+sg as (select *, sum(case when rain >= 2.5 then 1 else 0 end) over (partition by district order by dt) as g from ag),
 sp as (select district, dt, sum(rain) over (w rows between 6 preceding and current row) as s7,
-              sum(rain) over (w rows between 29 preceding and current row) as s30
-       from ag window w as (partition by district order by dt))
+              sum(rain) over (w rows between 29 preceding and current row) as s30,
+              case when rain >= 2.5 then 0 else row_number() over (partition by district, g order by dt)
+                - (case when g > 0 then 1 else 0 end) end as st
+       from sg window w as (partition by district order by dt))
 select cast(count(*) as bigint) as total_rows,
   cast(count(*) filter (abs(sp.s7 - dense.s7) > 0.01) as bigint) as sum7,
-  cast(count(*) filter (abs(sp.s30 - dense.s30) > 0.01) as bigint) as sum30
-from sp join dense using (district, dt)
+  cast(count(*) filter (abs(sp.s30 - dense.s30) > 0.01) as bigint) as sum30,
+  cast(count(*) filter (sp.st <> ps.streak) as bigint) as streak
+from sp join dense using (district, dt) join ps using (district, dt)
 """)
 def derived_feature_mismatches(spark, sf_dir):
     # row-based sums over the sparse rows against sums over the gap-free series
-    dense = W.trailing_rain(weather_panel(spark, sf_dir), (7, 30)).select(
-        "District", "Date", F.col("rain_sum_7").alias("d7"), F.col("rain_sum_30").alias("d30")
-    )
-    stored = W.trailing_rain(sparse_weather(spark, sf_dir), (7, 30))
-    both = stored.join(dense, ["District", "Date"])
-    return tidy(
-        Q.mismatch_counts(both, {"sum7": ("rain_sum_7", "d7"), "sum30": ("rain_sum_30", "d30")}, 0.01)
+    streak = "Dry_Spell_Days_Streak"
+    dense = W.trailing_rain(weather_with_streak(spark, sf_dir), (7, 30)).select(
+        "District", "Date", F.col("rain_sum_7").alias("d7"), F.col("rain_sum_30").alias("d30"),
+        F.col(streak).alias("dry"),
     )
+    sparse = W.with_dry_streak(sparse_weather(spark, sf_dir), TEST_RULES.dry_below)
+    both = W.trailing_rain(sparse, (7, 30)).join(dense, ["District", "Date"])
+    pairs = {"sum7": ("rain_sum_7", "d7"), "sum30": ("rain_sum_30", "d30"), "streak": (streak, "dry")}
+    return tidy(Q.mismatch_counts(both, pairs, 0.01))
 
 
 @query("physical_range_violations", """

@@ -4,75 +4,97 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.config import CORE_TARGETS, MONSOON_MONTHS
+from panelwright.config import CORE_TARGETS, FEATURE_SCHEMAS, MONSOON_MONTHS
 from panelwright.functions import scalars as S
+from panelwright.operators import heads as H
 from panelwright.operators import labels as L
 from panelwright.operators import metrics as M
+from panelwright.operators import panel as P
 from panelwright.operators import replay as R
-from panelwright.operators.staging import durable
 from panelwright.plans.catalog import query, tidy
+from panelwright.plans.head_queries import (
+    BASELINE_HEADS,
+    RATES_SQL,
+    baseline_rates,
+    missing_count_sql,
+    raw_sql,
+    vectors_sql,
+    with_vectors,
+)
 from panelwright.plans.panel_queries import V1_LABELS, big
+from panelwright.plans.released import RELEASED
 from panelwright.plans.score_queries import BIN_EDGES, METRIC_OUT, _edges, metric_columns, metrics_sql
-from panelwright.plans.tables import TEST_RULES, weather_with_streak
+from panelwright.plans.tables import TEST_RULES, between_days, weather_with_streak
 
 REPLAY_YEAR = 2000
+# The replayed year, the year before for trailing features, and the days after for outcomes.
+REPLAY_DAYS = (f"{REPLAY_YEAR - 1}-01-01", f"{REPLAY_YEAR + 1}-02-28")
 
 
-def labelled(spark, sf_dir):
-    """The labelled panel, staged: rates, inputs and outcomes are all read from it."""
-    panel = L.label_events_v1(weather_with_streak(spark, sf_dir), rules=TEST_RULES)
-    return durable(
-        panel.select("District", "Date", "Rainfall_Observed_mm", *CORE_TARGETS.values())
-    )
+def outcomes(spark, sf_dir):
+    """Labels and rain around the replayed year; only its lines are read."""
+    panel = weather_with_streak(spark, sf_dir, REPLAY_DAYS)
+    labelled = L.label_events_v1(panel, rules=TEST_RULES)
+    return labelled.select("District", "Date", "Rainfall_Observed_mm", *CORE_TARGETS.values())
+
+
+def year_days(spark):
+    return P.calendar(spark, f"{REPLAY_YEAR}-01-01", f"{REPLAY_YEAR}-12-31")
 
 
-def predictions(panel):
-    """Replay-year rows with the training rate of their district and month per head.
+def predictions(spark, sf_dir):
+    """Scores of the released heads on every day of the replayed year.
 
-    Only rows up to 1998 set the rates, and the label columns are dropped before
-    anything is predicted. Onset heads are doubled to reach the warning range.
+    The rows hold features as they were known on their day and no label. Core heads are
+    scored in all months; heads whose release prefers the baseline give the training rate of
+    district and month, else of all rows; outlooks are null out of season.
     """
-    train = panel.where(F.year("Date") <= 1998).withColumn("month", F.month("Date"))
-    wide = train.groupBy("District", "month").agg(
-        *[F.avg(F.col(c).cast("double")).alias(h) for h, c in CORE_TARGETS.items()]
-    )
-    factor = {"onset": 2.0, "false_onset": 2.0}
-    wide = wide.select(
-        "District", "month",
-        *[F.least(F.lit(1.0), F.col(h) * factor.get(h, 1.0)).alias(f"p_{h}") for h in CORE_TARGETS],
-    )
-    inputs = R.guarded_inputs(panel, REPLAY_YEAR, ["Rainfall_Observed_mm"]).select(
-        "District", "Date", F.month("Date").alias("month")
+    rows = with_vectors(
+        spark, sf_dir, weather_with_streak(spark, sf_dir, REPLAY_DAYS), year_days(spark)
     )
+    inputs = R.guarded_inputs(rows, REPLAY_YEAR, list(FEATURE_SCHEMAS["atmospheric"]))
+    rates = baseline_rates(spark, sf_dir)
+    overall = F.struct(*[F.avg(f"rate_{h.name}").alias(h.name) for h in BASELINE_HEADS])
+    scored = H.score_heads(inputs, list(RELEASED), all_months=True).withColumn("month", F.month("Date"))
+    both = scored.join(rates, ["District", "month"], "left").withColumn("_overall", rates.agg(overall).scalar())
+
+    def probability(head):
+        if head.status == H.BASELINE:
+            return F.coalesce(F.col(f"rate_{head.name}"), F.col(f"_overall.{head.name}"))
+        return F.col(f"p_{head.name}")
+
+    named = {h.name: probability(h) for h in RELEASED}
     season = F.col("month").isin(list(MONSOON_MONTHS))
-    return inputs.join(wide, ["District", "month"]).withColumns(
-        {
-            "outlook_dry_spell": F.when(season, F.col("p_dry_spell_5d") / 2),
-            "outlook_severe_break": F.when(season, F.col("p_severe_break_7d") / 2),
-        }
+    return both.select(
+        "District", "Date",
+        *[named[h].alias(f"p_{h}") for h in CORE_TARGETS],
+        *[F.when(season, p).alias(h) for h, p in named.items() if h.startswith("outlook_")],
     )
 
 
 def records(spark, sf_dir):
-    panel = labelled(spark, sf_dir)
-    return R.replay_records(predictions(panel), panel)
+    return R.replay_records(predictions(spark, sf_dir), outcomes(spark, sf_dir))
 
 
-def _rates_sql() -> str:
-    cols = []
-    for h in CORE_TARGETS:
-        twice = "2e0 * " if h in ("onset", "false_onset") else ""
-        cols.append(f"round(least(1e0, {twice}sum({h}) / cast(count(*) as double)), 4) as p_{h}")
-        cols.append(f"sum({h}) / cast(count(*) as double) as r_{h}")
-    return ",\n  ".join(cols)
+def _probability_sql(head) -> str:
+    if head.status == H.BASELINE:
+        return f"coalesce(rate_{head.name}, (select avg(rate_{head.name}) from rt))"
+    return f"(case when {missing_count_sql(head.schema)} = 0 then {raw_sql(head)} end)"
 
 
-REPLAY_SQL = V1_LABELS + f""",
-rt as (select district, m, {_rates_sql()} from lab where year(dt) <= 1998 group by 1, 2),
-rp as (select lab.*, rt.* exclude (district, m), case when lab.m between 6 and 10 then r_dry_spell_5d / 2 end as od,
-  case when lab.m between 6 and 10 then r_severe_break_7d / 2 end as os from lab join rt on rt.district = lab.district and rt.m = lab.m where year(dt) = {REPLAY_YEAR}),
+_NAMED = {h.name: h for h in RELEASED}
+YEAR_SQL = (
+    f"select cast(unnest(generate_series(date '{REPLAY_YEAR}-01-01', date '{REPLAY_YEAR}-12-31', interval 1 day)) as date) as dt"
+)
+REPLAY_SQL = vectors_sql(YEAR_SQL, between_days(V1_LABELS, REPLAY_DAYS)) + f""",
+rt as {RATES_SQL},
+rp as (select lab.*, {', '.join(f"round({_probability_sql(_NAMED[h])}, 4) as p_{h}" for h in CORE_TARGETS)},
+  case when lab.m between 6 and 10 then {_probability_sql(_NAMED['outlook_dry_spell'])} end as od,
+  case when lab.m between 6 and 10 then {_probability_sql(_NAMED['outlook_severe_break'])} end as os
+  from lab join fv on fv.district = lab.district and fv.dt = lab.dt left join rt on rt.district = lab.district and rt.m = lab.m),
 rr as (select *, case when strftime(dt, '%m%d') not between '0520' and '0807' then 'AGRI-WAIT-WINDOW-001'
   when od is null or os is null then 'AGRI-WAIT-APPLICABILITY-001'
+  when p_heavy_rain is null or p_onset is null or p_false_onset is null or p_dry_spell_5d is null then 'AGRI-WAIT-APPLICABILITY-002'
   when p_heavy_rain >= 0.5 then 'AGRI-DRAINAGE-001' when p_false_onset >= 0.4 then 'AGRI-WAIT-FALSE-ONSET-001' when p_onset < 0.6 then 'AGRI-WAIT-ONSET-001'
   when p_dry_spell_5d >= 0.7 or os >= 0.7 then 'AGRI-WAIT-DRY-SPELL-001' when p_dry_spell_5d >= 0.5 or od >= 0.5 or os >= 0.5 then 'AGRI-IRRIGATION-001'
   else 'AGRI-SOW-001' end as rule_id from rp)"""
@@ -106,7 +128,7 @@ def replay_metrics(spark, sf_dir):
 
 
 @query("replay_calibration", f"""
-{SCORES_SQL}, bn as (select event, y, p, {_edges(BIN_EDGES)} as bin from sc)
+{SCORES_SQL}, bn as (select event, y, p, {_edges(BIN_EDGES)} as bin from sc where p is not null)
 select event, bin, count(*) as count, cast(sum(y) as bigint) as events, cast(round(avg(p) * 1e5) as bigint) as mean_predicted from bn group by 1, 2
 """)
 def replay_calibration(spark, sf_dir):
@@ -138,8 +160,8 @@ def replay_cases(spark, sf_dir):
 {CASES_SQL} select case_id, cs.district, cast(lab.dt as varchar) as day, lab.rain from cs join lab on lab.district = cs.district and lab.dt > cs.dt and lab.dt <= cs.dt + 21
 """)
 def replay_case_timelines(spark, sf_dir):
-    panel = labelled(spark, sf_dir)
-    cases = R.select_cases(R.replay_records(predictions(panel), panel))
+    panel = outcomes(spark, sf_dir)
+    cases = R.select_cases(R.replay_records(predictions(spark, sf_dir), panel))
     lines = R.case_timeline(cases, panel)
     return tidy(
         lines.select("case_id", F.col("District").alias("district"), F.explode("timeline").alias("t"))

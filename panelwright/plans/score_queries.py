@@ -256,15 +256,20 @@ select event, district, month, case when fr is not null then 0 when gr3 is not n
  cast(round(coalesce(fr, gr3, orr) * 1e6) as bigint) as p, count(*) as n from ts where split = 'test' group by 1, 2, 3, 4, 5
 """)
 def district_month_rate_lookup(spark, sf_dir):
-    counts = durable(month_counts(spark, sf_dir))
-    rates = B.fallback_rates(counts.where("split = 'train'"), ["event"], "District")
-    labelled = split_labels(spark, sf_dir).where("split = 'test'")
-    rows = B.lookup_rates(
-        B.unpivot_labels(labelled, ["District", "month"], CORE_TARGETS), rates, ["event"], "District"
+    # one row per split, district, month and event, with all its panel rows
+    labelled = split_labels(spark, sf_dir)
+    counts = durable(
+        B.label_counts(labelled.withColumn("_all", F.lit(0)), ["split", "District", "month"], {**CORE_TARGETS, "all": "_all"})
     )
+    rates = B.fallback_rates(counts.where("split = 'train' and event <> 'all'"), ["event"], "District")
+    sizes = counts.where("split = 'test' and event = 'all'").select(
+        "District", "month", "n",
+        F.explode(F.array(*[F.lit(e) for e in CORE_TARGETS])).alias("event"),
+    )
+    rows = B.lookup_rates(sizes, rates, ["event"], "District")
     return tidy(
         rows.groupBy("event", F.col("District").alias("district"), "month", "rate_level", S.scaled("p", 6).alias("p"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
@@ -423,11 +428,13 @@ def variant_comparison(spark, sf_dir):
 
 @query("chosen_candidates", f"""
 {BASE_SQL}, {metrics_sql('sc', '0.5', 'event, split, baseline')}
-select event, split, arg_min(baseline, (brier, log_loss, baseline)) as baseline, cast(round(min(brier) * 1e6) as bigint) as brier from me where baseline <> 'district' group by 1, 2
+select event, split, arg_min(baseline, (round(brier, 9), round(log_loss, 9), baseline)) as baseline, cast(round(min(round(brier, 9)) * 1e6) as bigint) as brier from me group by 1, 2
 """)
 def chosen_candidates(spark, sf_dir):
-    # the plain district rates differ from the chain only where a month is new, so they tie
-    m = baseline_table(spark, sf_dir).where("baseline <> 'district'")
+    # equal rates give equal scores up to the order of their sums: nine places, then the name
+    m = baseline_table(spark, sf_dir).withColumns(
+        {"brier": F.round("brier", 9), "log_loss": F.round("log_loss", 9)}
+    )
     out = B.choose_candidate(m, ["event", "split"], "brier", "log_loss", "baseline")
     return tidy(out.select("event", "split", "baseline", S.scaled("brier", 6).alias("brier")))
 
@@ -457,11 +464,16 @@ def quantity_description(spark, sf_dir):
     )
 
 
-@query("feature_shift", """
+SHIFT_MARKS = {"p01": 0.01, "p05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "p95": 0.95, "p99": 0.99}
+
+
+@query("feature_shift", f"""
 with l as (select unnest(['l_quantity', 'l_linenumber', 'l_discount']) as feature, unnest([l_quantity, cast(l_linenumber as double), l_discount * 100]) as v, year(l_shipdate) <= 1999 as train from lineitem),
 c as (select feature, avg(v) as cur from l where not train group by 1)
 select feature, cast(round(any_value(cur) * 1e4) as bigint) as current, count(*) as n, cast(round(avg(v) * 1e4) as bigint) as mean,
- cast(round(quantile_cont(v, 0.5) * 100) as bigint) as q50, cast(round(avg((v <= cur)::int) * 1e6) as bigint) as share from l join c using (feature) where train group by 1
+ cast(round(stddev_samp(v) * 1e4) as bigint) as std, cast(round(min(v) * 1e4) as bigint) as min, cast(round(max(v) * 1e4) as bigint) as max,
+ {', '.join(f'cast(round(quantile_cont(v, {q}) * 100) as bigint) as {m}' for m, q in SHIFT_MARKS.items())},
+ cast(round(avg((v <= cur)::int) * 1e6) as bigint) as share from l join c using (feature) where train group by 1
 """)
 def feature_shift(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(
@@ -472,7 +484,8 @@ def feature_shift(spark, sf_dir):
     return tidy(
         out.select(
             "feature", S.scaled("current", 4).alias("current"), F.col("count").alias("n"), S.scaled("mean", 4).alias("mean"),
-            S.scaled("q50", 2).alias("q50"), S.scaled("train_share_at_or_below", 6).alias("share"),
+            *[S.scaled(c, 4).alias(c) for c in ("std", "min", "max")],
+            *[S.scaled(m, 2).alias(m) for m in SHIFT_MARKS], S.scaled("train_share_at_or_below", 6).alias("share"),
         )
     )
 
@@ -518,3 +531,31 @@ def leave_one_out_fit(spark, sf_dir):
             S.scaled("held_out_error", 4).alias("held_out_error"),
         )
     )
+
+
+@query("leave_one_out_two_predictors", f"""
+with {COVARIATE_SQL}, k as (select c.*, s_nationkey as z from cv c join supplier on s_suppkey = c.district),
+s as (select a.district, a.x, a.z, a.mean_rain as y0, a.heavy_share as y1, count(*) as n, sum(b.x) as sx, sum(b.z) as sz, sum(b.x * b.x) as sxx,
+  sum(b.x * b.z) as sxz, sum(b.z * b.z) as szz, sum(b.mean_rain) as s0, sum(b.x * b.mean_rain) as sx0, sum(b.z * b.mean_rain) as sz0,
+  sum(b.heavy_share) as s1, sum(b.x * b.heavy_share) as sx1, sum(b.z * b.heavy_share) as sz1
+  from k a join k b on a.district <> b.district group by 1, 2, 3, 4, 5),
+m as (select *, sxx - sx * sx / n as p, szz - sz * sz / n as q, sxz - sx * sz / n as r,
+  sx0 - sx * s0 / n as u0, sz0 - sz * s0 / n as v0, sx1 - sx * s1 / n as u1, sz1 - sz * s1 / n as v1 from s),
+f as (select *, (u0 * q - v0 * r) / (p * q - r * r) as a0, (v0 * p - u0 * r) / (p * q - r * r) as b0,
+  (u1 * q - v1 * r) / (p * q - r * r) as a1, (v1 * p - u1 * r) / (p * q - r * r) as b1 from m)
+select district, cast(round(((s0 - a0 * sx - b0 * sz) / n + a0 * x + b0 * z) * 1e4) as bigint) as fit_rain,
+  cast(round((y0 - (s0 - a0 * sx - b0 * sz) / n - a0 * x - b0 * z) * 1e4) as bigint) as error_rain,
+  cast(round(((s1 - a1 * sx - b1 * sz) / n + a1 * x + b1 * z) * 1e6) as bigint) as fit_heavy,
+  cast(round((y1 - (s1 - a1 * sx - b1 * sz) / n - a1 * x - b1 * z) * 1e6) as bigint) as error_heavy from f
+""")
+def leave_one_out_two_predictors(spark, sf_dir):
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("District"), "s_nationkey")
+    rows = covariates(spark, sf_dir).join(nation, "District")
+    out = B.leave_one_out_fits(rows, "District", ("s_acctbal", "s_nationkey"), ["mean_rain", "heavy_share"])
+    return tidy(
+        out.select(
+            F.col("District").alias("district"),
+            S.scaled("fit_mean_rain", 4).alias("fit_rain"), S.scaled("error_mean_rain", 4).alias("error_rain"),
+            S.scaled("fit_heavy_share", 6).alias("fit_heavy"), S.scaled("error_heavy_share", 6).alias("error_heavy"),
+        )
+    )

@@ -78,9 +78,15 @@ def sparse_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def weather_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per supplier and day, empty days dry and mild."""
-    first, last = calendar_ends(spark, sf_dir)
+def weather_panel(
+    spark: SparkSession, sf_dir: str, days: tuple[str, str] | None = None
+) -> DataFrame:
+    """One row per supplier and day, empty days dry and mild.
+
+    ``days`` (first, last) bounds the calendar, and with it the lines that are read.
+    """
+    first, last = map(F.lit, days) if days else calendar_ends(spark, sf_dir)
+    first, last = first.cast("date"), last.cast("date")
     dense = densify_daily(
         sparse_weather(spark, sf_dir),
         key="District",
@@ -109,8 +115,17 @@ def weather_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def weather_with_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_dry_streak(weather_panel(spark, sf_dir), TEST_RULES.dry_below)
+def weather_with_streak(
+    spark: SparkSession, sf_dir: str, days: tuple[str, str] | None = None
+) -> DataFrame:
+    return with_dry_streak(weather_panel(spark, sf_dir, days), TEST_RULES.dry_below)
+
+
+def between_days(sql: str, days: tuple[str, str]) -> str:
+    """SQL over a panel whose calendar is bounded by ``days`` instead of the lines."""
+    return sql.replace(
+        ENDS_SQL, f"(select date '{days[0]}' as first_day, date '{days[1]}' as last_day) ends"
+    )
 
 
 def panel_sql() -> str:

@@ -59,14 +59,16 @@ def read_table(spark: SparkSession, parquet: str, csv: str, schema: str) -> Data
 
 
 def read_registry(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Registry export with a title line and a header line: all columns as text.
+    """Registry export with title lines and a header line: all columns as text.
 
-    ``names`` are the header names. The header line is the one that repeats all of them;
-    the title line is the one without any separator. Every other line is a row, whatever
+    ``names`` are the header names. A row has as many fields as there are names, quoted
+    separators not counted; title lines have fewer, also when they hold separators. The
+    header line is the one that repeats all names. Every other line is a row, whatever
     columns it leaves empty.
     """
     fields = F.from_csv("value", ", ".join(f"`{n}` string" for n in names))
-    lines = spark.read.text(path).where(F.col("value").contains(","))
+    separators = F.length(F.regexp_replace("value", r'"[^"]*"|[^,"]', ""))
+    lines = spark.read.text(path).where(separators == len(names) - 1)
     header = F.lit(True)
     for name in names:
         header = header & F.coalesce(F.trim(F.col(f"r.`{name}`")) == name, F.lit(False))

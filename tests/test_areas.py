@@ -198,7 +198,7 @@ def test_safe_rows_dissolve_and_missing(sides):
     assert {(r["body_code"], r["village_count"]) for r in units.collect()} == {("g1", 3), ("g6", 1)}
     parts = R.dissolve_parts(safe, ["body_code"], "vill_name")
     assert sorted((r["body_code"], r["village_count"]) for r in parts.collect()) == [("g1", 3)] * 3 + [("g6", 1)]
-    got = {r["body_code"]: r["classification"] for r in R.missing_units(registry, units, polygons).collect()}
+    got = {r["body_code"]: r["classification"] for r in R.missing_units(registry, polygons, units).collect()}
     assert got == {
         "g2": "ADMINISTRATIVE_MISMATCH", "g3": "FULLY_EXCLUDED_MULTI_GP", "g4": "OTHER", "g5": "NO_SURVEY_GEOMETRY",
     }
