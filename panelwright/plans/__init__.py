@@ -7,7 +7,7 @@ from importlib import import_module
 MODULES = (
     "panel_queries", "asof_queries", "area_queries", "forecast_queries",
     "score_queries", "replay_queries", "learning_queries",
-    "source_queries", "head_queries",
+    "source_queries", "head_queries", "layer_queries",
 )
 
 

@@ -345,6 +345,15 @@ ly as (select c_custkey, c_name, c_acctbal, c_nationkey, rg.* from customer join
   where c_nationkey <> 0 and trim(c_name) <> '' and (r_name <> 'ASIA' or c_nationkey in (2, 12)))"""
 
 
+def risk_level_sql() -> str:
+    """Overall risk over the probability columns of a layer."""
+    order = "['UNAVAILABLE', 'LOW', 'MODERATE', 'HIGH', 'VERY_HIGH']"
+    edges = {"heavy_rain": (0.25, 0.5, 0.75), "severe_break_7d": (0.25, 0.5, 0.75),
+             "dry_spell_5d": (0.25, 0.5, 0.75), "false_onset": (0.2, 0.4, 0.65)}
+    ranks = [f"list_position({order}, {_class_sql(f'p_{h}', e)})" for h, e in edges.items()]
+    return f"{order}[greatest({', '.join(ranks)})]"
+
+
 @query("inherited_unit_forecasts", f"""
 with {LAYER_SQL}
 select c_custkey, r_name as district, cast(round(p_onset * 1e6) as bigint) as onset, cast(round(p_heavy_rain * 1e6) as bigint) as heavy,
