@@ -136,7 +136,7 @@ def test_observation_is_completed_but_not_invented(spark):
 def test_missing_feature_lists(spark):
     df = O.with_missing(O.complete_observation(observation(spark, MJO_Phase=None)), {"s": ("dtr_c", "mjo_phase_sin", "iod_dmi")})
     assert df.first()["missing_s"] == ["mjo_phase_sin"]
-    assert [len(v) for v in FEATURE_SCHEMAS.values()] == [26, 31, 40]
+    assert [len(v) for v in FEATURE_SCHEMAS.values()] == [26, 31, 38, 40]
 
 
 def head_rows(spark, month, atmospheric_missing):
