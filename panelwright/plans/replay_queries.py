@@ -11,6 +11,7 @@ from panelwright.operators import labels as L
 from panelwright.operators import metrics as M
 from panelwright.operators import panel as P
 from panelwright.operators import replay as R
+from panelwright.operators.staging import durable
 from panelwright.plans.catalog import query, tidy
 from panelwright.plans.head_queries import (
     BASELINE_HEADS,
@@ -53,7 +54,7 @@ def predictions(spark, sf_dir):
         spark, sf_dir, weather_with_streak(spark, sf_dir, REPLAY_DAYS), year_days(spark)
     )
     inputs = R.guarded_inputs(rows, REPLAY_YEAR, list(FEATURE_SCHEMAS["atmospheric"]))
-    rates = baseline_rates(spark, sf_dir)
+    rates = durable(baseline_rates(spark, sf_dir))  # a row per district and month, read twice
     overall = F.struct(*[F.avg(f"rate_{h.name}").alias(h.name) for h in BASELINE_HEADS])
     scored = H.score_heads(inputs, list(RELEASED), all_months=True).withColumn("month", F.month("Date"))
     both = scored.join(rates, ["District", "month"], "left").withColumn("_overall", rates.agg(overall).scalar())
