@@ -63,3 +63,22 @@ def test_only_needed_columns_are_read(spark):
 
 def test_asof_plan_joins_nothing(spark):
     assert "Join" not in physical(PLANS["asof_events_per_user"](spark, SMALL))
+
+
+@pytest.mark.parametrize("name,scans,exchanges", [
+    ("index_values_at_references", 4, 7), ("features_as_of", 9, 21), ("missing_units", 9, 20),
+    ("as_of_feature_vectors", 13, 27), ("feature_shift", 2, 3),
+])
+def test_scans_and_exchanges_without_broadcasts(spark, name, scans, exchanges):
+    """Plans as they are on tables too large to broadcast."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        plan = physical(PLANS[name](spark, SMALL))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert plan.count("FileScan parquet") <= scans
+    assert len(re.findall(r"(?<!Reused)Exchange (?:hash|Single|range)", plan)) <= exchanges
