@@ -23,7 +23,8 @@ class Kind:
     ``pattern`` finds the same leftmost matches as the plain form of the kind, but cannot
     run twice over the same characters: possessive runs never backtrack, and a look-behind
     starts them at their first character only (or where the last match ended). ``hint`` is
-    a string that every match holds; texts without it skip the pattern. With ``whole`` the
+    a string that every match holds (without one, ``likely`` is a pattern of it); texts
+    without it skip the pattern. With ``whole`` the
     pattern finds only places, and ``whole`` of its first group is the value there or null; so
     a failed or too long try at one place never hides a value that starts at the next.
     """
@@ -32,10 +33,11 @@ class Kind:
     pattern: str
     hint: str | None
     confirm: Callable[[Column], Column]
-    base_score: float
+    base_score: float | Callable[[Column], Column]
     context: str
     base: bool = True
     whole: Callable[[Column], Column] | None = None
+    likely: str = "[0-9]{2}|[0-9][ -][0-9]"
 
 
 def _digits(value: Column) -> Column:
@@ -112,6 +114,12 @@ def _account(window: Column) -> Column:
     return F.transform(F.transform(F.array(window), parts), longest)[0]
 
 
+def _account_score(code: Column) -> Column:
+    """A known length next to mod-97 decides alone; codes of unlisted countries need context."""
+    listed = [name for names in CODE_LENGTHS.values() for name in names.split()]
+    return F.when(F.substring(code, 1, 2).isin(listed), 0.6).otherwise(0.5)
+
+
 def _card(value: Column) -> Column:
     digits = _digits(value)
     return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(False)
@@ -125,6 +133,32 @@ def _address(value: Column) -> Column:
     return F.forall(F.split(value, r"\."), small)
 
 
+def _social(value: Column) -> Column:
+    """Number of three, two and four digits in the ranges that are given out."""
+    area, group, serial = (F.substring(value, a, n) for a, n in ((1, 3), (5, 2), (8, 4)))
+    return (
+        value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
+        & ~area.isin("000", "666") & (area < "900") & (group != "00") & (serial != "0000")
+    )
+
+
+# Published forms of access keys.
+ACCESS_KEY = "A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}"
+# A name that announces a secret, the sign between, and the secret.
+SECRET_NAME = (
+    "(?:[Pp]assword|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)"
+)
+SECRET_SIGN = r"[\"']?[\x20\t]*[:=][\x20\t]*[\"']?"
+SECRET_VALUE = "[A-Za-z0-9+/_.-]+={0,2}"
+SECRET_SIZE = 16
+
+
+def _secret(value: Column) -> Column:
+    """Whether the value of an assignment is long and mixes letters and digits."""
+    bare = F.regexp_extract(value, f"{SECRET_VALUE}$", 0)
+    return (F.length(bare) >= SECRET_SIZE) & bare.rlike("[0-9]") & bare.rlike("[A-Za-z]")
+
+
 KINDS = (
     Kind(
         "email",
@@ -133,7 +167,7 @@ KINDS = (
     ),
     Kind(
         "ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", _address, 0.6,
-        r"\bip\b|address|host|server",
+        r"(^|[^a-z0-9])ip([^a-z0-9]|$)|address|host|server",
     ),
     Kind(
         "card", r"[0-9](?:[\x20-]?[0-9])++", None, _card, 0.7, r"card|visa|credit|payment",
@@ -144,7 +178,19 @@ KINDS = (
     ),
     Kind(
         "iban", rf"(?<![A-Za-z0-9])(?=({_CODE}[A-Za-z0-9\x20]?))[A-Z]{{2}}[0-9]{{2}}", None,
-        lambda v: F.lit(True), 0.5, r"iban|account|bank|konto|compte|cuenta", base=False, whole=_account,
+        lambda v: F.lit(True), _account_score, r"iban|account|bank|konto|compte|cuenta", base=False, whole=_account,
+    ),
+    Kind(
+        "social", r"(?<![0-9])[0-9]++(?:-[0-9]++)++", "-", _social, 0.5, r"ssn|social", base=False,
+    ),
+    Kind(
+        "access_key", r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]++|gh[pousr]_[A-Za-z0-9]++)(?![A-Za-z0-9_])", None,
+        lambda v: v.rlike(f"^(?:{ACCESS_KEY})$"), 0.8, r"key|token|aws|github", base=False,
+        likely="A[KS]IA[A-Z0-9]{16}|gh[pousr]_",
+    ),
+    Kind(
+        "secret", rf"{SECRET_NAME}{SECRET_SIGN}{SECRET_VALUE}", None, _secret, 0.7,
+        r"key|login|credential|config", base=False, likely=rf"{SECRET_NAME}{SECRET_SIGN}[A-Za-z0-9+/_.-]",
     ),
 )
 
@@ -159,7 +205,7 @@ def _proposals(text: str, kind: Kind) -> Column:
         F.split(text, kind.pattern, -1).alias("pieces"),
         *[F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)).alias("windows")] * bool(kind.whole),
     )
-    likely = F.col(text).contains(kind.hint) if kind.hint else F.col(text).rlike("[0-9]{2}|[0-9][ -][0-9]")
+    likely = F.col(text).contains(kind.hint) if kind.hint else F.col(text).rlike(kind.likely)
     return F.when(likely, found)
 
 
@@ -178,6 +224,9 @@ def _spans(found: str, text: str, rank: int, kind: Kind) -> Column:
         lambda x: F.when(x["value"].isNotNull(), kind.confirm(x["value"])).otherwise(False),
     )
 
+    score = kind.base_score
+    alone = score if callable(score) else lambda value: F.lit(score)
+
     def scored(x):
         before = F.lower(
             F.substring(
@@ -191,7 +240,7 @@ def _spans(found: str, text: str, rank: int, kind: Kind) -> Column:
             F.lit(rank).alias("rank"),
             F.lit(kind.name).alias("kind"),
             (x["start"] + F.length(x["value"])).alias("end"),
-            (F.lit(kind.base_score) + F.when(before.rlike(kind.context), 0.2).otherwise(0.0)).alias(
+            (alone(x["value"]) + F.when(before.rlike(kind.context), 0.2).otherwise(0.0)).alias(
                 "score"
             ),
         )
@@ -214,8 +263,11 @@ def personal_data(
     give code-point offsets by running sums; ranges and checksums (Luhn, mod-97) confirm a
     match or drop it without another try, but account codes are tried at every place where
     one can start and at every end that the length of their country allows; a context word
-    within ``CONTEXT_CHARS`` characters before it raises its score by 0.2. Spans of base kinds stay whatever their score, others
-    need ``KEEP_SCORE``. Spans may overlap each other.
+    within ``CONTEXT_CHARS`` characters before it raises its score by 0.2. Spans of base
+    kinds stay whatever their score, others need ``KEEP_SCORE``: mod-97 with the length of a listed country
+    or the form of an access key reaches it alone, account codes of other countries and social
+    numbers need a context word. The span of a
+    secret is its whole assignment, name included. Spans may overlap each other.
 
     Result: the id column and ``spans``, an array of (start, rank, kind, end, score) sorted
     by start and then by the order of the kinds; ends are exclusive. A null or empty text
@@ -262,3 +314,10 @@ def span_text(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
     )
+
+
+def score_text(spans: Column) -> Column:
+    """Scores of the spans in hundredths, joined by commas."""
+    return F.array_join(
+        F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ","
+    )

@@ -13,7 +13,7 @@ from panelwright.llm.decontaminate import contamination
 from panelwright.llm.linespread import without_boilerplate
 from panelwright.llm.mixing import Mix, mixed_sample
 from panelwright.llm.neardup import near_duplicates
-from panelwright.llm.pii import KINDS, personal_data, span_text
+from panelwright.llm.pii import KINDS, personal_data, score_text, span_text
 from panelwright.llm.quality import quality_verdicts
 from panelwright.llm.repair import conversation_reports, repaired_conversations
 from panelwright.llm.shards import balanced_shards, text_size
@@ -133,6 +133,7 @@ def op10_personal_data(spark, sf_dir):
         ],
         F.sha2(span_text(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
+        score_text(F.col("spans")).alias("scores"),
     )
 
 

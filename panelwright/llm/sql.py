@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from panelwright.llm import pii
 from panelwright.llm import quality as Q
 
 _LISTS = " ".join(
@@ -99,20 +100,23 @@ from doc left join size using (doc_id) left join least using (doc_id)
 _FOUND = """
 select doc_id, '{kind}' as kind, {rank} as rank, m[i] as value,
     (list_sum(list_transform(p[1:i], lambda x: length(x)))
-     + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint as start_at
-from (select doc_id, m, p, unnest(range(1, len(m) + 1)) as i
-      from (select doc_id, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as p
+     + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint as start_at, t
+from (select doc_id, t, m, p, unnest(range(1, len(m) + 1)) as i
+      from (select doc_id, t, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as p
             from doc))
 """
-# The plain patterns of the base kinds.
+# The plain patterns of the base kinds. The kinds after them are the added ones.
 _PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "iban": r"[A-Z]{2}[0-9]{2}",
+    "social": r"[0-9]+(?:-[0-9]+)+",
+    "access_key": r"(?:A[KS]IA[A-Z0-9]+|gh[pousr]_[A-Za-z0-9]+)",
+    "secret": pii.SECRET_NAME + pii.SECRET_SIGN.replace("'", "\'\'") + pii.SECRET_VALUE,
 }
-_VALID = """case kind
+_VALID = f"""case kind
     when 'email' then true
     when 'ip' then len(list_filter(string_split(value, '.'),
         lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as int), 0) > 255)) = 0
@@ -120,6 +124,12 @@ _VALID = """case kind
         range(1, length(digits) + 1), lambda i: case when i % 2 = 1 then digits[-i]::int
             else digits[-i]::int * 2 - case when digits[-i]::int > 4 then 9 else 0 end end)) % 10 = 0
     when 'phone' then length(digits) between 9 and 15
+    when 'social' then regexp_full_match(value, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') and value[1:3] not in ('000', '666')
+        and value[1:3] < '900' and value[5:6] <> '00' and value[8:11] <> '0000'
+    when 'access_key' then regexp_full_match(value, '{pii.ACCESS_KEY}')
+        and not regexp_matches(substr(t, start_at, 1), '[A-Za-z0-9_]')
+        and not regexp_matches(substr(t, start_at + length(value) + 1, 1), '[A-Za-z0-9_]')
+    when 'secret' then length(bare) >= {pii.SECRET_SIZE} and regexp_matches(bare, '[0-9]') and regexp_matches(bare, '[A-Za-z]')
     else false end"""
 
 
@@ -130,19 +140,59 @@ def _digest(condition: str) -> str:
     )
 
 
-# The added kind has a checksum and a score; no account code occurs in the test tables, and
-# the comparison would show one that does.
+_BASE = ", ".join(f"'{k.name}'" for k in pii.KINDS if k.base)
+_LISTED = [name for names in pii.CODE_LENGTHS.values() for name in names.split()]
+_ALONE = {k.name: k.base_score for k in pii.KINDS} | {"iban": 0.6}
+_SCORE = (
+    f"case when kind = 'iban' and not list_contains({_LISTED}, value[1:2]) then -10 else 0 end + case kind " + " ".join(
+        f"when '{k.name}' then {round(100 * _ALONE[k.name])} + case when regexp_matches(nearby, '{k.context}') then 20 else 0 end"
+        for k in pii.KINDS
+    ) + " end"
+)
+_LENGTH = "case substr(run, 1, 2) " + " ".join(
+    f"when '{name}' then {n}" for n, names in pii.CODE_LENGTHS.items() for name in names.split()
+) + " end"
+
+# An account code starts at a place without a letter or digit before it; each end of the run
+# of code characters is tried.
 PERSONAL_DATA = (
-    "with doc as (select doc_id, coalesce(text, '') as t from documents),\nproposed as ("
+    "with doc as (select doc_id, coalesce(text, '') as t from documents),\nproposed as materialized ("
     + " union all ".join(
         _FOUND.format(kind=kind, rank=rank, pattern=pattern)
         for rank, (kind, pattern) in enumerate(_PLAIN.items())
     )
     + f"""),
-found as (select * from (select *, regexp_replace(value, '[^0-9]', '', 'g') as digits from proposed) where {_VALID})
+place as (
+    select doc_id, rank, start_at, t, substr(t, start_at + 1, 66) as win,
+        regexp_extract(substr(t, start_at + 1, 66), '^[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}') as run
+    from proposed where kind = 'iban' and not regexp_matches(substr(t, start_at, 1), '[A-Za-z0-9]')),
+ending as (
+    select *, substr(run, 1, e) as value, replace(substr(run, 1, e), ' ', '') as code
+    from (select *, unnest(range(15, length(run) + 1))::int as e from place)),
+account as (
+    select doc_id, rank, start_at, any_value(t) as t, arg_max(value, e) as value
+    from ending
+    where substr(run, e, 1) <> ' ' and not regexp_matches(substr(win, e + 1, 1), '[A-Za-z0-9]')
+        and length(code) = coalesce({_LENGTH}, length(code)) and length(code) between 15 and 34
+        and list_reduce(list_prepend(0, list_transform(
+            string_split(substr(code, 5) || substr(code, 1, 4), ''),
+            lambda c: case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end)),
+            lambda s, c: (s * case when c < 10 then 10 else 100 end + c) % 97) = 1
+    group by 1, 2, 3),
+valid as (
+    select * exclude (digits, bare) from (
+        select *, regexp_replace(value, '[^0-9]', '', 'g') as digits,
+            regexp_extract(value, '{pii.SECRET_VALUE}$') as bare from proposed) where {_VALID}
+    union all select doc_id, 'iban', rank, value, start_at, t from account),
+scored as (
+    select *, {_SCORE} as score from (
+        select *, lower(substr(t, greatest(start_at - {pii.CONTEXT_CHARS}, 0) + 1, least(start_at, {pii.CONTEXT_CHARS}))) as nearby
+        from valid)),
+found as (select * from scored where kind in ({_BASE}) or score >= {round(100 * pii.KEEP_SCORE)})
 select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip,
     count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
-    sha256({_digest("kind <> 'iban'")}) as base_sha256, {_digest('kind is not null')} as spans
+    sha256({_digest(f"kind in ({_BASE})")}) as base_sha256, {_digest('kind is not null')} as spans,
+    coalesce(string_agg(score::varchar, ',' order by start_at, rank), '') as scores
 from doc left join found using (doc_id) group by doc_id
 """
 )
