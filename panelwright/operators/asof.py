@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.config import GRID_DELAY, PANEL, WEEKLY_RELEASE_DELAY, PanelColumns
 from panelwright.functions import scalars as S
+from panelwright.operators.staging import durable
 from panelwright.operators.windows import lag_features
 
 
@@ -22,6 +23,7 @@ def asof_join(
     cols: list[str],
     block: str = "day",
     tie: list[str] | None = None,
+    cuts: DataFrame | None = None,
 ) -> DataFrame:
     """Left rows with ``cols`` of the latest right row of the same key at or before them.
 
@@ -32,6 +34,10 @@ def asof_join(
     equal key and time are resolved to the greatest ``tie`` columns (default: ``cols``).
     A null key or a null time matches nothing: such left rows get nulls and take no part in
     the shuffle, such right rows are left out.
+
+    With ``cuts`` of :func:`row_cuts` blocks hold equal numbers of rows instead: only keys
+    with many rows are cut, every block gets its carry-in from the right side alone, and the
+    left side is read once. ``block`` is ignored then.
     """
     known = F.lit(True)
     for column in by:
@@ -47,8 +53,33 @@ def asof_join(
         right.where(F.col(right_ts).isNotNull())
         .groupBy(*by, F.col(right_ts).alias("_at"))
         .agg(F.max_by(value, rank).alias("_value"))
-        .withColumn("_block", F.date_trunc(block, "_at"))
     )
+    if cuts is None:
+        carry, inside, queries = _time_blocks(left, latest, left_ts, by, block)
+    else:
+        carry, inside, queries = _row_blocks(left, latest, left_ts, by, cuts)
+    running = (
+        Window.partitionBy(*by, "_block")
+        .orderBy("_at", "_side")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    merged = (
+        carry.withColumn("_at", F.col("_at").cast(latest.schema["_at"].dataType))
+        .unionByName(inside)
+        .unionByName(queries, allowMissingColumns=True)
+        .withColumn("_found", F.last("_value", ignorenulls=True).over(running))
+        .where("_side = 2")
+    )
+    found = merged.select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in cols])
+    types = {f.name: f.dataType for f in right.schema.fields}
+    return found.unionByName(
+        unmatched.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in cols])
+    )
+
+
+def _time_blocks(left, latest, left_ts, by, block):
+    """Carry-ins, right rows and left rows in blocks of equal time."""
+    latest = latest.withColumn("_block", F.date_trunc(block, "_at"))
     lefts = left.withColumns(
         {"_at": F.col(left_ts), "_block": F.date_trunc(block, F.col(left_ts))}
     )
@@ -70,23 +101,97 @@ def asof_join(
     queries = lefts.withColumn("_row", F.struct(*left.columns)).select(
         *by, "_block", "_at", F.lit(2).alias("_side"), "_row"
     )
-    running = (
-        Window.partitionBy(*by, "_block")
-        .orderBy("_at", "_side")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    return carry, inside, queries
+
+
+MOST_BLOCKS = 8_192
+
+
+def row_cuts(
+    left: DataFrame, right: DataFrame, *, left_ts: str, right_ts: str, by: list[str],
+    blocks: int | None = None,
+) -> DataFrame:
+    """Times that cut the keys with more than a ``blocks``-th of all rows into equal pieces.
+
+    One row per such key: the key columns and ``_cuts``, ascending times as microseconds; a
+    time that holds several pieces' worth of rows is repeated. There are fewer than ``blocks``
+    keys and than ``2 * blocks`` cuts (default: eight per shuffle partition, ``MOST_BLOCKS`` at
+    most), whatever the data, so the table may be broadcast. Only keys and times are read:
+    counts per key, then quantiles of the keys that need them. The result is staged.
+    """
+    if blocks is None:
+        blocks = 8 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(2, min(blocks, MOST_BLOCKS))
+    rows = left.select(*by, F.col(left_ts).cast("timestamp").alias("_at")).unionByName(
+        right.select(*by, F.col(right_ts).cast("timestamp").alias("_at"))
+    ).dropna()
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    hot = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * blocks > total)
+    grid = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    pieces = F.ceil(F.col("_n") * blocks / total).cast("int")
+    cut = rows.join(F.broadcast(hot), by).groupBy(*by).agg(
+        F.percentile_approx(F.unix_micros("_at"), grid, F.lit(20 * blocks)).alias("_grid"),
+        F.first("_n").alias("_n"),
+    ).withColumn("_pieces", pieces).where("_pieces > 1")
+    return durable(
+        cut.select(
+            *by,
+            F.transform(
+                F.sequence(F.lit(1), F.col("_pieces") - 1),
+                lambda i: F.get("_grid", F.floor(i * blocks / F.col("_pieces")).cast("int") - 1),
+            ).alias("_cuts"),
+        )
     )
-    merged = (
-        carry.withColumn("_at", F.col("_at").cast(latest.schema["_at"].dataType))
-        .unionByName(inside)
-        .unionByName(queries, allowMissingColumns=True)
-        .withColumn("_found", F.last("_value", ignorenulls=True).over(running))
-        .where("_side = 2")
+
+
+def _below(cuts: Column, at: Column, equal: bool = False) -> Column:
+    """Number of ascending cuts before a time (or at it), by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(MOST_BLOCKS.bit_length() - 1, -1, -1)])
+
+    def step(found, width):
+        value = F.get(cuts, found + width - 1)
+        passed = value <= at if equal else value < at
+        return F.when(F.coalesce(passed, F.lit(False)), found + width).otherwise(found)
+
+    return F.when(cuts.isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), step))
+
+
+def _row_blocks(left, latest, left_ts, by, cuts):
+    """Carry-ins, right rows and left rows in blocks of equal row counts.
+
+    A right row stands in the block of the cuts before its time. A left row whose time equals
+    cuts may stand in any block that these bound; a hash of the row chooses one, so that a
+    time with very many rows spreads (whole-row copies stay together).
+    """
+    cuts = F.broadcast(cuts)
+    at = F.unix_micros(F.col("_at").cast("timestamp"))
+    inside = latest.join(cuts, by, "left").select(
+        *by, _below(F.col("_cuts"), at).alias("_block"), "_at", "_value", F.lit(1).alias("_side")
     )
-    found = merged.select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in cols])
-    types = {f.name: f.dataType for f in right.schema.fields}
-    return found.unionByName(
-        unmatched.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in cols])
+    lefts = left.select(*by, F.col(left_ts).alias("_at"), F.struct(*left.columns).alias("_row"))
+    first, last = _below(F.col("_cuts"), at), _below(F.col("_cuts"), at, equal=True)
+    queries = (
+        lefts.join(cuts, by, "left")
+        .withColumns({"_first": first, "_last": last})
+        .select(
+            *by,
+            (F.col("_first") + F.pmod(F.xxhash64("_row"), F.col("_last") - F.col("_first") + 1))
+            .cast("int").alias("_block"),
+            "_at", F.lit(2).alias("_side"), "_row",
+        )
+    )
+    every = cuts.select(*by, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_block"))
+    newest = latest.join(cuts, by).groupBy(*by, _below(F.col("_cuts"), at).alias("_block")).agg(
+        F.max_by("_value", "_at").alias("_value")
+    )
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        every.join(newest, [*by, "_block"], "left")
+        .withColumn("_value", F.last("_value", ignorenulls=True).over(earlier))
+        .where("_value is not null")
+        .select(*by, "_block", F.lit(None).alias("_at"), "_value", F.lit(0).alias("_side"))
     )
+    return carry, inside, queries
 
 
 @dataclass(frozen=True)

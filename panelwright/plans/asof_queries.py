@@ -202,6 +202,26 @@ def asof_events_per_user(spark, sf_dir):
     return tidy(joined.select("event_id", "user_id", "last_id", "last_type"))
 
 
+@query("asof_events_per_kind", """
+with l as (select event_id, event_type, ts from events where value is not null),
+r as (select event_type, ts, max(event_id) as last_id from events where user_id % 3 = 0 group by 1, 2)
+select l.event_id, l.event_type, r.last_id from l asof left join r on l.event_type = r.event_type and r.ts <= l.ts
+""")
+def asof_events_per_kind(spark, sf_dir):
+    """A handful of keys own all rows: blocks of equal row counts."""
+    events = table(spark, sf_dir, "events")
+    left = events.where(F.col("value").isNotNull()).select("event_id", "event_type", "ts")
+    right = events.where(F.col("user_id") % 3 == 0).select(
+        "event_type", F.col("ts").alias("at"), F.col("event_id").alias("last_id")
+    )
+    cuts = A.row_cuts(left, right, left_ts="ts", right_ts="at", by=["event_type"])
+    return tidy(
+        A.asof_join(
+            left, right, left_ts="ts", right_ts="at", by=["event_type"], cols=["last_id"], cuts=cuts
+        ).select("event_id", "event_type", "last_id")
+    )
+
+
 @query("asof_customer_orders", """
 with l as (select l_orderkey, l_linenumber, o_custkey, o_orderkey, l_shipdate from lineitem join orders on l_orderkey = o_orderkey),
 r as (select o_custkey, o_orderdate, max(o_orderkey) as k from orders group by 1, 2)

@@ -38,6 +38,38 @@ def test_asof_join_equals_brute_force_with_a_hot_key(spark, block):
         assert got[i] == (max(known)[1] if known else None)
 
 
+def test_row_blocks_equal_brute_force_and_are_even(spark):
+    rng = random.Random(4)
+    # key 0 holds a third of all rows in one hour, many of them in one minute; null keys and times
+    def row(i):
+        if rng.random() < 0.35:
+            return 0, when(rng.choice([10, rng.randrange(60)]))
+        return rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, None]), rng.choice([None, when(rng.randrange(9000))])
+
+    left = [(i, *row(i)) for i in range(4000)]
+    right = [(*row(i), i) for i in range(1500)]
+    ldf = spark.createDataFrame(left, "id int, k int, ts timestamp")
+    rdf = spark.createDataFrame(right, "k int, at timestamp, v int")
+    args = dict(left_ts="ts", right_ts="at", by=["k"])
+    cuts = A.row_cuts(ldf, rdf, **args, blocks=32)
+    known = {}
+    for k, at, v in right:
+        if k is not None and at is not None:
+            known.setdefault(k, []).append((at, v))
+    for table in (cuts, cuts.limit(0)):
+        got = {r.id: r.v for r in A.asof_join(ldf, rdf, **args, cols=["v"], cuts=table).collect()}
+        assert len(got) == len(left)
+        for i, k, ts in left:
+            before = [x for x in known.get(k, []) if ts is not None and x[0] <= ts]
+            assert got[i] == (max(before)[1] if before else None)
+    spread = A._row_blocks(
+        ldf.dropna(), rdf.dropna().select("k", F.col("at").alias("_at"), F.struct("v").alias("_value")),
+        "ts", ["k"], cuts)
+    sizes = [r["count"] for r in spread[2].where("k = 0").groupBy("_block").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 2 * 5500 / 32
+    assert cuts.count() <= 32 and A.row_cuts(ldf.limit(0), rdf.limit(0), **args).count() == 0
+
+
 def test_duplicate_left_rows_are_kept(spark):
     left = spark.createDataFrame([(1, dt.date(2024, 1, 5))] * 3, "k int, d date")
     right = spark.createDataFrame([(1, dt.date(2024, 1, 1), "x")], "k int, at date, v string")
