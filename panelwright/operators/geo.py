@@ -296,6 +296,186 @@ def with_geometry(df: DataFrame, rings: str) -> DataFrame:
     return df.where(F.size(F.flatten(F.col(rings))) > 0)
 
 
+# --- validity of whole features ---------------------------------------------------------
+
+def _probes(seg: DataFrame, id_col: str) -> DataFrame:
+    """Corners and edge midpoints of every ring, numbered by edge.
+
+    Rings that do not cross or overlap lie on one side of each other as soon as one of these
+    points does: an edge with both ends on another ring has its midpoint off it.
+    """
+    middle = [((F.col(f"p{v}") + F.col(f"q{v}")) / 2).alias(v) for v in "xy"]
+    corner = seg.select(id_col, "ring", "edge", F.lit(0).alias("half"), F.col("px").alias("x"), F.col("py").alias("y"))
+    return corner.unionByName(seg.select(id_col, "ring", "edge", F.lit(1).alias("half"), *middle))
+
+
+def ring_sides(df: DataFrame, id_col: str, rings: str, wanted) -> tuple[DataFrame, DataFrame]:
+    """How rings of one feature lie to each other, and the points in which they touch.
+
+    ``wanted(a, b)`` says which pairs of ring numbers count. First table: ``a``, ``b`` and
+    how many of a's probes lie strictly ``inside`` b or ``on`` it, of all its ``probes``; pairs
+    without a probe in or on b are left out. Second table: ``a``, ``b`` and a corner of a that
+    lies on b. A probe meets the edges of its horizontal band only; a feature has as many
+    bands as the root of its number of edges, and each (feature, band) is a group of its own,
+    so a feature with very many edges spreads over tasks.
+    """
+    seg = segments(df, id_col, rings)
+    frame = seg.groupBy(id_col).agg(
+        F.min(F.least("py", "qy")).alias("y0"),
+        (F.max(F.greatest("py", "qy")) - F.min(F.least("py", "qy"))).alias("wy"),
+        F.ceil(F.sqrt(F.count(F.lit(1)))).cast("int").alias("bands"),
+    )
+
+    def band(y: Column) -> Column:
+        place = F.floor((y - F.col("y0")) / F.col("wy") * F.col("bands")).cast("int")
+        return F.when(F.col("wy") > 0, place).otherwise(0)
+
+    edges = seg.join(frame, id_col).select(
+        id_col, F.col("ring").alias("b"), "px", "py", "qx", "qy",
+        F.explode(F.sequence(band(F.least("py", "qy")), band(F.greatest("py", "qy")))).alias("band"),
+    )
+    probes = _probes(seg, id_col).join(frame, id_col).select(
+        id_col, F.col("ring").alias("a"), "edge", "half", "x", "y", band(F.col("y")).alias("band")
+    )
+    c = F.col
+    turn = (c("qx") - c("px")) * (c("y") - c("py")) - (c("qy") - c("py")) * (c("x") - c("px"))
+    on = (
+        (turn == 0)
+        & c("x").between(F.least("px", "qx"), F.greatest("px", "qx"))
+        & c("y").between(F.least("py", "qy"), F.greatest("py", "qy"))
+    )
+    # a ray to the right crosses the edge: the probe lies left of it
+    passed = ((c("py") > c("y")) != (c("qy") > c("y"))) & ((turn > 0) == (c("qy") > c("py")))
+    met = probes.join(edges, [id_col, "band"]).where(wanted(c("a"), c("b"))).groupBy(
+        id_col, "a", "b", "edge", "half", "x", "y"
+    ).agg(
+        F.max(on).alias("on"), (F.sum(passed.cast("int")) % 2 == 1).alias("odd")
+    )
+    counts = seg.groupBy(id_col, F.col("ring").alias("a")).agg((F.count(F.lit(1)) * 2).alias("probes"))
+    sides = met.groupBy(id_col, "a", "b").agg(
+        F.count_if(c("odd") & ~c("on")).alias("inside"), F.count_if("on").alias("on")
+    ).where("inside + `on` > 0").join(counts, [id_col, "a"])
+    touches = met.where("`on` and half = 0").select(id_col, "a", "b", "x", "y").distinct()
+    return sides, touches
+
+
+def has_cycle(links: Column) -> Column:
+    """Whether an undirected graph, an array of ``struct<u, v>`` without repeats, has a cycle.
+
+    Links are added one by one to sets of connected nodes; a link inside one set closes a
+    cycle.
+    """
+    start = F.struct(
+        F.array().cast("array<array<string>>").alias("sets"), F.lit(False).alias("cycle")
+    )
+
+    def add(state, link):
+        def meets(nodes):
+            return F.array_contains(nodes, link["u"]) | F.array_contains(nodes, link["v"])
+
+        joined = F.flatten(F.filter(state["sets"], meets))
+        closed = F.exists(
+            state["sets"], lambda n: F.array_contains(n, link["u"]) & F.array_contains(n, link["v"])
+        )
+        merged = F.array_union(joined, F.array(link["u"], link["v"]))
+        return F.struct(
+            F.concat(F.filter(state["sets"], lambda n: ~meets(n)), F.array(merged)).alias("sets"),
+            (state["cycle"] | closed).alias("cycle"),
+        )
+
+    return F.aggregate(links, start, add)["cycle"]
+
+
+def multipolygon_problems(df: DataFrame, id_col: str, parts: str) -> DataFrame:
+    """First problem of each feature of one or more polygons, its parts judged together.
+
+    ``parts`` is an array of polygons, each an array of rings (outline first). In order:
+    ``null_geometry``, ``empty_geometry`` (no points, or a polygon without an outline),
+    ``open_ring``, ``zero_area`` (a flat ring), ``self_intersection`` (edges that cross or
+    overlap, of any rings), ``hole_outside``, ``nested_holes``, ``overlapping_parts`` (a part in
+    the interior of another one; inside a hole it is an island and right), and
+    ``interior_disconnected`` (rings of a part that touch in a closed chain cut its interior).
+    Touches in single points are right. Features without a problem are left out. A null id
+    is judged like any other as long as it is one feature. The touches of one polygon are
+    gathered in one row, which is never longer than the polygon itself.
+    """
+    ring_list = F.flatten(F.col(parts))
+    base = df.select(
+        F.col(id_col).alias("_id"), F.col(parts).alias("_parts"), ring_list.alias("_rings"),
+        F.flatten(F.transform(parts, lambda part, i: F.transform(part, lambda ring: i))).alias("_part"),
+        F.flatten(F.transform(parts, lambda part: F.transform(part, lambda ring, i: i > 0))).alias("_hole"),
+    )
+    broken = (
+        F.when(F.col("_parts").isNull(), "null_geometry")
+        .when(
+            F.coalesce(F.size(F.flatten("_rings")) == 0, F.lit(True))
+            | F.exists("_parts", lambda part: F.coalesce(F.size(F.get(part, F.lit(0))) <= 0, F.lit(True))),
+            "empty_geometry",
+        )
+        .when(is_open(F.col("_rings")), "open_ring")
+        .when(F.exists("_rings", is_flat), "zero_area")
+    )
+    base = base.withColumn("_broken", broken)
+    # numbers stand for features from here on, so ids may be null
+    sound = base.where("_broken is null").withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("")))
+    crossed = edge_conflicts(sound, "_key", "_rings").select("_key").distinct().withColumn("_crossed", F.lit(True))
+
+    kinds = sound.select("_key", F.posexplode(F.arrays_zip("_part", "_hole")).alias("ring", "k")).select(
+        "_key", "ring", F.col("k._part").alias("part"), F.col("k._hole").alias("hole")
+    )
+    sides, touches = ring_sides(sound, "_key", "_rings", lambda a, b: a != b)
+
+    def named(table: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            table = table.join(
+                kinds.select("_key", F.col("ring").alias(side), F.col("part").alias(f"{side}_part"),
+                             F.col("hole").alias(f"{side}_hole")),
+                ["_key", side],
+            )
+        return table
+
+    known = named(sides)
+    same = F.col("a_part") == F.col("b_part")
+    per_ring = known.groupBy("_key", "a", "a_hole", "b_part").agg(
+        F.max(same).alias("same"),
+        F.max(same & F.col("a_hole") & ~F.col("b_hole") & (F.col("inside") + F.col("on") == F.col("probes"))).alias("held"),
+        F.max(same & F.col("a_hole") & F.col("b_hole") & (F.col("inside") > 0)).alias("nested"),
+        F.max(~same & ~F.col("a_hole") & ~F.col("b_hole") & (F.col("inside") > 0)).alias("within"),
+        F.max(~same & ~F.col("a_hole") & F.col("b_hole") & (F.col("inside") > 0)).alias("island"),
+    )
+    verdicts = per_ring.groupBy("_key").agg(
+        F.count_if("held").alias("_held"), F.max("nested").alias("_nested"),
+        F.max(F.col("within") & ~F.col("island")).alias("_overlap"),
+    )
+    meets = named(touches).where("a_part = b_part")
+    point = F.concat_ws(" ", "x", "y")
+    chains = meets.select(
+        "_key", "a_part", F.explode(F.array(
+            F.struct(F.concat(F.lit("ring "), "a").alias("u"), point.alias("v")),
+            F.struct(F.concat(F.lit("ring "), "b").alias("u"), point.alias("v")),
+        )).alias("link")
+    ).groupBy("_key", "a_part").agg(F.collect_set("link").alias("links")).where(
+        has_cycle(F.col("links"))
+    ).select("_key").distinct().withColumn("_cut", F.lit(True))
+    holes = F.size(F.filter("_hole", lambda h: h))
+    no = F.lit(False)
+    judged = (
+        sound.join(crossed, "_key", "left").join(verdicts, "_key", "left").join(chains, "_key", "left")
+        .withColumn(
+            "problem",
+            F.when(F.coalesce("_crossed", no), "self_intersection")
+            .when(F.coalesce("_held", F.lit(0)) < holes, "hole_outside")
+            .when(F.coalesce("_nested", no), "nested_holes")
+            .when(F.coalesce("_overlap", no), "overlapping_parts")
+            .when(F.coalesce("_cut", no), "interior_disconnected"),
+        )
+        .where("problem is not null")
+    )
+    return judged.select(F.col("_id").alias(id_col), "problem").unionByName(
+        base.where("_broken is not null").select(F.col("_id").alias(id_col), F.col("_broken").alias("problem"))
+    )
+
+
 # --- units of several parts -----------------------------------------------------------
 
 def moments(rings: Column) -> Column:

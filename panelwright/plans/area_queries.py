@@ -300,6 +300,55 @@ def polygon_defects(spark, sf_dir):
     return tidy(G.geometry_problems(defect_shapes(spark, sf_dir), "p_partkey", "geom_type", "rings"))
 
 
+# features of several polygons by part number: corners in eighths, and the problem to find
+_SQUARE = [(0, 0), (8, 0), (8, 8), (0, 8)]
+
+
+def _moved(points, x, y):
+    return [(a + x, b + y) for a, b in points]
+
+
+_SMALL = [(0, 0), (2, 0), (2, 2), (0, 2)]
+_DIAMOND = [(0, 1), (2, 2), (4, 1), (2, 0)]
+MULTI_SHAPES = [
+    ([[_SQUARE, _moved(_SMALL, 1, 1)], [_moved(_SMALL, 20, 3)]], None),
+    ([[_SQUARE, [(1, 1), (7, 1), (7, 7), (1, 7)], _moved(_SMALL, 3, 3)]], "nested_holes"),
+    ([[_SQUARE], [_moved(_SMALL, 2, 2)]], "overlapping_parts"),
+    ([[_SQUARE, [(1, 1), (7, 1), (7, 7), (1, 7)]], [_moved(_SMALL, 3, 3)]], None),
+    ([[_SQUARE], [_moved(_SQUARE, 4, 4)]], "self_intersection"),
+    ([[_SQUARE, _moved(_SMALL, 10, 3)]], "hole_outside"),
+    ([[_SQUARE, [(0, 4), (4, 6), (8, 4), (4, 2)]]], "interior_disconnected"),
+    ([[_SQUARE], [_moved(_SQUARE, 8, 8)]], None),
+    ([[_SQUARE, _moved(_DIAMOND, 0, 3)]], None),
+    ([[_SQUARE, _moved(_DIAMOND, 0, 3), _moved(_DIAMOND, 4, 3)]], "interior_disconnected"),
+    ([[_SQUARE, [(0, 4), (4, 8), (8, 4), (4, 0)]], [[(2, 4), (4, 6), (6, 4), (4, 2)]]], "interior_disconnected"),
+    ([[_SQUARE, [(2, 2), (6, 2), (6, 6), (2, 6)], [(2, 4), (4, 6), (6, 4), (4, 2)]]], "nested_holes"),
+    ([[_moved(_SMALL, 3, 3)], [_SQUARE]], "overlapping_parts"),
+    ([[_SQUARE], [_SQUARE]], "self_intersection"),
+]
+
+
+def multi_shapes(spark, sf_dir):
+    x = (F.col("p_partkey") % 512).cast("double")
+
+    def ring(points):
+        return F.array(*[F.struct((x + a / 8).alias("x"), F.lit(b / 8).alias("y")) for a, b in [*points, points[0]]])
+
+    shapes = [F.array(*[F.array(*[ring(r) for r in part]) for part in parts]) for parts, _ in MULTI_SHAPES]
+    chosen = F.coalesce(*[
+        F.when(F.col("p_partkey") % len(shapes) == i, shape) for i, shape in enumerate(shapes)
+    ])
+    return table(spark, sf_dir, "part").select("p_partkey", chosen.alias("parts"))
+
+
+@query("multipolygon_defects", f"""
+select p_partkey, problem from (select p_partkey, case p_partkey % {len(MULTI_SHAPES)} {' '.join(
+    f"when {i} then '{d}'" for i, (_, d) in enumerate(MULTI_SHAPES) if d)} end as problem from part) where problem is not null
+""")
+def multipolygon_defects(spark, sf_dir):
+    return tidy(G.multipolygon_problems(multi_shapes(spark, sf_dir), "p_partkey", "parts"))
+
+
 @query("polygons_outside_region", "select p_partkey from part where p_size = 8")
 def polygons_outside_region(spark, sf_dir):
     return tidy(G.outside_region(part_shapes(spark, sf_dir), "p_partkey", "rings"))
