@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from panelwright.operators.staging import staged
 
 # Bounding box (min lon, min lat, max lon, max lat) of the region.
 REGION_BOX = (85.5, 21.5, 90.0, 27.5)
@@ -171,13 +172,18 @@ def is_flat(ring: Column) -> Column:
 
 
 def edge_conflicts(df: DataFrame, id_col: str, rings: str) -> DataFrame:
+    """Conflicts of the edges of every feature, see :func:`segment_conflicts`."""
+    return segment_conflicts(segments(df, id_col, rings), id_col)
+
+
+def segment_conflicts(seg: DataFrame, id_col: str) -> DataFrame:
     """Pairs of edges of one feature that make its outline invalid.
 
     Within a ring: edges that cross, overlap or touch, except that consecutive edges share
     their common point. Between rings: edges that cross or overlap; a touch in one point is
     allowed. Edges meet only in the grid cells they both pass.
     """
-    placed = _cells(segments(df, id_col, rings), id_col)
+    placed = _cells(seg, id_col)
     ends = ("ring", "edges", "edge", "px", "py", "qx", "qy")
     cell = [id_col, "cx", "cy"]
     a = placed.select(*cell, *[F.col(c).alias(f"a_{c}") for c in ends])
@@ -309,17 +315,15 @@ def _probes(seg: DataFrame, id_col: str) -> DataFrame:
     return corner.unionByName(seg.select(id_col, "ring", "edge", F.lit(1).alias("half"), *middle))
 
 
-def ring_sides(df: DataFrame, id_col: str, rings: str, wanted) -> tuple[DataFrame, DataFrame]:
+def ring_sides(seg: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """How rings of one feature lie to each other, and the points in which they touch.
 
-    ``wanted(a, b)`` says which pairs of ring numbers count. First table: ``a``, ``b`` and
-    how many of a's probes lie strictly ``inside`` b or ``on`` it, of all its ``probes``; pairs
+    ``seg`` are the edges of :func:`segments`. First table: ``a``, ``b`` and how many of a's probes lie strictly ``inside`` b or ``on`` it, of all its ``probes``; pairs
     without a probe in or on b are left out. Second table: ``a``, ``b`` and a corner of a that
     lies on b. A probe meets the edges of its horizontal band only; a feature has as many
     bands as the root of its number of edges, and each (feature, band) is a group of its own,
     so a feature with very many edges spreads over tasks.
     """
-    seg = segments(df, id_col, rings)
     frame = seg.groupBy(id_col).agg(
         F.min(F.least("py", "qy")).alias("y0"),
         (F.max(F.greatest("py", "qy")) - F.min(F.least("py", "qy"))).alias("wy"),
@@ -346,7 +350,7 @@ def ring_sides(df: DataFrame, id_col: str, rings: str, wanted) -> tuple[DataFram
     )
     # a ray to the right crosses the edge: the probe lies left of it
     passed = ((c("py") > c("y")) != (c("qy") > c("y"))) & ((turn > 0) == (c("qy") > c("py")))
-    met = probes.join(edges, [id_col, "band"]).where(wanted(c("a"), c("b"))).groupBy(
+    met = probes.join(edges, [id_col, "band"]).where("a != b").groupBy(
         id_col, "a", "b", "edge", "half", "x", "y"
     ).agg(
         F.max(on).alias("on"), (F.sum(passed.cast("int")) % 2 == 1).alias("odd")
@@ -396,7 +400,7 @@ def multipolygon_problems(df: DataFrame, id_col: str, parts: str) -> DataFrame:
     the interior of another one; inside a hole it is an island and right), and
     ``interior_disconnected`` (rings of a part that touch in a closed chain cut its interior).
     Touches in single points are right. Features without a problem are left out. A null id
-    is judged like any other as long as it is one feature. The touches of one polygon are
+    is judged like any other as long as it is one feature. The edges are staged. The touches of one polygon are
     gathered in one row, which is never longer than the polygon itself.
     """
     ring_list = F.flatten(F.col(parts))
@@ -416,23 +420,18 @@ def multipolygon_problems(df: DataFrame, id_col: str, parts: str) -> DataFrame:
         .when(F.exists("_rings", is_flat), "zero_area")
     )
     base = base.withColumn("_broken", broken)
-    # numbers stand for features from here on, so ids may be null
-    sound = base.where("_broken is null").withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("")))
-    crossed = edge_conflicts(sound, "_key", "_rings").select("_key").distinct().withColumn("_crossed", F.lit(True))
-
-    kinds = sound.select("_key", F.posexplode(F.arrays_zip("_part", "_hole")).alias("ring", "k")).select(
-        "_key", "ring", F.col("k._part").alias("part"), F.col("k._hole").alias("hole")
+    sound = base.where("_broken is null").withColumn(
+        "_key", F.coalesce(F.col("_id").cast("string"), F.lit(""))
     )
-    sides, touches = ring_sides(sound, "_key", "_rings", lambda a, b: a != b)
+    seg = staged(segments(sound, "_key", "_rings"), "segments")
+    crossed = segment_conflicts(seg, "_key").select("_key").distinct().withColumn("_crossed", F.lit(True))
+    sides, touches = ring_sides(seg, "_key")
+    rings_of = sound.select("_key", "_part", "_hole")
 
     def named(table: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            table = table.join(
-                kinds.select("_key", F.col("ring").alias(side), F.col("part").alias(f"{side}_part"),
-                             F.col("hole").alias(f"{side}_hole")),
-                ["_key", side],
-            )
-        return table
+        return table.join(rings_of, "_key").withColumns(
+            {f"{side}{kind}": F.get(kind, F.col(side)) for side in "ab" for kind in ("_part", "_hole")}
+        )
 
     known = named(sides)
     same = F.col("a_part") == F.col("b_part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
@@ -330,15 +332,20 @@ MULTI_SHAPES = [
 
 def multi_shapes(spark, sf_dir):
     x = (F.col("p_partkey") % 512).cast("double")
-
-    def ring(points):
-        return F.array(*[F.struct((x + a / 8).alias("x"), F.lit(b / 8).alias("y")) for a, b in [*points, points[0]]])
-
-    shapes = [F.array(*[F.array(*[ring(r) for r in part]) for part in parts]) for parts, _ in MULTI_SHAPES]
-    chosen = F.coalesce(*[
-        F.when(F.col("p_partkey") % len(shapes) == i, shape) for i, shape in enumerate(shapes)
-    ])
-    return table(spark, sf_dir, "part").select("p_partkey", chosen.alias("parts"))
+    texts = [
+        json.dumps([[[[a / 8, b / 8] for a, b in [*ring, ring[0]]] for ring in part] for part in parts])
+        for parts, _ in MULTI_SHAPES
+    ]
+    chosen = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % len(texts)).cast("int"))
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", x.alias("x"), F.from_json(chosen, "array<array<array<array<double>>>>").alias("shape")
+    )
+    return rows.select(
+        "p_partkey",
+        F.transform("shape", lambda part: F.transform(part, lambda ring: F.transform(
+            ring, lambda p: F.struct((p[0] + F.col("x")).alias("x"), p[1].alias("y"))
+        ))).alias("parts"),
+    )
 
 
 @query("multipolygon_defects", f"""
