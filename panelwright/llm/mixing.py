@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -55,7 +57,8 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
     Starts from the observed shares and scales one margin after the other until none is off
     by more than ``TOLERANCE``. Targets of classes without tokens cannot be met; they are
     left out and the rest of that margin is scaled to 1. If empty cells make the margins
-    contradict each other, the last round stands (its last margin is exact).
+    contradict each other, the last round stands (its last margin is exact), and a warning
+    tells how far the worst margin is off.
     """
     total = tokens.sum()
     if total <= 0:
@@ -81,6 +84,8 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
                 raise ValueError("the targets exclude every cell that has tokens")
         if worst <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"raking stopped after {MAX_ROUNDS} rounds, a margin is off by {worst:.2g}", stacklevel=2)
     return shares
 
 

@@ -27,6 +27,39 @@ def test_raked_margins_are_the_targets():
     assert np.isclose(ratio, after)
 
 
+def tilted(grid, goals):
+    """The table of given margins nearest to ``grid``: one factor per class, by Newton steps on the
+    logarithms of all factors at once, without scaling margins in turn."""
+    design = [np.stack([np.indices(grid.shape)[a].ravel() == i for i in range(n)]) for a, n in enumerate(grid.shape)]
+    design, goal = np.concatenate(design).astype(float), np.concatenate(goals)
+    start, logs = (grid / grid.sum()).ravel(), np.zeros(len(goal))
+
+    def loss(logs):
+        return (start * np.exp(design.T @ logs)).sum() - goal @ logs
+
+    for _ in range(200):
+        table = start * np.exp(design.T @ logs)
+        step = np.linalg.lstsq((design * table) @ design.T, goal - design @ table, rcond=1e-10)[0]
+        size = 1.0
+        while loss(logs + size * step) > loss(logs) + 1e-15 and size > 1e-6:
+            size /= 2
+        logs = logs + size * step
+    return (start * np.exp(design.T @ logs)).reshape(grid.shape)
+
+
+def test_raking_equals_an_independent_solution():
+    rng = np.random.default_rng(7)
+    for shape in [(3, 2, 2), (4, 3, 2), (2, 5, 4)]:
+        grid = rng.integers(0, 500, shape).astype(float) + rng.integers(1, 3, shape)
+        goals = [rng.dirichlet(np.full(n, 3.0)) for n in shape]
+        assert np.allclose(rake(grid, goals), tilted(grid, goals), atol=1e-7)
+
+
+def test_contradicting_margins_warn():
+    with pytest.warns(UserWarning, match="margin is off"):
+        rake(np.array([[[1.0], [0.0]], [[0.0], [1.0]]]), [np.array([0.8, 0.2]), np.array([0.2, 0.8]), np.array([1.0])])
+
+
 def test_absent_classes_are_left_out():
     grid = np.array([[[10.0]], [[0.0]], [[30.0]]])
     shares = rake(grid, [np.array([0.5, 0.25, 0.25]), np.array([1.0]), np.array([1.0])])
