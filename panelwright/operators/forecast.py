@@ -271,11 +271,13 @@ def nest_outlook(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def horizon_trend(long: DataFrame, keys: list[str]) -> DataFrame:
-    """Three rows per key (one per horizon) and one percentage column per event."""
-    return (
-        long.groupBy(*keys, "horizon")
-        .pivot("event", list(HORIZON_MONTHS))
-        .agg(F.max(F.round(F.col("probability") * 100.0, 2)))
+    """Three rows per key (one per horizon) and one percentage column per event.
+
+    One aggregate of three rows per key; a pivot would first hold a row per key and event.
+    """
+    percent = F.round(F.col("probability") * 100.0, 2)
+    return long.groupBy(*keys, "horizon").agg(
+        *[F.max(F.when(F.col("event") == e, percent)).alias(e) for e in HORIZON_MONTHS]
     )
 
 

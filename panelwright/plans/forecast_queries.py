@@ -213,8 +213,14 @@ def head_results(spark, sf_dir):
 
 
 def outlook_rows(spark, sf_dir):
-    """Long outlook: horizon and event per forecast; short groups miss one horizon."""
-    fc = month_forecasts(spark, sf_dir)
+    """Long outlook: horizon and event per forecast; short groups miss one horizon.
+
+    A forecast grows into twelve rows that later aggregates hold in memory. A fixed partition
+    number keeps the adaptive planner from merging partitions by the size of the forecasts;
+    it is by district (a row per month each), as Spark drops a second shuffle by both keys.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fc = month_forecasts(spark, sf_dir).repartition(partitions, "District")
     source = {"dry_spell": "p_dry_spell_5d", "severe_break": "p_severe_break_7d",
               "heavy_rain": "p_heavy_rain", "revival": "p_revival"}
     cells = []

@@ -19,3 +19,14 @@ def physical(df) -> str:
 )
 def test_edges_are_never_broadcast(spark, name):
     assert "Broadcast" not in physical(PLANS[name](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["horizon_trend", "outlook_nesting"])
+def test_forecasts_are_spread_before_they_grow(spark, name):
+    plan = physical(PLANS[name](spark, SMALL))
+    assert plan.index("Generate explode") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_trend_rows_are_aggregated_once(spark):
+    plan = physical(PLANS["horizon_trend"](spark, SMALL))
+    assert plan[: plan.index("Generate explode")].count("HashAggregate") == 2  # partial and final
