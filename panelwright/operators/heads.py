@@ -42,11 +42,13 @@ class Head:
     status: str = MODEL
 
     def missing(self) -> Column:
-        """Whether a feature of the head is absent or not finite."""
-        out = F.lit(False)
-        for feature in self.features:
-            out = out | ~S.finite(feature)
-        return out
+        """Whether a feature of the head is absent or not finite.
+
+        A function over an array: written out, the tests of all heads make one compiled
+        method so long that the JVM leaves it interpreted.
+        """
+        values = F.array(*[F.col(feature).cast("double") for feature in self.features])
+        return F.exists(values, lambda value: ~S.finite(value))
 
     def in_season(self, ts: str) -> Column:
         return S.in_months(ts, self.months)

@@ -24,14 +24,15 @@ def guarded_inputs(panel: DataFrame, year: int, features: list[str], cols: Panel
 
 
 def replay_records(
-    predictions: DataFrame, outcomes: DataFrame, *, crop: str = "aman_rice",
+    predictions: DataFrame, outcomes: DataFrame | None = None, *, crop: str = "aman_rice",
     cols: PanelColumns = PANEL,
 ) -> DataFrame:
     """Advisory per prediction, then the outcome labels, joined only at the end.
 
     ``predictions``: key, date, ``p_<head>``, ``outlook_dry_spell``,
     ``outlook_severe_break``; an unknown probability stays null. ``outcomes``: key, date
-    and the core label columns.
+    and the core label columns. Without that table the labels stand in a column ``outcome``
+    of the predictions, a struct that neither scores nor advisories read; it is opened last.
     """
     rounded = {
         f"p_{h}": F.round(S.clip(f"p_{h}", 0.0, 1.0), 4)
@@ -40,6 +41,9 @@ def replay_records(
     advised = crop_advisory(
         predictions.withColumns(rounded).withColumn("crop", F.lit(crop)), date=cols.ts
     )
+    if outcomes is None:
+        opened = {f"y_{h}": F.col(f"outcome.{c}").cast("int") for h, c in CORE_TARGETS.items()}
+        return advised.withColumns(opened).drop("outcome")
     labels = outcomes.select(
         cols.key, cols.ts,
         *[F.col(c).cast("int").alias(f"y_{h}") for h, c in CORE_TARGETS.items()],

@@ -71,7 +71,11 @@ def national_values(spark, sf_dir, dates):
 
 
 def with_vectors(spark, sf_dir, panel, dates):
-    """Panel rows of the given dates with the full feature vector of every schema."""
+    """Panel rows of the given dates with the full feature vector of every schema.
+
+    Zone codes and national values are broadcast: a row per zone and per date of the
+    calendar, whatever the size of the panel, whose rows stay where their series is.
+    """
     rows = P.derive_features(W.trailing_rain(panel)).drop(
         "MJO_Phase", "mjo_phase_sin", "mjo_phase_cos"
     )
@@ -86,10 +90,9 @@ def with_vectors(spark, sf_dir, panel, dates):
             "District_Encoded": key - 1,
         }
     )
-    coded = local.join(
-        zone_codes(spark, sf_dir).withColumnRenamed("zone_code", "Zone_Encoded"), "Zone"
-    )
-    return coded.join(national_values(spark, sf_dir, dates), "Date")
+    codes = zone_codes(spark, sf_dir).withColumnRenamed("zone_code", "Zone_Encoded")
+    coded = local.join(F.broadcast(codes), "Zone")
+    return coded.join(F.broadcast(national_values(spark, sf_dir, dates)), "Date")
 
 
 VECTOR_SQL = f"""
@@ -176,7 +179,7 @@ def as_of_feature_vectors(spark, sf_dir):
 def labelled_rows(spark, sf_dir):
     """Strictly future core and outlook labels of the whole panel, one row per day."""
     panel = weather_with_streak(spark, sf_dir)
-    return L.label_horizons(L.label_events_v2(panel, rules=TEST_RULES), rules=TEST_RULES)
+    return L.label_events_and_horizons(panel, rules=TEST_RULES)
 
 
 BASELINE_HEADS = tuple(h for h in RELEASED if h.status == H.BASELINE)
@@ -214,6 +217,22 @@ def baseline_rates(spark, sf_dir):
     )
 
 
+def with_rates(rows, rates):
+    """Panel rows with the rates of their district and month.
+
+    The rates stand in one row per district, a map of at most twelve months, so they meet
+    the panel by district alone, as it is partitioned, and its rows are not shuffled.
+    """
+    names = [f"rate_{h.name}" for h in BASELINE_HEADS]
+    per_district = rates.groupBy("District").agg(
+        F.map_from_entries(F.collect_list(F.struct("month", F.struct(*names)))).alias("_rates")
+    )
+    found = F.try_element_at("_rates", F.col("month"))
+    return rows.join(per_district, "District", "left").withColumns(
+        {name: found[name] for name in names}
+    ).drop("_rates")
+
+
 def _sql_name(head: str) -> str:
     """The SQL column of a head's label in ``lv``."""
     return head if head in CORE_TARGETS else f"{head.removeprefix('outlook_')}_7_14d"
@@ -269,8 +288,9 @@ def released_head_results(spark, sf_dir):
     folder = new_folder(spark)
     H.write_heads(spark, folder, list(RELEASED))
     heads, _ = H.read_heads(spark, folder)
-    rows = month_end_vectors(spark, sf_dir).withColumn("month", F.month("Date")).join(
-        baseline_rates(spark, sf_dir), ["District", "month"], "left"
+    rows = with_rates(
+        month_end_vectors(spark, sf_dir).withColumn("month", F.month("Date")),
+        baseline_rates(spark, sf_dir),
     )
     long = H.stacked_results(
         H.score_heads(rows, heads), ["District", "Date"], heads,

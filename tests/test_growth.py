@@ -30,3 +30,17 @@ def test_forecasts_are_spread_before_they_grow(spark, name):
 def test_trend_rows_are_aggregated_once(spark):
     plan = physical(PLANS["horizon_trend"](spark, SMALL))
     assert plan[: plan.index("Generate explode")].count("HashAggregate") == 2  # partial and final
+
+
+@pytest.mark.parametrize("name", ["replay_records", "replay_metrics", "released_head_results"])
+def test_panel_rows_with_features_are_not_shuffled(spark, name):
+    """Zones and dates are few and meet the panel by broadcast, rates by district."""
+    plan = physical(PLANS[name](spark, SMALL))
+    joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
+    assert not [j for j in joins if "[Zone#" in j or "[Date#" in j or "month#" in j or "Date#" in j]
+
+
+def test_features_are_tested_by_one_array_function(spark):
+    """Written out, the tests of forty features a head make methods the JVM does not compile."""
+    plan = physical(PLANS["replay_records"](spark, SMALL))
+    assert plan.count("exists(array(") >= 3 and plan.lower().count("isnan(") < 40
