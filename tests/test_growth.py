@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from conftest import SMALL
 
-from panelwright.plans import all_queries
+from panelwright.plans import all_queries, score_queries
 
 PLANS, _ = all_queries()
 
@@ -44,3 +46,18 @@ def test_features_are_tested_by_one_array_function(spark):
     """Written out, the tests of forty features a head make methods the JVM does not compile."""
     plan = physical(PLANS["replay_records"](spark, SMALL))
     assert plan.count("exists(array(") >= 3 and plan.lower().count("isnan(") < 40
+
+
+@pytest.mark.parametrize("name", ["climatology_rates", "label_events_v2"])
+def test_labels_pass_few_windows(spark, name):
+    """One pass for the gaps, six for the labels, two where the dry streak is a column."""
+    plan = physical(PLANS[name](spark, SMALL))
+    windows = [line for line in plan.split("\n") if "+- Window [" in line]
+    assert len(windows) <= (9 if name == "label_events_v2" else 7)
+
+
+def test_held_out_rows_are_counted_before_they_are_stacked(spark):
+    """And they meet the few rows per event by broadcast, not gathered by event."""
+    plan = physical(score_queries.baseline_counts(spark, SMALL))
+    assert "HashAggregate" in plan[plan.index("Generate explode"):]
+    assert not re.search(r"SortMergeJoin \[event#\d+\],", plan)

@@ -131,6 +131,23 @@ def test_state_baseline_edges(spark):
     assert got == [0.0, 0.0, 1.0]
 
 
+def test_snapped_states_keep_every_bucket(spark):
+    train = spark.createDataFrame(
+        [(float(v), a, b) for v, a, b in [(0, 1, None), (1, 0, 1), (2, None, 0), (3, 1, 1), (4, 0, 0), (5, None, 1)]],
+        "rain7 double, a int, b int",
+    )
+    rates = B.state_rates(B.label_counts(train, ["rain7"], {"a": "a", "b": "b"}), ["event"], "rain7")
+    values = [None, float("nan"), -1.0, 9.0, *[v / 4 for v in range(24)]]
+    asked = spark.createDataFrame([(v, e) for v in values for e in "ab"], "v double, event string")
+    asked = asked.withColumn("rain7", F.col("v"))
+    snapped = B.snapped_states(asked, rates, "rain7")
+    plain, moved = (
+        sorted(map(repr, B.state_baseline(df, rates, ["event"], "rain7").select("event", "v", "p").collect()))
+        for df in (asked, snapped)
+    )
+    assert plain == moved and snapped.select("rain7").distinct().count() <= 5
+
+
 def test_positive_weight_is_clamped(spark):
     df = spark.createDataFrame([(1, 100), (0, 9), (10, 5)], "p int, n int")
     assert [r["w"] for r in df.select(B.positive_weight("p", "n").alias("w")).collect()] == [25.0, 9.0, 1.0]
