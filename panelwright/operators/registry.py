@@ -301,16 +301,16 @@ def missing_units(registry: DataFrame, polygons: DataFrame, derived: DataFrame |
         F.max(F.coalesce(F.col("_rows") > 1, F.lit(False))).alias("shared"),
         F.max("present").alias("present"), F.max("safe").alias("safe"),
         F.min("body_name").alias("body_name"),
-        *[F.collect_set(F.nullif(F.col(c), F.lit(""))).alias(c) for c in ("block_code", *names)],
+        F.collect_set(F.struct("block_code", *names)).alias("_places"),
     )
 
     def joined(column: str) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(column)))), "; ")
+        values = F.transform("_all", lambda p: F.nullif(p[column], F.lit("")))
+        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(values))), "; ")
 
+    places = F.flatten(F.collect_set("_places"))
     units = members.groupBy("body_code").agg(
-        F.min("body_name").alias("body_name"),
-        joined("dist_code").alias("dist_codes"), joined("dist_name").alias("dist_names"),
-        joined("block_code").alias("block_codes"), joined("block_name").alias("block_names"),
+        F.min("body_name").alias("body_name"), places.alias("_all"),
         F.count(F.lit(1)).alias("num_villages"),
         F.count_if("present").alias("num_in_survey"),
         F.count_if("shared").alias("num_shared"),
@@ -319,6 +319,12 @@ def missing_units(registry: DataFrame, polygons: DataFrame, derived: DataFrame |
             "num_block_mismatch"
         ),
     )
+    # one set of places, not one per column: a group is cheap to open and the order is kept
+    lists = ("dist_code", "dist_name", "block_code", "block_name")
+    units = units.select(
+        "body_code", "body_name", *[joined(c).alias(f"{c}s") for c in lists],
+        *[c for c in units.columns if c.startswith("num_")],
+    )
     if derived is None:
         lost = units.where("num_safe = 0")
     else:

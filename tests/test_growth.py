@@ -7,6 +7,7 @@ import re
 import pytest
 from conftest import SMALL
 
+from panelwright.functions import scalars as S
 from panelwright.plans import all_queries, score_queries
 
 PLANS, _ = all_queries()
@@ -61,3 +62,22 @@ def test_held_out_rows_are_counted_before_they_are_stacked(spark):
     plan = physical(score_queries.baseline_counts(spark, SMALL))
     assert "HashAggregate" in plan[plan.index("Generate explode"):]
     assert not re.search(r"SortMergeJoin \[event#\d+\],", plan)
+
+
+def test_missing_units_open_one_set_per_group(spark):
+    plan = physical(PLANS["missing_units"](spark, SMALL))
+    assert 0 < plan.count("collect_set(") - plan.count("partial_collect_set(") <= 2
+
+
+def test_unused_attributes_of_safe_rows_are_not_carried(spark):
+    plan = physical(PLANS["dissolved_parts"](spark, SMALL))
+    assert "any_value(" in plan or "first(" in plan
+    assert "body_name#" not in plan and "block_name#" not in plan
+
+
+def test_codes_are_cleaned_as_before(spark):
+    texts = ["", " ", "NaN", "none", " NONE ", "nones", "1.0", "1.00", "1.0.0", ".0", "1.0\n", "10", "a.0b", "x.05", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(S.clean_code("t")).collect()
+    assert [r[0] for r in got] == [
+        None, None, None, None, None, "nones", "1", "1.00", "1.0", "", "1\n", "10", "a.0b", "x.05", None,
+    ]
