@@ -184,26 +184,25 @@ def align_on_alternate(polygons: DataFrame, registry: DataFrame) -> DataFrame:
 
 def safe_rows(polygons: DataFrame, registry: DataFrame) -> DataFrame:
     """Polygon rows whose village is registered exactly once and in the same block,
-    with the registry's hierarchy attributes."""
+    with the registry's hierarchy attributes.
+
+    A village of one row has one value of each attribute, so every attribute is picked on
+    its own and those that nobody asks for are neither shuffled nor sorted.
+    """
+    attributes = {
+        "reg_dist_code": "dist_code", "reg_dist_name": "dist_name",
+        "reg_dist_census_code": "dist_census_code", "reg_block_code": "block_code",
+        "reg_block_name": "block_name", "body_code": "body_code", "body_name": "body_name",
+    }
     once = (
         registry.where(F.col("vill_code").isNotNull())
         .groupBy("vill_code")
         .agg(
             F.count(F.lit(1)).alias("_rows"),
-            F.any_value(
-                F.struct(
-                    F.col("dist_code").alias("reg_dist_code"),
-                    F.col("dist_name").alias("reg_dist_name"),
-                    F.col("dist_census_code").alias("reg_dist_census_code"),
-                    F.col("block_code").alias("reg_block_code"),
-                    F.col("block_name").alias("reg_block_name"),
-                    "body_code",
-                    "body_name",
-                )
-            ).alias("_reg"),
+            *[F.any_value(c).alias(name) for name, c in attributes.items()],
         )
         .where(F.col("_rows") == 1)
-        .select("vill_code", "_reg.*")
+        .drop("_rows")
     )
     return polygons.join(once, "vill_code").where(
         F.col("block_code") == F.col("reg_block_code")
