@@ -14,7 +14,7 @@ from panelwright.functions import scalars as S
 from panelwright.operators import quality as Q
 from panelwright.operators.metrics import row_positions
 from panelwright.operators.replay import replay_order
-from panelwright.operators.staging import shared_folder
+from panelwright.operators.staging import shared_folder, staged
 from panelwright.plans.catalog import query, tidy
 from panelwright.plans.panel_queries import big
 from panelwright.plans.tables import sparse_weather, table, zones
@@ -33,8 +33,16 @@ ZONE_IDS = {"AFRICA": "af", "AMERICA": "am", "ASIA": "as", "EUROPE": "eu", "MIDD
 
 
 def _zone_rows(spark, sf_dir):
-    """Rainy days in the columns of a zone file; wet regions carry one more column."""
-    rows = sparse_weather(spark, sf_dir).join(zones(spark, sf_dir), "District")
+    """Rainy days with the zone of their district.
+
+    Days stream past the few districts of their partition, so no task sorts or holds them.
+    """
+    districts = zones(spark, sf_dir).select("District", "Zone").hint("shuffle_hash")
+    return sparse_weather(spark, sf_dir).drop("_rows").join(districts, "District")
+
+
+def _zone_file(rows):
+    """Rainy days in the columns of a zone file."""
     values = {
         "Date": _field("Date"), "Zone": _field("Zone"), "District": F.col("District").cast("string"),
         "Latitude": F.lit(22.5), "Longitude": F.lit(88.25),
@@ -57,16 +65,19 @@ select case r_name when 'AFRICA' then 'af' when 'AMERICA' then 'am' when 'ASIA'
 from ag join z on s_suppkey = district
 """)
 def zone_files_read_back(spark, sf_dir):
-    """Zone CSV files, one with a last column of its own, as one panel."""
+    """Zone CSV files, one with a last column of its own, as one panel.
+
+    The rainy days are aggregated once and staged; each zone is a filter of them, so that no
+    writer sorts its rows by zone and a zone without rows has its file, too.
+    """
     folder = new_folder(spark)
-    rows = _zone_rows(spark, sf_dir).withColumn("file", F.col("Zone"))
-    rows.where("Zone <> 'ASIA'").write.partitionBy("file").option("header", True).csv(f"{folder}/plain")
-    rows.where("Zone = 'ASIA'").drop("file").withColumn(
-        "Drought_Stress_Index", F.col("Rainfall_Observed_mm") * 2
-    ).write.option("header", True).csv(f"{folder}/own")
-    files = {
-        ZONE_IDS[z]: f"{folder}/own" if z == "ASIA" else f"{folder}/plain/file={z}" for z in ZONE_IDS
-    }
+    rows = staged(_zone_rows(spark, sf_dir), "zone-rows")
+    files = {ZONE_IDS[z]: f"{folder}/{ZONE_IDS[z]}" for z in ZONE_IDS}
+    for zone, name in ZONE_IDS.items():
+        days = _zone_file(rows.where(F.col("Zone") == zone))
+        if zone == "ASIA":  # wet regions carry one more column
+            days = days.withColumn("Drought_Stress_Index", F.col("Rainfall_Observed_mm") * 2)
+        days.write.option("header", True).csv(files[name])
     panel = T.read_zone_files(spark, files, {"as": ("Drought_Stress_Index", "double")})
     return tidy(
         panel.select(

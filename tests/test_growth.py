@@ -6,9 +6,10 @@ import re
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from panelwright.functions import scalars as S
-from panelwright.plans import all_queries, score_queries
+from panelwright.plans import all_queries, score_queries, source_queries
 
 PLANS, _ = all_queries()
 
@@ -81,3 +82,24 @@ def test_codes_are_cleaned_as_before(spark):
     assert [r[0] for r in got] == [
         None, None, None, None, None, "nones", "1", "1.00", "1.0", "", "1\n", "10", "a.0b", "x.05", None,
     ]
+
+
+def test_zone_rows_are_neither_sorted_nor_broadcast(spark):
+    """Written zone by zone, too: sorting the wide rows by file took most of a writer's memory."""
+    plan = physical(source_queries._zone_rows(spark, SMALL))
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortAggregate", "")
+
+
+def test_zones_without_rows_have_empty_files(spark, tmp_path):
+    for name in ("lineitem", "nation", "region"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SMALL}/{name}.parquet")
+    african = spark.read.parquet(f"{SMALL}/nation.parquet").where("n_regionkey = 0").select("n_nationkey")
+    spark.read.parquet(f"{SMALL}/supplier.parquet").join(
+        african, F.col("s_nationkey") == F.col("n_nationkey"), "left_anti"
+    ).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = PLANS["zone_files_read_back"](spark, str(tmp_path)).groupBy("zone_id").count().collect()
+    want = spark.read.parquet(f"{SMALL}/lineitem.parquet").join(
+        spark.read.parquet(f"{tmp_path}/supplier.parquet"), F.col("s_suppkey") == F.col("l_suppkey")
+    ).select("s_suppkey", F.to_date("l_shipdate")).distinct().count()
+    zones = {r["zone_id"]: r["count"] for r in got}
+    assert "af" not in zones and sum(zones.values()) == want > 0
