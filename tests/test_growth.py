@@ -108,10 +108,16 @@ def test_zones_without_rows_have_empty_files(spark, tmp_path):
 @pytest.mark.parametrize("name", ["climatology_rates", "district_month_rate_lookup"])
 def test_rates_pass_five_windows_without_sliding_frames(spark, name, monkeypatch):
     """One pass for the gaps and four for the labels; a sliding frame copies every row it passes."""
-    monkeypatch.setattr(score_queries, "durable", lambda df: df)
+    monkeypatch.setattr(score_queries, "staged", lambda df, label: df)
     plan = physical(PLANS[name](spark, SMALL))
     windows = [line for line in plan.split("\n") if "+- Window [" in line]
     panels = len([line for line in windows if "row_number()" in line])
     assert panels > 0 and len(windows) == 5 * panels
     frames = [f for line in windows for f in re.findall(r"(\w+)\([^()]*\) windowspecdefinition\([^()]*specifiedwindowframe\(RowFrame, (-?\d+)", line)]
     assert frames and {name for name, _ in frames} == {"lead"}
+
+
+def test_rate_counts_are_filtered_where_they_are_read(spark):
+    plan = physical(PLANS["district_month_rate_lookup"](spark, SMALL))
+    assert "Scan ExistingRDD" not in plan
+    assert "EqualTo(split,test), EqualTo(event,all)" in plan
