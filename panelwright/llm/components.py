@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators.staging import staged
+from panelwright.operators.staging import shuffled, staged
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -16,7 +16,8 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     rounds grows with the logarithm of the longest path. Each step is one aggregation and
     one join on the node, both of which Spark splits or pre-aggregates when a node is hot;
     each round is staged in the shared folder, so lost executors cost one round at most.
-    The driver sees one digest per round. Null ends are ignored, loops and repeated links
+    The driver sees one digest per round, and no table is broadcast: links compress well, so
+    small files may hold many. Null ends are ignored, loops and repeated links
     change nothing, and an empty table gives an empty result.
     """
     a, b = F.col("a"), F.col("b")
@@ -43,13 +44,13 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
         large = (
             both.where(b > a)
-            .join(least, "a")
+            .join(shuffled(least), "a")
             .select(F.col("b").alias("a"), F.col("low").alias("b"))
             .distinct()
         )
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = (
-            large.join(low, "a")
+            large.join(shuffled(low), "a")
             .select(
                 F.when(b == F.col("low"), a).otherwise(b).alias("a"), F.col("low").alias("b")
             )
@@ -76,4 +77,4 @@ def shared_ids(rows: DataFrame, id_column: str, node_column: str) -> DataFrame:
         F.col(id_column).alias("id"), F.col(node_column).alias("b")
     )
     several = known.groupBy("id").agg(F.min("b").alias("a"), F.max("b").alias("_high")).where("a < _high")
-    return known.join(several.select("id", "a"), "id").select("a", "b").distinct()
+    return known.join(shuffled(several.select("id", "a")), "id").select("a", "b").distinct()

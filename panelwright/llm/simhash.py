@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.llm.components import connected_components, shared_ids
-from panelwright.operators.staging import staged
+from panelwright.operators.staging import shuffled, staged
 
 BITS = 64
 SHINGLE_WORDS = 3
@@ -112,7 +112,7 @@ def _block_links(members: DataFrame, distance: int) -> DataFrame:
     """Verified links among the fingerprints of each uncrowded block."""
     x, y = members.alias("x"), members.alias("y")
     met = x.join(
-        y,
+        shuffled(y),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.id") < F.col("y.id"))
         & (_differing(F.col("x.print"), F.col("y.print")) <= distance),
@@ -178,6 +178,9 @@ def simhash_duplicates(
        in a crowded block only has both ends there, so no link is lost.
     4. Links become components by joins.
 
+    No join is broadcast: a fingerprint of a few bytes grows into 20 keys, which Spark does
+    not see in the size of the staged files.
+
     Null and empty texts and texts without words have the fingerprint 0 and link like any
     other. Rows with a null id get a fingerprint, link with nothing and have a null
     component. Rows that repeat an id share its component, whatever their texts, and join
@@ -204,14 +207,14 @@ def simhash_duplicates(
         ),
     )
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = staged(keys.join(sizes, "key"), "blocks")
+    shared = staged(keys.join(shuffled(sizes), "key"), "blocks")
     crowded = shared.where(F.col("members") > CROWDED).select("id", "print").distinct()
     links = _block_links(shared.where(F.col("members") <= CROWDED), distance).union(
         _midpoint_links(crowded, distance)
     )
 
     placed = staged(
-        signed.join(reps.withColumnRenamed("id", "rep"), "print", "left").select("id", "print", "rep"),
+        signed.join(shuffled(reps.withColumnRenamed("id", "rep")), "print", "left").select("id", "print", "rep"),
         "placed",
     )
     bridges = shared_ids(placed, "id", "rep")
@@ -219,7 +222,7 @@ def simhash_duplicates(
         F.col("node").alias("rep"), "component"
     )
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0"))
-    return placed.join(groups, "rep", "left").select(
+    return placed.join(shuffled(groups), "rep", "left").select(
         F.col("id").alias(id_column),
         hexed.alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"),

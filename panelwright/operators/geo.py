@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from panelwright.operators.staging import staged
+from panelwright.operators.staging import shuffled, staged
 
 # Bounding box (min lon, min lat, max lon, max lat) of the region.
 REGION_BOX = (85.5, 21.5, 90.0, 27.5)
@@ -125,15 +125,6 @@ def segments(df: DataFrame, id_col: str, rings: str) -> DataFrame:
     return edges.join(shuffled(frame), id_col)
 
 
-def shuffled(df: DataFrame) -> DataFrame:
-    """A side of a join that is never broadcast.
-
-    What stands in exploded or staged rows cannot be told from the size of the files that
-    they come from, so a broadcast chosen by that size may not fit into the driver.
-    """
-    return df.hint("merge")
-
-
 def _cells(seg: DataFrame, id_col: str) -> DataFrame:
     """Each edge in the cells of its feature's grid that it passes, and in no others.
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from panelwright.llm import components as joined
 from panelwright.llm import simhash
 from panelwright.llm.simhash import block_masks, fingerprint, simhash_duplicates
 
@@ -103,3 +104,20 @@ def test_odd_rows(spark):
     assert got == sorted([(i, "%016x" % plain_print(t), component[i]) for i, t in rows], key=str)
     assert simhash_duplicates(df.limit(0)).count() == 0
     assert {r.component_id for r in simhash_duplicates(df.where("text is null")).collect()} == {1, None}
+
+
+def test_nothing_is_broadcast_by_the_size_of_small_files(spark, monkeypatch):
+    """A fingerprint of a few bytes grows into twenty keys that the driver need not hold."""
+    plans = []
+
+    def seen(df, label, staged=simhash.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, label)
+
+    monkeypatch.setattr(simhash, "staged", seen)
+    monkeypatch.setattr(joined, "staged", seen)
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 40 + 3))) for i in range(200)]
+    out = simhash_duplicates(spark.createDataFrame([*rows, (7, "one more")], "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and sum("Join" in p for p in plans) >= 4
+    assert not [p for p in plans if "Broadcast" in p]
