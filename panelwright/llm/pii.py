@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,22 +24,23 @@ class Kind:
 
     ``pattern`` finds the same leftmost matches as the plain form of the kind, but cannot
     run twice over the same characters: possessive runs never backtrack, and a look-behind
-    starts them at their first character only (or where the last match ended). ``hint`` is
-    a string that every match holds (without one, ``likely`` is a pattern of it); texts
-    without it skip the pattern. With ``whole`` the
+    starts them at their first character only (or where the last match ended). Most texts skip
+    it: every confirmed match holds one of the ``hints`` and a match of ``likely``, if there
+    are any, and a digit with ``digits``. With ``whole`` the
     pattern finds only places, and ``whole`` of its first group is the value there or null; so
     a failed or too long try at one place never hides a value that starts at the next.
     """
 
     name: str
     pattern: str
-    hint: str | None
+    hints: tuple[str, ...]
     confirm: Callable[[Column], Column]
     base_score: float | Callable[[Column], Column]
     context: str
     base: bool = True
     whole: Callable[[Column], Column] | None = None
-    likely: str = "[0-9]{2}|[0-9][ -][0-9]"
+    likely: str | None = None
+    digits: bool = True
 
 
 def _digits(value: Column) -> Column:
@@ -163,33 +166,37 @@ KINDS = (
     Kind(
         "email",
         rf"(?:(?<!{_EMAIL_CHARS})|\G){_EMAIL_CHARS}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        "@", lambda v: F.lit(True), 0.8, r"mail|contact|write|@",
+        ("@",), lambda v: F.lit(True), 0.8, r"mail|contact|write|@", digits=False,
     ),
     Kind(
-        "ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", _address, 0.6,
+        "ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", (".",), _address, 0.6,
         r"(^|[^a-z0-9])ip([^a-z0-9]|$)|address|host|server",
+        likely=r"[0-9](?:\.[0-9]++){3}",
     ),
     Kind(
-        "card", r"[0-9](?:[\x20-]?[0-9])++", None, _card, 0.7, r"card|visa|credit|payment",
+        "card", r"[0-9](?:[\x20-]?[0-9])++", (), _card, 0.7, r"card|visa|credit|payment",
+        likely=r"[0-9](?:[\x20-]?[0-9]){11}",
     ),
     Kind(
-        "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+",
-        lambda v: F.length(_digits(v)).between(9, 15), 0.6, r"phone|tel|call|mobile|fax",
+        "phone", r"\+[0-9][\x20().0-9-]+[0-9]", ("+",),
+        lambda v: F.length(_digits(v)).between(9, 15), 0.6, r"phone|tel|call|mobile|fax", likely=r"\+[0-9]",
     ),
     Kind(
-        "iban", rf"(?<![A-Za-z0-9])(?=({_CODE}[A-Za-z0-9\x20]?))[A-Z]{{2}}[0-9]{{2}}", None,
+        "iban", rf"(?<![A-Za-z0-9])(?=({_CODE}[A-Za-z0-9\x20]?))[A-Z]{{2}}[0-9]{{2}}", (),
         lambda v: F.lit(True), _account_score, r"iban|account|bank|konto|compte|cuenta", base=False, whole=_account,
+        likely=_CODE,
     ),
     Kind(
-        "social", r"(?<![0-9])[0-9]++(?:-[0-9]++)++", "-", _social, 0.5, r"ssn|social", base=False,
+        "social", r"(?<![0-9])[0-9]++(?:-[0-9]++)++", ("-",), _social, 0.5, r"ssn|social", base=False,
+        likely="[0-9]{3}-[0-9]{2}-[0-9]{4}",
     ),
     Kind(
-        "access_key", r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]++|gh[pousr]_[A-Za-z0-9]++)(?![A-Za-z0-9_])", None,
+        "access_key", r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]++|gh[pousr]_[A-Za-z0-9]++)(?![A-Za-z0-9_])", ("IA", "_"),
         lambda v: v.rlike(f"^(?:{ACCESS_KEY})$"), 0.8, r"key|token|aws|github", base=False,
-        likely="A[KS]IA[A-Z0-9]{16}|gh[pousr]_",
+        likely="A[KS]IA[A-Z0-9]{16}|gh[pousr]_", digits=False,
     ),
     Kind(
-        "secret", rf"{SECRET_NAME}{SECRET_SIGN}{SECRET_VALUE}", None, _secret, 0.7,
+        "secret", rf"{SECRET_NAME}{SECRET_SIGN}{SECRET_VALUE}", (":", "="), _secret, 0.7,
         r"key|login|credential|config", base=False, likely=rf"{SECRET_NAME}{SECRET_SIGN}[A-Za-z0-9+/_.-]",
     ),
 )
@@ -198,15 +205,22 @@ KINDS = (
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
 
 
-def _proposals(text: str, kind: Kind) -> Column:
-    """(matches, the pieces between them, windows of ``whole``) of one kind; null without its hint."""
+def _possible(text: str, digits: str, kind: Kind) -> Column:
+    """Whether a text may hold a confirmed match; the cheaper tests stand first."""
+    tests = [F.col(digits)] * kind.digits
+    tests += [reduce(or_, [F.col(text).contains(hint) for hint in kind.hints])] if kind.hints else []
+    tests += [F.col(text).rlike(kind.likely)] if kind.likely else []
+    return reduce(and_, tests, F.lit(True))
+
+
+def _proposals(text: str, digits: str, kind: Kind) -> Column:
+    """(matches, the pieces between them, windows of ``whole``) of one kind; null where it is not possible."""
     found = F.struct(
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("matches"),
         F.split(text, kind.pattern, -1).alias("pieces"),
         *[F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)).alias("windows")] * bool(kind.whole),
     )
-    likely = F.col(text).contains(kind.hint) if kind.hint else F.col(text).rlike(kind.likely)
-    return F.when(likely, found)
+    return F.when(_possible(text, digits, kind), found)
 
 
 def _spans(found: str, text: str, rank: int, kind: Kind) -> Column:
@@ -276,9 +290,9 @@ def personal_data(
     """
     rows = docs.select(
         F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
-    )
+    ).withColumn("digits", F.col("text").rlike("[0-9]"))
     found = rows.select(
-        "id", "text", *[_proposals("text", k).alias(f"found{i}") for i, k in enumerate(kinds)]
+        "id", "text", *[_proposals("text", "digits", k).alias(f"found{i}") for i, k in enumerate(kinds)]
     )
     parts = [_spans(f"found{i}", "text", i, k) for i, k in enumerate(kinds)]
     return found.select(F.col("id").alias(id_column), F.sort_array(F.concat(*parts)).alias("spans"))

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from panelwright.llm.pii import KINDS, personal_data, redacted, span_text
+from panelwright.llm.pii import KINDS, _possible, personal_data, redacted, span_text
 
 # The plain patterns of the base kinds.
 PLAIN = {
@@ -160,3 +160,29 @@ def test_sql_equals_the_operator_on_mixed_texts(spark):
     assert kinds == {k.name for k in KINDS}
     for a, b in zip(rows, want, strict=True):
         assert a == tuple(b), texts[a[names.index("doc_id")]]
+
+
+def test_texts_without_personal_data_skip_the_patterns(spark):
+    """Ordinary prose with full stops, dates and prices is not searched; the smallest matches are."""
+    prose = "On 12 May 2021 it was 3.50, 10-12 of them: page 7 = page 9. The Asia desk has 2 x_y and AB12."
+    least = {
+        "email": "a@b.c", "ip": "0.0.0.0", "card": "1 2-3 4 5 6 7 8 9 0 1 2", "phone": "+1 2345678 9",
+        "iban": "NO93 8601 1117 947", "social": "001-01-0001", "access_key": "AKIA" + "A" * 16,
+        "secret": "token=" + "a1" * 8,
+    }
+    texts = [prose, *[least[k.name] for k in KINDS]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("*", "rlike(text, '[0-9]') as digits")
+    got = rows.select("id", *[_possible("text", "digits", k).alias(k.name) for k in KINDS]).sort("id").collect()
+    assert not any(got[0][1:])
+    assert all(got[i + 1][k.name] for i, k in enumerate(KINDS))
+
+
+def test_added_filters_lose_no_span(spark):
+    """Every value is found alone in its text, where nothing else opens the pattern of its kind."""
+    digits = random.Random(3)
+    cards = [n for n in (f"{digits.randrange(10**11, 10**12)}" for _ in range(200)) if valid("card", n)]
+    texts = [sep.join(n) for n in cards for sep in ("", " ", "-")] + ["1.2.3.4", "a 00.0.0.00", "+12345678(9", "x@y.z", "._@-.-"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in personal_data(rows).select("doc_id", span_text(F.col("spans")).alias("s")).collect()}
+    assert len(cards) > 10
+    assert all(got[i] == ",".join(brute(text)) and got[i] for i, text in enumerate(texts))
