@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.components import connected_components, shared_ids
 from panelwright.llm.shingles import run_hashes
-from panelwright.operators.staging import staged
+from panelwright.operators.staging import shuffled, staged
 
 SHINGLE_WORDS = 5
 SYMBOLS = 64  # minimum hashes of a signature
@@ -266,7 +266,7 @@ def near_duplicates(
     )
     keys = chunk_keys(reps)
     several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = staged(keys.join(several.select("key"), "key", "left_semi"), "buckets")
+    shared = staged(keys.join(shuffled(several.select("key")), "key", "left_semi"), "buckets")
     ids = staged(shared.select("id").distinct(), "ids")
     sets = _shingle_sets(base, ids)
     marks = staged(
@@ -313,7 +313,7 @@ def near_duplicates(
     )
     x, y = open_rows.alias("x"), open_rows.alias("y")
     crossing = x.join(
-        y,
+        shuffled(y),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") < F.col("y.component"))
         & _may_link(percent)
